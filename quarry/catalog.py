@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import trajectory as TR
 from quarry.operators import trips as T
+from quarry.operators import voting as V
 from quarry.plans import inputs as I
 from quarry.plans import oracle_sql as S
 from quarry.sources.tables import table
@@ -115,6 +117,205 @@ def q_train_counters(spark, d):
     return T.train_counters(T.prepare_trips(I.raw_trips(spark, d)))
 
 
+# ---------------------------------------------------------------- trajectory smoothing
+
+RADIUS = 5          # smoothing radius = frames per second of the stand-in video
+FPS = 5
+CHECKPOINT_EVERY = 50
+MAX_FRAMES = 50
+N_SINKS = 4
+TF = "WITH " + S.EV_RN + ", " + S.TRANSFORMS
+RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def _tf(spark, d):
+    return I.transforms(spark, d)
+
+
+@query("running_sum", TF + f"""
+SELECT video, frame, {S.r6('sum(dx) OVER w')} AS cum_dx, {S.r6('sum(dy) OVER w')} AS cum_dy,
+       {S.r6('sum(da) OVER w')} AS cum_da
+FROM tf WINDOW w AS (PARTITION BY video ORDER BY frame {RUN})""")
+def q_running_sum(spark, d):
+    return TR.running_sum(_tf(spark, d))
+
+
+SMOOTH_SQL = TF + f""",
+tr AS (SELECT *, sum(dx) OVER w AS tx, sum(dy) OVER w AS ty, sum(da) OVER w AS ta
+       FROM tf WINDOW w AS (PARTITION BY video ORDER BY frame {RUN})),
+per AS (SELECT video, count(*) AS n, arg_min(tx, frame) AS fx, arg_min(ty, frame) AS fy, arg_min(ta, frame) AS fa,
+               arg_max(tx, frame) AS lx, arg_max(ty, frame) AS ly, arg_max(ta, frame) AS la FROM tr GROUP BY video),
+sm AS (
+SELECT video, frame,
+  {S.r6(f"(sum(tx) OVER c + greatest({RADIUS} - frame, 0) * fx + greatest({RADIUS} - (n - 1 - frame), 0) * lx) / {2 * RADIUS + 1} - tx + dx")} AS smooth_dx,
+  {S.r6(f"(sum(ty) OVER c + greatest({RADIUS} - frame, 0) * fy + greatest({RADIUS} - (n - 1 - frame), 0) * ly) / {2 * RADIUS + 1} - ty + dy")} AS smooth_dy,
+  {S.r6(f"(sum(ta) OVER c + greatest({RADIUS} - frame, 0) * fa + greatest({RADIUS} - (n - 1 - frame), 0) * la) / {2 * RADIUS + 1} - ta + da")} AS smooth_da
+FROM tr JOIN per USING (video)
+WINDOW c AS (PARTITION BY video ORDER BY frame ROWS BETWEEN {RADIUS} PRECEDING AND {RADIUS} FOLLOWING))"""
+
+
+@query("smooth", SMOOTH_SQL + " SELECT * FROM sm")
+def q_smooth(spark, d):
+    return TR.smooth(_tf(spark, d), RADIUS)
+
+
+@query("pairwise", TF + f"""
+SELECT * FROM (
+  SELECT video, frame, lag(event_id) OVER w AS prev_event_id, event_id,
+         {S.r6('dx - lag(dx) OVER w')} AS delta_dx
+  FROM tf WINDOW w AS (PARTITION BY video ORDER BY frame)) WHERE frame >= 1""")
+def q_pairwise(spark, d):
+    return TR.pairwise(_tf(spark, d))
+
+
+@query("segments", TF + f"""
+SELECT video, CAST(floor(greatest(frame - 1, 0) / {TR.SEGMENT_FRAMES}) AS BIGINT) AS segment,
+       count(*) AS n_frames, min(frame) AS first_frame, max(frame) AS last_frame FROM tf GROUP BY ALL""")
+def q_segments(spark, d):
+    return TR.segments(_tf(spark, d))
+
+
+@query("checkpoint_rows", TF + f"""
+SELECT * FROM (
+  SELECT video, frame, {S.r6('sum(dx) OVER w')} AS cum_dx, {S.r6('sum(dy) OVER w')} AS cum_dy,
+         {S.r6('sum(da) OVER w')} AS cum_da
+  FROM tf WINDOW w AS (PARTITION BY video ORDER BY frame {RUN})) WHERE frame % {CHECKPOINT_EVERY} = 0""")
+def q_checkpoint_rows(spark, d):
+    return TR.checkpoint_rows(_tf(spark, d), CHECKPOINT_EVERY)
+
+
+@query("idempotent_sink", TF + """,
+dl AS (SELECT video, frame FROM tf UNION ALL SELECT video, frame FROM tf WHERE frame % 7 = 3)
+SELECT video, count(*) AS n_received, count(DISTINCT frame) AS n_delivered,
+       count(*) - count(DISTINCT frame) AS n_duplicates,
+       max(frame) + 1 - count(DISTINCT frame) AS n_missing, max(frame) AS last_frame
+FROM dl GROUP BY video""")
+def q_idempotent_sink(spark, d):
+    return TR.idempotent_sink(TR.replayed_deliveries(_tf(spark, d)))
+
+
+@query("completeness", SMOOTH_SQL + """
+SELECT e.video, e.expected, coalesce(s.delivered, 0) AS delivered, coalesce(s.delivered, 0) = e.expected AS complete
+FROM (SELECT user_id AS video, count(*) AS expected FROM events GROUP BY 1) e
+LEFT JOIN (SELECT video, count(*) AS delivered FROM sm GROUP BY 1) s USING (video)""")
+def q_completeness(spark, d):
+    expected = table(spark, d, "events").select(F.col("user_id").alias("video"))
+    return TR.completeness(expected, TR.smooth(_tf(spark, d), RADIUS)).select(
+        "video", "expected", "delivered", "complete")
+
+
+PAIRS_SQL = "WITH " + S.POINTS + """,
+pairs AS (
+  SELECT a.vec_id, a.pt, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1,
+         CASE WHEN abs(b.x) <= 0.4 AND abs(b.y) <= 0.4 THEN 1 ELSE 0 END AS status
+  FROM pts a JOIN pts b ON b.vec_id = a.vec_id + 1 AND b.pt = a.pt),
+g AS (
+  SELECT vec_id, count(*) AS n_points, avg(x0) mx0, avg(y0) my0, avg(x1) mx1, avg(y1) my1,
+         sum(x0 * x0 + y0 * y0) sqq, sum(x0 * x1 + y0 * y1) sdot, sum(x0 * y1 - y0 * x1) scross
+  FROM pairs WHERE status = 1 GROUP BY vec_id),
+ab AS (
+  SELECT *, sqq - n_points * (mx0 * mx0 + my0 * my0) AS s,
+         CASE WHEN sqq - n_points * (mx0 * mx0 + my0 * my0) <> 0 THEN
+           (sdot - n_points * (mx0 * mx1 + my0 * my1)) / (sqq - n_points * (mx0 * mx0 + my0 * my0)) END AS a,
+         CASE WHEN sqq - n_points * (mx0 * mx0 + my0 * my0) <> 0 THEN
+           (scross - n_points * (mx0 * my1 - my0 * mx1)) / (sqq - n_points * (mx0 * mx0 + my0 * my0)) END AS b
+  FROM g),
+fit AS (
+  SELECT vec_id, n_points, """ + S.r6("mx1 - a * mx0 + b * my0") + " AS dx, " + S.r6("my1 - b * mx0 - a * my0") \
+    + " AS dy, " + S.r6("atan2(b, a)") + """ AS da FROM ab)"""
+
+
+@query("similarity_fit", PAIRS_SQL + " SELECT * FROM fit")
+def q_similarity_fit(spark, d):
+    return TR.similarity_fit(TR.point_pairs(I.points(spark, d)))
+
+
+@query("apply_transform", PAIRS_SQL + """
+SELECT p.vec_id, p.pt,
+  """ + S.r6("1.04 * (cos(da) * x - sin(da) * y + dx)") + """ AS x_out,
+  """ + S.r6("1.04 * (sin(da) * x + cos(da) * y + dy)") + """ AS y_out
+FROM pts p JOIN fit f ON f.vec_id = p.vec_id WHERE f.da IS NOT NULL""")
+def q_apply_transform(spark, d):
+    pts = I.points(spark, d)
+    return TR.apply_transform(pts, TR.similarity_fit(TR.point_pairs(pts)))
+
+
+@query("cap_per_group", TF + f"""
+SELECT video, frame, event_id FROM tf WHERE frame < {MAX_FRAMES}""")
+def q_cap_per_group(spark, d):
+    return TR.cap_per_group(_tf(spark, d), MAX_FRAMES)
+
+
+@query("paced_events", TF + f""",
+st AS (SELECT video, min(ts) AS s FROM tf GROUP BY video),
+du AS (SELECT video, frame, ts, CAST(epoch_us(s) + floor(frame * 1000000 / {FPS}) AS BIGINT) AS due_us
+       FROM tf JOIN st USING (video))
+SELECT video, frame, due_us, {S.r6('(epoch_us(ts) - due_us) / 1e6')} AS lateness_s FROM du""")
+def q_paced_events(spark, d):
+    return TR.paced(_tf(spark, d), FPS)
+
+
+@query("round_robin", f"""
+SELECT user_id % {N_SINKS} AS sink, count(DISTINCT user_id) AS n_videos, count(*) AS n_frames
+FROM events GROUP BY 1""")
+def q_round_robin(spark, d):
+    tf = table(spark, d, "events").select(F.col("user_id").alias("video"))
+    return TR.round_robin_sinks(tf, N_SINKS)
+
+
+# ---------------------------------------------------------------- majority vote
+
+VOTE_SQL = "WITH " + S.EV_RN + ", " + S.VOTES + """,
+vc AS (SELECT *, count(*) OVER (PARTITION BY item, label ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
+       FROM votes WHERE k <= 11),
+vg AS (SELECT item, count(*) AS n,
+              arg_min(label, k) FILTER (WHERE k <= 3 AND c >= 2) AS el, min(k) FILTER (WHERE k <= 3 AND c >= 2) AS ek,
+              arg_min(label, k) FILTER (WHERE k >= 4 AND c >= floor(k / 2) + 1) AS ll,
+              min(k) FILTER (WHERE k >= 4 AND c >= floor(k / 2) + 1) AS lk
+       FROM vc GROUP BY item),
+res AS (SELECT item, CAST(CASE WHEN ek IS NOT NULL THEN least(3, n) WHEN lk IS NOT NULL THEN lk ELSE n END AS BIGINT) AS models_run,
+               coalesce(el, ll) AS winner, ek IS NOT NULL AS stopped_early FROM vg),
+ran AS (SELECT v.* FROM votes v JOIN res r USING (item) WHERE v.k <= r.models_run),
+pick AS (SELECT item, k, label,
+         ['Resnet18','Resnet50','Resnet101','BEiT','ConvNeXT','ViT384','MIT_B0'][CAST(""" \
+    + S.lcg_sql("item * 1000 + k") + """ % 7 + 1 AS INTEGER)] AS model,
+         [0.007, 0.007, 0.011, 0.018, 0.006, 0.059, 0.016][CAST(""" + S.lcg_sql("item * 1000 + k") \
+    + """ % 7 + 1 AS INTEGER)] AS service_s
+         FROM votes WHERE k <= 11)"""
+
+
+def _votes(spark, d):
+    return I.votes(spark, d)
+
+
+@query("majority_vote", VOTE_SQL + " SELECT * FROM res")
+def q_majority_vote(spark, d):
+    return V.majority_vote(_votes(spark, d))
+
+
+@query("vote_tally", VOTE_SQL + " SELECT item, label, count(*) AS n_votes FROM ran GROUP BY ALL")
+def q_vote_tally(spark, d):
+    v = _votes(spark, d)
+    return V.vote_tally(v, V.majority_vote(v))
+
+
+@query("model_pick", VOTE_SQL + " SELECT item, k, label, model, CAST(service_s AS DOUBLE) AS service_s FROM pick")
+def q_model_pick(spark, d):
+    return V.model_pick(_votes(spark, d).filter(F.col("k") <= V.MAX_RUN))
+
+
+@query("vote_summary", VOTE_SQL + """,
+lat AS (SELECT item, sum(CAST(p.service_s AS DOUBLE)) AS latency_s FROM ran JOIN pick p USING (item, k) GROUP BY item),
+j AS (SELECT r.*, CASE WHEN l.latency_s > 0 THEN l.latency_s END AS pos FROM res r LEFT JOIN lat l USING (item))
+SELECT count(*) AS n_items, CAST(sum(models_run) AS BIGINT) AS total_models_run,
+       count(*) FILTER (WHERE stopped_early) AS n_stopped_at_3,
+       """ + S.r6("sum(pos)") + " AS total_latency_s, " + S.r6("avg(pos)") + " AS mean_latency_s, " \
+    + S.r6("max(pos)") + " AS max_latency_s FROM j")
+def q_vote_summary(spark, d):
+    v = _votes(spark, d)
+    return V.vote_summary(v, V.majority_vote(v))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
