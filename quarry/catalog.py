@@ -11,6 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.scalars import stable_round
+from quarry.operators import exchange as X
+from quarry.operators import logs as LG
+from quarry.operators import results as RS
 from quarry.operators import trajectory as TR
 from quarry.operators import trips as T
 from quarry.operators import voting as V
@@ -316,6 +320,326 @@ def q_vote_summary(spark, d):
     return V.vote_summary(v, V.majority_vote(v))
 
 
+# ---------------------------------------------------------------- sort, shuffle, dataflow
+
+N_SLICES = 5
+N_SHUFFLES = 3
+N_BUCKETS = 7
+N_RANGE = 8
+ROW_ID = "(l_orderkey * 8 + l_linenumber)"
+
+
+def _li(spark, d):
+    return table(spark, d, "lineitem")
+
+
+def _slices(spark, d):
+    return X.split_slices(table(spark, d, "embeddings"), N_SLICES)
+
+
+@query("gen_rows", f"""
+SELECT {ROW_ID} AS row_id, {ROW_ID} % 8 AS block, {S.lcg_sql(ROW_ID, 1)} AS c_0, {S.lcg_sql(ROW_ID, 2)} AS c_1
+FROM lineitem""")
+def q_gen_rows(spark, d):
+    return X.gen_rows(_li(spark, d), 2, 8)
+
+
+@query("global_sort", """
+SELECT l_orderkey, l_linenumber, l_extendedprice,
+       row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS pos FROM lineitem""")
+def q_global_sort(spark, d):
+    return X.global_sort(_li(spark, d))
+
+
+@query("random_shuffle", f"""
+SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY {S.lcg_sql(ROW_ID)}, {ROW_ID}) AS pos FROM lineitem""")
+def q_random_shuffle(spark, d):
+    return X.random_shuffle(_li(spark, d))
+
+
+@query("range_partition", None)
+def q_range_partition(spark, d):
+    return X.range_partition(_li(spark, d), N_RANGE)
+
+
+@query("partition_stats", None)
+def q_partition_stats(spark, d):
+    return X.partition_stats(_li(spark, d).select("l_orderkey", "l_extendedprice").repartition(N_RANGE, "l_orderkey"))
+
+
+SLICES_SQL = f"""WITH sl AS (
+  SELECT vec_id, label, s AS slice_idx, CAST(floor(len(embedding) / {N_SLICES}) AS BIGINT) AS sz, embedding
+  FROM embeddings, range(0, {N_SLICES}) t(s)),
+el AS (
+  SELECT vec_id, label, slice_idx, sz, CAST(embedding[slice_idx * sz + i + 1] AS DOUBLE) AS v
+  FROM (SELECT *, unnest(generate_series(0, sz - 1)) AS i FROM sl)),
+ss AS (SELECT vec_id, label, slice_idx, count(*) AS n_values, sum(v) AS s FROM el GROUP BY ALL)"""
+
+
+@query("split_slices", SLICES_SQL + f"""
+SELECT vec_id, slice_idx, n_values, {S.r6('s')} AS slice_sum FROM ss""")
+def q_split_slices(spark, d):
+    return X.slice_summary(_slices(spark, d)).withColumn("n_values", F.col("n_values").cast("long"))
+
+
+@query("all_to_all", SLICES_SQL + f"""
+SELECT slice_idx, count(*) AS n_mappers, CAST(sum(n_values) AS BIGINT) AS n_values, {S.r6('sum(s)')} AS total
+FROM ss GROUP BY slice_idx""")
+def q_all_to_all(spark, d):
+    return X.all_to_all(_slices(spark, d))
+
+
+@query("parallel_shuffle", SLICES_SQL + f"""
+SELECT vec_id % {N_SHUFFLES} AS shuffle_id, slice_idx, count(*) AS n_mappers, {S.r6('sum(s)')} AS total
+FROM ss GROUP BY ALL""")
+def q_parallel_shuffle(spark, d):
+    return X.parallel_shuffle(_slices(spark, d), N_SHUFFLES)
+
+
+@query("two_stage_shuffle", SLICES_SQL + f"""
+SELECT slice_idx, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_mappers, {S.r6('sum(t)')} AS total
+FROM (SELECT label, slice_idx, sum(s) AS t, count(*) AS n FROM ss GROUP BY ALL) GROUP BY slice_idx""")
+def q_two_stage_shuffle(spark, d):
+    return X.two_stage_shuffle(_slices(spark, d))
+
+
+@query("one_slice", SLICES_SQL + f"""
+SELECT vec_id, {S.r6('s')} AS slice_sum FROM ss WHERE slice_idx = 0""")
+def q_one_slice(spark, d):
+    return X.one_slice(_slices(spark, d))
+
+
+@query("skewed_group", f"""
+SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END AS skew_key, count(*) AS n_rows,
+       {S.r6('sum(l_quantity)')} AS sum_qty FROM lineitem GROUP BY 1""")
+def q_skewed_group(spark, d):
+    return X.skewed_group(_li(spark, d))
+
+
+BUCKET_SQL = f"""WITH b AS (SELECT s_suppkey, ntile({N_BUCKETS}) OVER (ORDER BY s_suppkey) AS bucket FROM supplier),
+bp AS (SELECT s_suppkey, bucket, row_number() OVER (PARTITION BY bucket ORDER BY s_suppkey) AS pos_in_bucket FROM b)"""
+
+
+def _buckets(spark, d):
+    return X.balanced_buckets(table(spark, d, "supplier"), "s_suppkey", N_BUCKETS)
+
+
+@query("balanced_buckets", BUCKET_SQL + " SELECT * FROM bp")
+def q_balanced_buckets(spark, d):
+    return _buckets(spark, d).select("s_suppkey", "bucket", "pos_in_bucket")
+
+
+@query("interleave", BUCKET_SQL + """
+SELECT *, row_number() OVER (ORDER BY pos_in_bucket, bucket) AS rr_order FROM bp""")
+def q_interleave(spark, d):
+    return X.interleave(_buckets(spark, d), "s_suppkey", N_BUCKETS)
+
+
+@query("stage_chain", f"""
+SELECT l_orderkey, l_linenumber,
+       {S.r6('(l_extendedprice * (1 - l_discount) * (1 + l_tax) - l_quantity) / 2')} AS stage_out FROM lineitem""")
+def q_stage_chain(spark, d):
+    return X.stage_chain(_li(spark, d))
+
+
+@query("diamond", f"""
+WITH sh AS (SELECT * FROM lineitem WHERE l_discount > 0.02)
+SELECT a.l_returnflag, a.sum_qty, b.avg_price
+FROM (SELECT l_returnflag, {S.r6('sum(l_quantity)')} AS sum_qty FROM sh GROUP BY 1) a
+JOIN (SELECT l_returnflag, {S.r6('avg(l_extendedprice)')} AS avg_price FROM sh GROUP BY 1) b USING (l_returnflag)""")
+def q_diamond(spark, d):
+    return X.diamond(_li(spark, d))
+
+
+@query("three_way", f"""
+SELECT o_orderkey, o_orderstatus, c_mktsegment, n_lines, {S.r6('rev')} AS revenue
+FROM (SELECT l_orderkey, count(*) AS n_lines, sum(l_extendedprice * (1 - l_discount)) AS rev FROM lineitem GROUP BY 1) l
+JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey""")
+def q_three_way(spark, d):
+    return X.three_way(_li(spark, d), table(spark, d, "orders"), table(spark, d, "customer"))
+
+
+@query("gather_all", f"""
+SELECT count(*) AS n_rows, {S.r6('sum(l_quantity)')} AS sum_qty, {S.r6('sum(l_extendedprice)')} AS sum_price,
+       {S.r6('avg(l_discount)')} AS avg_disc FROM lineitem""")
+def q_gather_all(spark, d):
+    return X.gather_all(_li(spark, d))
+
+
+@query("partial_final", f"""
+SELECT l_returnflag, l_linestatus, {S.r6('sum(l_quantity)')} AS sum_qty, {S.r6('sum(l_extendedprice)')} AS sum_base_price,
+       {S.r6('sum(l_extendedprice * (1 - l_discount))')} AS sum_disc_price,
+       {S.r6('sum(l_extendedprice * (1 - l_discount) * (1 + l_tax))')} AS sum_charge,
+       {S.r6('avg(l_quantity)')} AS avg_qty, {S.r6('avg(l_extendedprice)')} AS avg_price,
+       {S.r6('avg(l_discount)')} AS avg_disc, count(*) AS count_order
+FROM lineitem GROUP BY ALL""")
+def q_partial_final(spark, d):
+    return X.partial_final(_li(spark, d))
+
+
+@query("scatter_gather", f"""
+SELECT l_returnflag, count(*) AS n_parts, {S.r6('avg(a)')} AS avg_of_avgs
+FROM (SELECT l_returnflag, l_suppkey, avg(l_extendedprice) AS a FROM lineitem GROUP BY ALL) GROUP BY 1""")
+def q_scatter_gather(spark, d):
+    return X.scatter_gather(_li(spark, d))
+
+
+@query("running_backlog", """
+WITH pd AS (
+  SELECT day, sum(delta) AS delta FROM (
+    SELECT strftime(o.o_orderdate, '%Y-%m-%d') AS day, count(*) AS delta
+    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1
+    UNION ALL
+    SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, -count(*) AS delta FROM lineitem GROUP BY 1) GROUP BY day)
+SELECT day, CAST(delta AS BIGINT) AS delta,
+       CAST(sum(delta) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS backlog FROM pd""")
+def q_running_backlog(spark, d):
+    return X.running_backlog(_li(spark, d), table(spark, d, "orders"))
+
+
+@query("hetero_union", f"""
+SELECT 'sort' AS kind, count(*) AS n_rows, {S.r6('sum(l_extendedprice)')} AS total FROM lineitem
+UNION ALL SELECT 'shuffle', count(*), {S.r6('sum(o_totalprice)')} FROM orders
+UNION ALL SELECT 'stream', count(*), {S.r6('sum(value)')} FROM events""")
+def q_hetero_union(spark, d):
+    def one(df, kind, col):
+        return df.agg(F.count(F.lit(1)).alias("n_rows"), stable_round(F.sum(col), 6).alias("total")) \
+                 .select(F.lit(kind).alias("kind"), "n_rows", "total")
+    return (one(_li(spark, d), "sort", "l_extendedprice")
+            .unionByName(one(table(spark, d, "orders"), "shuffle", "o_totalprice"))
+            .unionByName(one(table(spark, d, "events"), "stream", "value")))
+
+
+@query("param_grid", """
+SELECT series, workers, partitions, partition_size, trial
+FROM (SELECT DISTINCT o_orderpriority AS series FROM orders),
+     (VALUES (8), (16)) w(workers), (VALUES (320), (512)) p(partitions),
+     (VALUES (10000000), (50000000), (100000000)) s(partition_size), range(1, 4) t(trial)""")
+def q_param_grid(spark, d):
+    from quarry.operators import sweep
+    return sweep.param_grid(table(spark, d, "orders").select(F.col("o_orderpriority").alias("series")).distinct())
+
+
+# ---------------------------------------------------------------- result analytics
+
+TRIALS_SQL = "WITH " + S.TRIALS
+SCHEMES = ["F", "O", "P"]
+
+
+@query("trial_stats", TRIALS_SQL + f"""
+SELECT series, scheme, count(*) AS n_trials, {S.r6('avg(runtime)')} AS mean_runtime,
+       {S.r6('stddev_pop(runtime)')} AS std_runtime, {S.r6('var_pop(runtime)', 0)} AS var_runtime,
+       CAST(floor(sum(spilled) / count(*)) AS BIGINT) AS spilled_floor_mean,
+       {S.r6('(sum(spilled) + sum(migrations)) / 8')} AS per_node_mean
+FROM trials GROUP BY ALL""")
+def q_trial_stats(spark, d):
+    return RS.trial_stats(I.trials(spark, d))
+
+
+@query("result_pivot", TRIALS_SQL + f"""
+SELECT working_set, coalesce({S.r6("avg(runtime) FILTER (WHERE scheme = 'F')")}, 0.0) AS F,
+       coalesce({S.r6("avg(runtime) FILTER (WHERE scheme = 'O')")}, 0.0) AS O,
+       coalesce({S.r6("avg(runtime) FILTER (WHERE scheme = 'P')")}, 0.0) AS P
+FROM trials WHERE series = '1-URGENT' GROUP BY working_set""")
+def q_result_pivot(spark, d):
+    return RS.result_pivot(I.trials(spark, d), "1-URGENT", SCHEMES)
+
+
+@query("error_bars", TRIALS_SQL + f"""
+SELECT series, scheme, {S.r6('avg(runtime)')} AS mean_runtime,
+       {S.r6('avg(runtime) - stddev_pop(runtime) / 2')} AS bar_lo, {S.r6('avg(runtime) + stddev_pop(runtime) / 2')} AS bar_hi
+FROM trials GROUP BY ALL""")
+def q_error_bars(spark, d):
+    return RS.error_bars(I.trials(spark, d))
+
+
+LAT_SQL = "WITH " + S.EV_RN + f""",
+lat AS (SELECT event_type AS file, user_id AS video, rn - 1 AS frame, event_id, 1.0 + value / 1000.0 AS latency_s FROM ev_rn),
+mx AS (SELECT file, max(frame) AS mf FROM lat GROUP BY file),
+kept AS (SELECT l.*, (latency_s - 1) * 1000 AS ms FROM lat l JOIN mx USING (file) WHERE frame > {3 * FPS} AND frame < mf)"""
+
+
+def _latencies(spark, d):
+    ev = I.numbered_events(spark, d, ["value", "event_type"])
+    tf = ev.select("event_type", F.col("user_id").alias("video"), (F.col("rn") - 1).alias("frame"),
+                   "event_id", F.col("value").alias("dx"))
+    return RS.frame_latencies(tf)
+
+
+@query("latency_stats", LAT_SQL + f"""
+SELECT file, count(*) AS n, {S.r6('avg(ms)')} AS mean_ms, {S.r6('quantile_cont(ms, 0.5)')} AS p50_ms,
+       {S.r6('quantile_cont(ms, 0.9)')} AS p90_ms, {S.r6('quantile_cont(ms, 0.99)')} AS p99_ms,
+       {S.r6('max(ms)')} AS max_ms FROM kept GROUP BY file""")
+def q_latency_stats(spark, d):
+    return RS.latency_stats(_latencies(spark, d), FPS)
+
+
+@query("ecdf", """
+SELECT event_type, value, round(row_number() OVER (PARTITION BY event_type ORDER BY value, event_id)
+       / count(*) OVER (PARTITION BY event_type) + 1e-9, 9) AS ecdf FROM events""")
+def q_ecdf(spark, d):
+    return RS.ecdf(table(spark, d, "events"), ["event_type"], "value", "event_id")
+
+
+@query("last_value", """
+SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_event_type, count(*) AS n_lines FROM events GROUP BY 1""")
+def q_last_value(spark, d):
+    return RS.last_value(table(spark, d, "events"), ["user_id"], "event_type", ["ts", "event_id"])
+
+
+# ---------------------------------------------------------------- text and logs
+
+WORDS_SQL = r"""CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN []::VARCHAR[]
+     ELSE regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') END"""
+
+
+def _words_sql(col: str) -> str:
+    return WORDS_SQL.replace("text", col)
+
+
+@query("parse_stats", f"""
+WITH w AS (SELECT doc_id, text, {_words_sql('text')} AS w FROM documents),
+i AS (SELECT *, coalesce(list_position(w, 'the'), 0) AS idx, instr(text, 'and') AS pos FROM w),
+r AS (SELECT *, CASE WHEN pos > 0 THEN {_words_sql('substr(text, pos + 1)')} END AS rest FROM i),
+t AS (SELECT *, CASE WHEN pos > 0 AND coalesce(list_position(rest, 'and'), 0) > 0
+                     THEN rest[list_position(rest, 'and') + 2] END AS tok FROM r)
+SELECT doc_id,
+       CASE WHEN idx > 0 THEN coalesce(w[idx + 1], '') ELSE '' END AS amount,
+       CASE WHEN idx > 0 THEN coalesce(w[idx + 3], '') ELSE '' END AS objects,
+       CASE WHEN idx > 0 THEN coalesce(w[idx + 8], '') ELSE '' END AS throughput,
+       coalesce(try_cast(CASE WHEN idx > 0 THEN coalesce(w[idx + 1], '') ELSE '' END AS DOUBLE), 0.0) AS amount_num,
+       substr(tok, 1, length(tok) - 1) AS duration
+FROM t""")
+def q_parse_stats(spark, d):
+    return LG.parse_stats(table(spark, d, "documents"), "the", duration_marker="and")
+
+
+@query("sum_stats", f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+w AS (SELECT doc_id, {_words_sql('line')} AS w FROM l),
+h AS (SELECT doc_id, coalesce(length(w[list_position(w, 'the') + 1]), 0) AS v FROM w WHERE coalesce(list_position(w, 'the'), 0) > 0)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(v) AS BIGINT) AS total FROM h GROUP BY doc_id""")
+def q_sum_stats(spark, d):
+    return LG.sum_stats(table(spark, d, "documents"), "the")
+
+
+@query("first_match", """
+SELECT b.item_id, min(d.doc_id) AS doc_id
+FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY b.item_id""")
+def q_first_match(spark, d):
+    tokens = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("token"))
+    return LG.first_match(tokens, table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("log_runs", """
+WITH a AS (SELECT user_id, event_type,
+                  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+                  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn2 FROM events)
+SELECT user_id, event_type, min(rn) AS run_start, count(*) AS run_length FROM a GROUP BY user_id, event_type, rn - rn2""")
+def q_log_runs(spark, d):
+    return LG.run_lengths(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -67,9 +67,10 @@ def _mae(test: DataFrame, pred_col: str, model: str) -> DataFrame:
 def ols_fit(split: DataFrame) -> DataFrame:
     """Least squares y = a + b x on the train rows; constant x gives b = 0, a = mean(y)."""
     tr = _xy(split).filter(~F.col("is_test"))
+    varies = F.var_pop("x") > 0
     return tr.groupBy(*GROUP).agg(
-        F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"),
-        F.coalesce(F.regr_intercept("y", "x"), F.avg("y")).alias("intercept"))
+        F.when(varies, F.regr_slope("y", "x")).otherwise(F.lit(0.0)).alias("slope"),
+        F.when(varies, F.regr_intercept("y", "x")).otherwise(F.avg("y")).alias("intercept"))
 
 
 def ols_group_mae(split: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def all_model_scores(split: DataFrame) -> DataFrame:
 def rank_models(scores: DataFrame) -> DataFrame:
     """Rank 1 = lowest MAE in the group; ties by model name."""
     w = Window.partitionBy(*GROUP).orderBy("mae", "model")
-    return scores.withColumn("model_rank", F.row_number().over(w))
+    return scores.withColumn("model_rank", F.row_number().over(w).cast("long"))
 
 
 def group_x_model(trips: DataFrame) -> DataFrame:

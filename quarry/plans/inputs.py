@@ -65,7 +65,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     p = em.select("vec_id", "embedding",
                   F.explode(F.sequence(F.lit(0), (F.size("embedding") / 2 - 1).cast("int"))).alias("pt"))
-    return p.select("vec_id", "pt",
+    return p.select("vec_id", F.col("pt").cast("long").alias("pt"),
                     F.element_at("embedding", 2 * F.col("pt") + 1).cast("double").alias("x"),
                     F.element_at("embedding", 2 * F.col("pt") + 2).cast("double").alias("y"))
 
@@ -76,7 +76,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("trial_id"),
                     F.col("o_orderpriority").alias("series"),
                     F.col("o_orderstatus").alias("scheme"),
-                    (F.month("o_orderdate") % 4 + 1).alias("working_set"),
+                    (F.month("o_orderdate") % 4 + 1).cast("long").alias("working_set"),
                     F.col("o_totalprice").alias("runtime"),
                     (F.col("o_custkey") % 97).alias("spilled"),
                     (F.col("o_custkey") % 13).alias("migrations"))

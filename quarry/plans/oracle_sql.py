@@ -55,8 +55,9 @@ OLS = """ols AS (
   SELECT file, pickup_location_id, 'linear_regression' AS model,
          round(avg(abs(y - (intercept + slope * x))) + 1e-9, 3) AS mae
   FROM xy JOIN (
-    SELECT file, pickup_location_id, coalesce(regr_slope(y, x), 0.0) AS slope,
-           coalesce(regr_intercept(y, x), avg(y)) AS intercept
+    SELECT file, pickup_location_id,
+           CASE WHEN var_pop(x) > 0 THEN regr_slope(y, x) ELSE 0.0 END AS slope,
+           CASE WHEN var_pop(x) > 0 THEN regr_intercept(y, x) ELSE avg(y) END AS intercept
     FROM xy WHERE NOT is_test GROUP BY ALL) f USING (file, pickup_location_id)
   WHERE is_test GROUP BY ALL)"""
 

@@ -86,6 +86,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
         res["example"] = bad[:3]
     else:
         res["status"] = "ok"
+        sd = {c: str(spdf[c].dtype) for c in spdf.columns}
+        dd = {c: str(ddf[c].dtype) for c in ddf.columns}
+        diff = {c: (sd[c], dd.get(c)) for c in sd if sd[c] != dd.get(c)}
+        if diff:
+            res["status"] = "ok"
+            res["example"] = f"dtype differences {diff}"
     return res
 
 
