@@ -640,6 +640,100 @@ def q_log_runs(spark, d):
     return LG.run_lengths(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type")
 
 
+# ---------------------------------------------------------------- sources and scalar functions
+
+N_TRAILING = 6
+BATCH_SIZE = 500
+N_IMAGES = 12
+
+
+@query("distinct_keys", """
+SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, user_id FROM events""")
+def q_distinct_keys(spark, d):
+    return table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id").distinct()
+
+
+@query("scan_by_month", f"""
+SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, count(*) AS n_orders,
+       {S.r6('sum(o_totalprice)')} AS revenue FROM orders GROUP BY ALL""")
+def q_scan_by_month(spark, d):
+    o = table(spark, d, "orders")
+    return (o.groupBy(F.year("o_orderdate").cast("long").alias("year"), F.month("o_orderdate").cast("long").alias("month"))
+             .agg(F.count(F.lit(1)).alias("n_orders"), stable_round(F.sum("o_totalprice"), 6).alias("revenue")))
+
+
+@query("last_n_files", f"""
+WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS file, * FROM orders),
+lastm AS (SELECT DISTINCT file FROM m ORDER BY file DESC LIMIT {N_TRAILING})
+SELECT file, count(*) AS n_orders, {S.r6('sum(o_totalprice)')} AS revenue FROM m WHERE file IN (SELECT file FROM lastm)
+GROUP BY file""")
+def q_last_n_files(spark, d):
+    from quarry.sources.partitioned import last_n_periods
+    o = table(spark, d, "orders").withColumn("file", F.date_format("o_orderdate", "yyyy-MM"))
+    return (last_n_periods(o, "file", N_TRAILING).groupBy("file")
+            .agg(F.count(F.lit(1)).alias("n_orders"), stable_round(F.sum("o_totalprice"), 6).alias("revenue")))
+
+
+@query("modulo_lookup", f"""
+SELECT e.event_id, p.p_partkey, p.p_name FROM events e
+JOIN part p ON p.p_partkey = e.event_id % {N_IMAGES} + 1""")
+def q_modulo_lookup(spark, d):
+    catalogue = table(spark, d, "part").filter(F.col("p_partkey").between(1, N_IMAGES)).select("p_partkey", "p_name")
+    ev = table(spark, d, "events").select("event_id", (F.pmod("event_id", F.lit(N_IMAGES)) + 1).alias("p_partkey"))
+    # p_partkey is the part key, so the filtered catalogue has at most N_IMAGES rows.
+    return ev.join(F.broadcast(catalogue), "p_partkey").select("event_id", "p_partkey", "p_name")
+
+
+@query("batch_arrivals", f"""
+SELECT event_id, seq, seq // {BATCH_SIZE} AS batch FROM (
+  SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq FROM events)""")
+def q_batch_arrivals(spark, d):
+    from quarry.plans.sequence import number_rows
+    ev = number_rows(table(spark, d, "events").select("event_id", "ts"), [], ["ts", "event_id"], rn="_rn")
+    seq = F.col("_rn") - 1
+    return ev.select("event_id", seq.alias("seq"), F.floor(seq / F.lit(BATCH_SIZE)).cast("long").alias("batch"))
+
+
+@query("normalize_vec", """
+SELECT vec_id, i - 1 AS i,
+       round((x - [0.485, 0.456, 0.406][((i - 1) % 3) + 1]) / [0.229, 0.224, 0.225][((i - 1) % 3) + 1] + 1e-9, 6) AS value
+FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)""")
+def q_normalize_vec(spark, d):
+    from quarry.functions.scalars import normalize_channels
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    return e.select("vec_id", F.col("i").cast("long").alias("i"),
+                    stable_round(normalize_channels(F.col("x").cast("double"), F.col("i")), 6).alias("value"))
+
+
+@query("strict_bool", """
+SELECT toxic = 1 AS flag, count(*) AS n FROM labels GROUP BY 1""")
+def q_strict_bool(spark, d):
+    from quarry.functions.scalars import strict_bool
+    raw = table(spark, d, "labels").select(
+        F.when(F.col("toxic") == 1, F.lit("true")).otherwise(F.lit("False")).alias("flag_text"))
+    return raw.select(strict_bool("flag_text").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("size_plan", """
+SELECT l_returnflag, count(*) AS n_rows, count(*) * 64 AS est_bytes,
+       CAST(least(ceil(count(*) * 64 / 65536), 8) AS BIGINT) AS num_partitions FROM lineitem GROUP BY 1""")
+def q_size_plan(spark, d):
+    from quarry.functions.scalars import ceil_div
+    g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"))
+    g = g.withColumn("est_bytes", F.col("n_rows") * 64)
+    return g.withColumn("num_partitions", F.least(ceil_div("est_bytes", F.lit(65536)), F.lit(8)).cast("long"))
+
+
+@query("metrics_json", None)
+def q_metrics_json(spark, d):
+    from quarry.sources.sinks import metrics_records
+    runs = I.trials(spark, d).groupBy("series").agg(
+        F.sum("runtime").alias("time"), F.lit(True).alias("success"), F.count(F.lit(1)).alias("num_partitions"),
+        F.max("trial_id").alias("partition_size"), F.sum("spilled").alias("spilled"),
+        F.sum("migrations").alias("migrations"))
+    return metrics_records(runs, ["spilled", "migrations"])
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
