@@ -734,6 +734,30 @@ def q_metrics_json(spark, d):
     return metrics_records(runs, ["spilled", "migrations"])
 
 
+# ---------------------------------------------------------------- streaming
+
+@query("stream_running_sum", TF + f"""
+SELECT video, frame, {S.r6('sum(dx) OVER w')} AS cum_dx, {S.r6('sum(dy) OVER w')} AS cum_dy,
+       {S.r6('sum(da) OVER w')} AS cum_da
+FROM tf WINDOW w AS (PARTITION BY video ORDER BY frame {RUN})""")
+def q_stream_running_sum(spark, d):
+    from quarry.streaming.trajectory import run_stream
+    return run_stream(_tf(spark, d), RADIUS, mode="running")
+
+
+@query("stream_smooth", SMOOTH_SQL + " SELECT * FROM sm")
+def q_stream_smooth(spark, d):
+    from quarry.streaming.trajectory import run_stream
+    return run_stream(_tf(spark, d), RADIUS, mode="smooth")
+
+
+@query("batched_equals_batch", f"""
+SELECT event_type, count(*) AS n_events, {S.r6('sum(value)')} AS total FROM events GROUP BY 1""")
+def q_batched_equals_batch(spark, d):
+    from quarry.streaming.batches import batched_totals
+    return batched_totals(table(spark, d, "events"))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

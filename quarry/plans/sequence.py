@@ -56,8 +56,8 @@ def number_rows(df: DataFrame, keys: list[str], order: list, rn: str = "rn",
     ranged = (df.repartitionByRange(n, *sort_cols)
                 .sortWithinPartitions(*sort_cols)
                 .withColumn("_q_pid", F.spark_partition_id())
-                .withColumn("_q_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+                .withColumn("_q_mid", F.monotonically_increasing_id()))
+    ranged = ranged.checkpoint(eager=True)
     stats = ranged.groupBy("_q_pid", *keys).agg(
         F.min("_q_mid").alias("_q_first"), F.count(F.lit(1)).alias("_q_cnt"))
     before = Window.partitionBy(*keys).orderBy("_q_pid").rowsBetween(
