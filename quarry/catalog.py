@@ -734,6 +734,18 @@ def q_metrics_json(spark, d):
     return metrics_records(runs, ["spilled", "migrations"])
 
 
+
+@query("null_key_group", f"""
+SELECT l.quality, count(*) AS n_docs, {S.r6('avg(d.n_chars)')} AS avg_chars
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY l.quality""")
+def q_null_key_group(spark, d):
+    """Unlabelled documents form their own (null) quality bucket instead of vanishing."""
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    lab = table(spark, d, "labels").select("doc_id", "quality")
+    return (docs.join(lab, "doc_id", "left").groupBy("quality")
+                .agg(F.count(F.lit(1)).alias("n_docs"), stable_round(F.avg("n_chars"), 6).alias("avg_chars")))
+
+
 # ---------------------------------------------------------------- streaming
 
 @query("stream_running_sum", TF + f"""

@@ -50,11 +50,13 @@ def number_rows(df: DataFrame, keys: list[str], order: list, rn: str = "rn",
     at most (#keys + #tasks) rows; AQE broadcasts it when it measures small.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = _cols(keys) + _cols(order)
     ensure_checkpoint_dir(spark)
-    ranged = (df.repartitionByRange(n, *sort_cols)
-                .sortWithinPartitions(*sort_cols)
+    # Without an explicit count the range exchange follows spark.sql.shuffle.partitions and
+    # AQE may merge small neighbouring ranges; merged ranges stay contiguous and are sorted
+    # again below, so the numbering is unaffected.
+    ranged = df.repartitionByRange(partitions, *sort_cols) if partitions else df.repartitionByRange(*sort_cols)
+    ranged = (ranged.sortWithinPartitions(*sort_cols)
                 .withColumn("_q_pid", F.spark_partition_id())
                 .withColumn("_q_mid", F.monotonically_increasing_id()))
     ranged = ranged.checkpoint(eager=True)
