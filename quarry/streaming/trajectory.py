@@ -107,21 +107,31 @@ def stream_input(tf: DataFrame, frames_per_file: int = 20, files: int = 4) -> Da
     return u.withColumn("_file", F.least(F.floor(F.col("frame") / frames_per_file), F.lit(files - 1)))
 
 
-def run_stream(tf: DataFrame, radius: int, mode: str = "smooth", files: int = 4,
-               frames_per_file: int = 20, parts_per_file: int = 2) -> DataFrame:
-    """Write the input as ``files`` groups of parquet files, stream them one trigger at a
-    time through the keyed state function, and return what the sink received."""
-    spark = tf.sparkSession
-    src, out, ck = (scratch_path(spark, n) for n in ("stream-src", "stream-out", "stream-ckpt"))
-    inp = stream_input(tf, frames_per_file, files)
-    for j in range(files):
+def write_input(inp: DataFrame, src: str, file_ids, parts_per_file: int = 2) -> None:
+    """Append the given input files (frame ranges) to the stream's source folder."""
+    for j in file_ids:
         (inp.filter(F.col("_file") == j).drop("_file").repartition(parts_per_file, "video")
             .write.mode("append").parquet(src))
-    stream = (spark.readStream.schema(IN_SCHEMA).option("maxFilesPerTrigger", parts_per_file).parquet(src))
+
+
+def drain(spark, src: str, out: str, ck: str, radius: int, mode: str = "smooth", parts_per_file: int = 2) -> None:
+    """Process everything in ``src`` not yet seen by checkpoint ``ck`` and stop; state and
+    progress live in ``ck``, so a later call resumes where this one ended."""
+    stream = spark.readStream.schema(IN_SCHEMA).option("maxFilesPerTrigger", parts_per_file).parquet(src)
     fn = lambda key, pdfs, state: _step(key, pdfs, state, radius, mode)
     res = stream.groupBy("video").applyInPandasWithState(
         fn, SMOOTH_OUT if mode == "smooth" else RUNNING_OUT, STATE, "append", GroupStateTimeout.NoTimeout)
     q = (res.writeStream.format("parquet").option("checkpointLocation", ck).outputMode("append")
             .trigger(availableNow=True).start(out))
     q.awaitTermination()
+
+
+def run_stream(tf: DataFrame, radius: int, mode: str = "smooth", files: int = 4,
+               frames_per_file: int = 20, parts_per_file: int = 2) -> DataFrame:
+    """Write the input as ``files`` groups of parquet files, stream them one trigger at a
+    time through the keyed state function, and return what the sink received."""
+    spark = tf.sparkSession
+    src, out, ck = (scratch_path(spark, n) for n in ("stream-src", "stream-out", "stream-ckpt"))
+    write_input(stream_input(tf, frames_per_file, files), src, range(files), parts_per_file)
+    drain(spark, src, out, ck, radius, mode, parts_per_file)
     return spark.read.schema(SMOOTH_OUT if mode == "smooth" else RUNNING_OUT).parquet(out)
