@@ -37,10 +37,21 @@ def stable_round(x, digits: int) -> Column:
     return F.round(_c(x) + F.lit(1e-9), digits)
 
 
+def micros_between(start, end) -> Column:
+    """end - start in microseconds. On ``timestamp_ntz`` this is wall-clock arithmetic, the
+    same in every session time zone (a cast to ``timestamp`` would shift across DST)."""
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 00:00:00 of a ``timestamp_ntz``, zone-independent."""
+    return micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def timestamp_seconds_component(start, end) -> Column:
     """Seconds part of (end - start) as a day/second split: 0..86399, so 24h10m -> 600 and
     -1s -> 86399 (the behaviour of a timedelta's ``seconds`` field)."""
-    us = F.unix_micros(_c(end).cast("timestamp")) - F.unix_micros(_c(start).cast("timestamp"))
+    us = micros_between(start, end)
     return F.pmod(F.floor(us / F.lit(1_000_000)), F.lit(86400)).cast("long")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.scalars import stable_round
+from quarry.functions.scalars import epoch_micros, stable_round
 from quarry.plans.sequence import DEFAULT_CHUNK_ROWS, neighbours, running_totals, window_sums
 
 AXES = ("x", "y", "a")
@@ -160,9 +160,9 @@ def cap_per_group(tf: DataFrame, max_frames: int) -> DataFrame:
 def paced(tf: DataFrame, fps: int) -> DataFrame:
     """Frame i of a video is due at start + i/fps; lateness = arrival - due."""
     start = tf.groupBy("video").agg(F.min("ts").alias("_start"))
-    due = F.unix_micros(F.col("_start").cast("timestamp")) + F.floor(F.col("frame") * F.lit(1_000_000) / F.lit(fps))
+    due = epoch_micros("_start") + F.floor(F.col("frame") * F.lit(1_000_000) / F.lit(fps))
     t = tf.join(start, "video").withColumn("due_us", due.cast("long"))
-    late = (F.unix_micros(F.col("ts").cast("timestamp")) - F.col("due_us")) / F.lit(1e6)
+    late = (epoch_micros("ts") - F.col("due_us")) / F.lit(1e6)
     return t.select("video", "frame", "due_us", stable_round(late, 6).alias("lateness_s"))
 
 

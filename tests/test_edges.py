@@ -149,3 +149,14 @@ def test_stat_text(spark):
     assert p[2].duration == "3.5"
     s = {r.doc_id: (r.n_lines, r.total) for r in LG.sum_stats(docs, "Spilled").collect()}
     assert s == {2: (1, 4), 3: (3, 1 + 1 + 0)}
+
+
+def test_duration_ignores_session_time_zone(spark):
+    rows = [(dt.datetime(2024, 3, 10, 1, 30), dt.datetime(2024, 3, 10, 3, 30))]   # US DST starts in between
+    df = spark.createDataFrame(rows, "p timestamp_ntz, d timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert df.select(trip_duration("p", "d").alias("s")).collect()[0].s == 7200
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
