@@ -59,3 +59,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in Python workers (what ``--py-files`` does at submit
+    time): zip the package into the shared folder once per session and ``addPyFile`` it."""
+    import shutil
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = scratch_path(spark, "quarry-pkg")
+    os.makedirs(base, exist_ok=True)
+    archive = shutil.make_archive(os.path.join(base, "quarry"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="quarry")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
