@@ -42,13 +42,16 @@ def build_session(master: str | None = None, partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the session names none (local tests) is a private folder created.
+    Only a ``local[...]`` session that names none gets a private folder; on a cluster that
+    would be a different folder on every machine, so it is an error there.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
+        d = tempfile.mkdtemp(prefix="quarry-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
@@ -61,20 +64,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``quarry`` importable in Python workers (what ``--py-files`` does at submit
-    time): zip the package into the shared folder once per session and ``addPyFile`` it."""
+    time). The zip is code, not data: the driver builds it in a folder of its own and
+    Spark's file server hands it to the executors."""
     import shutil
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    base = scratch_path(spark, "quarry-pkg")
-    os.makedirs(base, exist_ok=True)
-    archive = shutil.make_archive(os.path.join(base, "quarry"), "zip",
-                                  root_dir=os.path.dirname(pkg_dir), base_dir="quarry")
-    sc.addPyFile(archive)
-    _SHIPPED.add(id(sc))
+    base = os.path.realpath(tempfile.mkdtemp(prefix="quarry-pkg-"))
+    sc.addPyFile(shutil.make_archive(os.path.join(base, "quarry"), "zip",
+                                     root_dir=os.path.dirname(pkg_dir), base_dir="quarry"))
+    _SHIPPED.add(sc.applicationId)
