@@ -151,7 +151,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def open_fs(uri: str):
     """The pyarrow file system and path of a URI, as tasks use it."""
     from pyarrow import fs
-    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        uri = "file:///" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def attempt_name(stem: str) -> str:
