@@ -187,19 +187,22 @@ def _locate(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int,
     """Of passages (anchor, block, low, top, words) with whole anchors: (block, anchor, key,
     smallest doc_id of every window) of those that have a window to remove."""
     import ahocorasick
+    distinct: dict[bytes, list[int]] = {}  # smallest and largest doc_id of every passage
+    for _, _, low, top, words in rows:
+        got = distinct.setdefault(words, [low, top])
+        got[0], got[1] = min(got[0], low), max(got[1], top)
     number: dict[bytes, int] = {}
-    texts = [tuple(number.setdefault(w, len(number)) for w in words.split(b" ")) for *_, words in rows]
-    ends: dict[tuple, list[int]] = {}  # of every window: smallest and largest doc_id
-    for (_, _, low, top, _), t in zip(rows, texts):
+    texts = []
+    ends: dict[tuple, list[int]] = {}  # and of every window
+    for words, (low, top) in distinct.items():
+        t = tuple([number.setdefault(w, len(number)) for w in words.split(b" ")])
+        texts.append(t)
         for i in range(len(t) - WINDOW + 1):
-            got = ends.get(w := t[i: i + WINDOW])
-            if got is None:
-                ends[w] = [low, top]
-            else:
-                if low < got[0]:
-                    got[0] = low
-                if top > got[1]:
-                    got[1] = top
+            got = ends.setdefault(t[i: i + WINDOW], [low, top])
+            if low < got[0]:
+                got[0] = low
+            if top > got[1]:
+                got[1] = top
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for w, (low, top) in ends.items():
         if low < top:
@@ -207,12 +210,16 @@ def _locate(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int,
     if not len(automaton):
         return
     automaton.make_automaton()
-    for (anchor, block, _, top, words), t in zip(rows, texts):
+    firsts: dict[bytes, tuple[int, bytes, list[int]]] = {}
+    for (words, (_, top)), t in zip(distinct.items(), texts):
         first = [top] * (len(t) - WINDOW + 1)
         for end, low in automaton.iter(t):
             first[end - WINDOW + 1] = low
-        if min(first) < top:
-            yield block, anchor, md5(words).digest(), first
+        firsts[words] = min(first), md5(words).digest(), first
+    for anchor, block, _, top, words in rows:
+        least, key, first = firsts[words]
+        if least < top:
+            yield block, anchor, key, first
 
 
 def _first_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

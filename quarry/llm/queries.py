@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import common, quality, simhash
+from quarry.llm import common, langid, minhash, mixing, phrases, quality, secretscan, simhash, tokenfile, triebpe, warc
 
 
 def _over(table: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,12 +20,23 @@ def _over(table: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_fingerprints": _over("documents", minhash.op1),
         "op2_simhash_near_dedup": _over("documents", simhash.op2),
+        "op3_warc_normaliser": _over("pages", warc.op3),
+        "op4_weighted_mixing": _over("documents", mixing.op4),
+        "op5_language_id": _over("documents", langid.op5),
         "op6_quality_ledger": _over("documents", quality.op6),
+        "op7_token_files": _over("documents", tokenfile.op7),
+        "op8_trie_bpe": _over("documents", triebpe.op8),
+        "op9_repeated_phrases": _over("documents", phrases.op9),
+        "op10_secret_scan": _over("documents", secretscan.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc_normaliser": warc.SQL,
+        "op4_weighted_mixing": mixing.SQL,
         "op6_quality_ledger": quality.SQL,
+        "op9_repeated_phrases": phrases.SQL,
     }
