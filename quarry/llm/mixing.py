@@ -91,6 +91,15 @@ def schedule(docs: DataFrame) -> DataFrame:
         F.sum("take").alias("taken"), F.count_if(F.col("take") > 0).cast("int").alias("copies")).drop("row")
 
 
+def mix(docs: DataFrame) -> DataFrame:
+    """The mix as rows of ``docs``: every document as often as the mix takes it, at least in
+    part (the last document of the budget is not cut). Rows that share a doc_id are used
+    alike."""
+    took = schedule(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    return docs.join(took, docs["doc_id"].eqNullSafe(took["_id"])).withColumn(
+        "_use", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+
+
 def op4(docs: DataFrame) -> DataFrame:
     return schedule(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 

@@ -19,6 +19,7 @@ a null doc_id row is returned with its component's smallest id (null if it has n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ready, utf8
+from quarry.llm.common import chunks, mix, ready, utf8, window_hashes, word_hashes
 from quarry.llm.components import components
 
 SEED = 42
@@ -68,28 +69,34 @@ def _ones(fp: Column) -> Column:
     return sum((F.shiftrightunsigned(fp, j).bitwiseAND(mask) for j in range(1, WIDTH)), fp.bitwiseAND(mask))
 
 
+def _cells(grid: DataFrame, keys: list[str], segments: int) -> DataFrame:
+    """``keys``, fp, and the cells within distance 1: (segment s, step d, cell)."""
+    grid = grid.select(*keys, "fp", _ones(F.col("fp")).alias("c"))
+    steps = F.array(*[F.struct(
+        F.lit(s).alias("s"), F.lit(d).alias("d"), F.lit(d << (WIDTH * s)).cast("long").alias("add"),
+        F.expr(f"cast(shiftrightunsigned(c, {WIDTH * s}) & 15 as int)").alias("n")) for s in range(segments) for d in (1, -1)])
+    home = F.struct(F.lit(-1).alias("s"), F.lit(0).alias("d"), F.lit(0).cast("long").alias("add"), F.lit(0).alias("n"))
+    near = F.concat(F.array(home), F.filter(steps, lambda x: F.when(x["d"] == 1, x["n"] < WIDTH).otherwise(x["n"] > 0)))
+    return grid.select(*keys, "fp", "c", F.explode(near).alias("x")).select(
+        *keys, "fp", F.col("x.s").alias("s"), F.col("x.d").alias("d"), (F.col("c") + F.col("x.add")).alias("cell"))
+
+
+def _values(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, fp and the values z of a cell that are within one bit of the fingerprint."""
+    bits = F.array(*[F.expr(f"shiftleft(1L, s * {WIDTH} + {j})") for j in range(WIDTH)])
+    fp = F.col("fp")
+    flip = F.filter(bits, lambda m: F.when(F.col("d") == 1, fp.bitwiseAND(m) == 0).otherwise(fp.bitwiseAND(m) != 0))
+    near = F.when(F.col("s") < 0, F.array("fp")).otherwise(F.transform(flip, lambda m: fp.bitwiseXOR(m)))
+    return cells.select(*keys, "fp", F.explode(near).alias("z"))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Exact links (u, v) between distinct fingerprints ``fp`` at Hamming distance <= 2: for
     every meeting value, each fingerprint with the smallest one there (so connectivity, not
     all pairs)."""
-    segs = F.lit(list(range(SEGMENTS)))
-    nib = lambda s: F.expr(f"cast(shiftrightunsigned(c, {WIDTH} * {s}) & 15 as int)")
-    grid = fps.select("fp", _ones(F.col("fp")).alias("c"))
-    steps = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(d).alias("d"), F.lit(d << (WIDTH * s)).cast("long").alias("add"),
-                               nib(s).alias("n")) for s in range(SEGMENTS) for d in (1, -1)])
-    ok = lambda x: F.when(x["d"] == 1, x["n"] < WIDTH).otherwise(x["n"] > 0)
-    near = F.concat(F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).alias("d"), F.lit(0).cast("long").alias("add"),
-                                     F.lit(0).alias("n"))), F.filter(steps, ok))
-    cells = grid.select("fp", "c", F.explode(near).alias("x")).select(
-        "fp", F.col("x.s").alias("s"), F.col("x.d").alias("d"), (F.col("c") + F.col("x.add")).alias("cell"))
+    cells = _cells(fps, [], SEGMENTS)
     crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
-    # verification: the values in that cell one bit flip away (or the fingerprint itself)
-    bits = F.transform(F.lit(list(range(WIDTH))), lambda j: F.expr("1L").cast("long") * 0 + F.call_function(
-        "shiftleft", F.lit(1).cast("long"), F.col("s") * WIDTH + j))
-    wants = lambda m: F.when(F.col("d") == 1, F.col("fp").bitwiseAND(m) == 0).otherwise(F.col("fp").bitwiseAND(m) != 0)
-    values = F.when(F.col("s") < 0, F.array("fp")).otherwise(
-        F.transform(F.filter(bits, wants), lambda m: F.col("fp").bitwiseXOR(m)))
-    met = cells.join(crowded, "cell", "left_semi").select("fp", F.explode(values).alias("z")) \
+    met = _values(cells.join(crowded, "cell", "left_semi"), []) \
         .groupBy("z").agg(F.sort_array(F.collect_set("fp")).alias("l")).filter(F.size("l") > 1)
     return met.select(F.col("l")[0].alias("v"), F.explode(F.slice("l", 2, 64)).alias("u")).distinct()
 
@@ -115,3 +122,84 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
 
 def op2(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# -- near duplicates by five-word shingles at similarity 0.8 -----------------------
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints of a text's distinct words: five of 40 bits, each searched by its own grid.
+PRINTS, PRINT_BITS = 5, 40
+_SIGNATURE = "doc_id bigint, exact binary, fps array<bigint>, grams array<int>"
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, ``exact`` (MD5 of the words), ``fps`` (SimHash fingerprints of the distinct
+    words) and ``grams`` (32-bit hashes of the distinct five-word shingles) of every text."""
+    shifts = np.arange(PRINTS, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, buf, at in chunks(utf8(b.column("text"))):
+                s, _, h = word_hashes(buf)
+                first = np.searchsorted(s, at)
+                exact, fps, grams = [], [], []
+                for d in range(j - i):
+                    own = h[first[d]: first[d + 1]]
+                    exact.append(md5(own.tobytes()).digest())
+                    g = window_hashes(own, SHINGLE) if len(own) >= SHINGLE else mix(own[:1] + np.uint64(len(own)))
+                    grams.append(np.unique(g.astype(np.uint32)).view(np.int32))
+                    seen = np.unique(own)
+                    ones = np.zeros(PRINTS * PRINT_BITS, np.int64)
+                    for k in range(0, len(seen), _BLOCK):
+                        more = mix(seen[k: k + _BLOCK, None] + shifts * np.uint64(0x9E3779B97F4A7C15))
+                        bits = np.unpackbits(more.view(np.uint8).reshape(-1, PRINTS, 8)[:, :, : PRINT_BITS // 8], axis=2, bitorder="little")
+                        ones += bits.reshape(len(more), -1).sum(0, dtype=np.uint32)
+                    up = (2 * ones > len(seen)).reshape(PRINTS, PRINT_BITS)
+                    wide = np.concatenate([np.packbits(up, axis=1, bitorder="little"),
+                                           np.zeros((PRINTS, 8 - PRINT_BITS // 8), np.uint8)], axis=1)
+                    fps.append(np.ascontiguousarray(wide).view(np.int64).ravel())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id")[i:j].cast(pa.int64()), pa.array(exact, pa.binary()), pa.array(fps, pa.list_(pa.int64())),
+                     pa.array(grams, pa.list_(pa.int32()))], ["doc_id", "exact", "fps", "grams"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _SIGNATURE)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes (id, fps): at every value that several nodes meet in one of the
+    grids, each with the smallest and the largest of them. Both are partial aggregates, so a
+    value that very many nodes meet at spreads over tasks, and no cell emits all its pairs."""
+    grid = nodes.select("id", F.posexplode("fps").alias("t", "fp"))
+    cells = _cells(grid, ["id", "t"], PRINT_BITS // WIDTH)
+    crowded = cells.groupBy("t", "cell").agg(F.count("*").alias("n")).filter("n > 1").select("t", "cell")
+    met = _values(cells.join(crowded, ["t", "cell"], "left_semi"), ["id", "t"])
+    ends = met.groupBy("t", "z").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
+    return met.join(ends, ["t", "z"]).select("id", F.explode(F.array("a", "b")).alias("o")).filter("id <> o") \
+        .select(F.greatest("id", "o").alias("u"), F.least("id", "o").alias("v")).distinct()
+
+
+def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id of the documents in groups of two or more: equal words, or linked
+    by candidates whose five-word shingle sets have a Jaccard similarity of at least
+    ``similarity`` (checked on the whole sets). Rows with a null doc_id are left out."""
+    ready(docs.sparkSession)
+    sig = signatures(docs).filter("doc_id is not null").checkpoint()
+    same = sig.groupBy("exact", "fps").agg(F.min("doc_id").alias("id"))
+    pairs = candidates(same.select("id", "fps"))
+    grams = sig.join(same.select("exact", F.col("id").alias("doc_id")), ["exact", "doc_id"]) \
+        .select(F.col("doc_id").alias("id"), "grams").dropDuplicates(["id"])
+    one = pairs.join(grams.select(F.col("id").alias("u"), F.col("grams").alias("x")), "u") \
+        .join(grams.select(F.col("id").alias("v"), F.col("grams").alias("y")), "v")
+    both = F.size(F.array_intersect("x", "y"))
+    linked = one.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
+    comp = components(linked)
+    of_text = sig.select("doc_id", "exact").join(same.select("exact", "id"), "exact")
+    return of_text.join(comp, of_text["id"] == comp["node"], "left").select(
+        "doc_id", F.coalesce("root", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without the documents that are near duplicates of one with a
+    smaller doc_id in their group. Rows with a null doc_id stay."""
+    gone = copies(docs, similarity).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
