@@ -147,7 +147,7 @@ def write_monolithic(planned: DataFrame, folder: str) -> DataFrame:
                 fsys, base = open_fs(folder)
                 fsys.create_dir(base, recursive=True)
                 name = attempt_name("whole") + ".warc.gz"
-                out, z, n = fsys.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, GZIP), 0
+                out, z, n = fsys.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, GZIP), 0
             for pid, url, html, ref in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
                 out.write(z.compress(record(pid, url, html.encode(), ref)))
                 n += 1
