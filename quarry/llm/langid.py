@@ -6,7 +6,8 @@ n-grams (5 down to 1) that are known: the mean of their log frequencies. Probabi
 softmax of those means scaled by a fixed temperature.
 
 Training: per language the first ``max_docs`` labelled documents in the order of a hash of the
-id (a documented bound of the sample that fits the classifier; with it the model has a proven
+id, for the ``MAX_LANGS`` commonest languages (documented bounds of the sample that fits the
+classifier; with them the model has a proven
 size bound, so it can be sent to every task). Counting is distributed; words and n-grams seen
 once in the sample are left to the shorter n-grams.
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import ready
 
 MAX_DOCS, MAX_WORDS, MAX_GRAM, MIN_COUNT, FOLDS = 1000, 200_000, 5, 2, 5
+MAX_LANGS = 1000
 TEMPERATURE = 2.0
 LETTERS = re.compile(r"[^\W\d_]+")
 #: The same words for Spark.
@@ -47,11 +49,11 @@ def sample(docs: DataFrame, max_docs: int) -> DataFrame:
     found from (doc_id, lang) alone, one row per language, and are then a filter on the scan."""
     d = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))) \
         .withColumn("h", F.xxhash64("doc_id"))
-    limits = d.groupBy("lang").agg(F.count("*").alias("n"))
+    limits = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
     share = F.least(F.lit(1.0), F.lit(max_docs) / F.col("n"))
     # xxhash64 is uniform over the longs: the lowest share of them is a uniform sample
     limits = limits.select(F.col("lang").alias("_lang"), (F.lit(-2.0 ** 63) + share * F.lit(2.0 ** 64)).alias("top"))
-    return d.join(limits, d["lang"] == limits["_lang"]).filter(F.col("h").cast("double") <= F.col("top")).select("lang", "text")
+    return d.join(F.broadcast(limits), d["lang"] == limits["_lang"]).filter(F.col("h").cast("double") <= F.col("top")).select("lang", "text")
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> dict:
