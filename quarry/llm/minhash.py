@@ -35,7 +35,7 @@ def _densify(m: np.ndarray) -> None:
     attempt = 0
     while len(doc):
         attempt += 1
-        probe = (mix(bin_.astype(np.uint64) * np.uint64(0x100000001B3) + np.uint64(attempt) * np.uint64(0x9E3779B97F4A7C15))
+        probe = (mix(bin_.astype(np.uint64) * np.uint64(0x100000001B3) + np.uint64(attempt * 0x9E3779B97F4A7C15 % (1 << 64)))
                  >> _SHIFT).astype(np.int64)
         hit = full[doc, probe]
         m[doc[hit], bin_[hit]] = m[doc[hit], probe[hit]]
