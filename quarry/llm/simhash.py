@@ -63,40 +63,42 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def _ones(fp: Column) -> Column:
-    """The 16 segment bit counts, packed into the 16 nibbles of a long."""
-    mask = F.lit(0x1111111111111111)
-    return sum((F.shiftrightunsigned(fp, j).bitwiseAND(mask) for j in range(1, WIDTH)), fp.bitwiseAND(mask))
+def _ones(fp: Column, width: int = WIDTH) -> Column:
+    """The bit counts of the segments of ``width`` bits, each in its segment's place. (Two-bit
+    segments are for fingerprints of up to 62 bits: no sum reaches the sign bit.)"""
+    mask = F.lit(int(("0" * (width - 1) + "1") * (64 // width), 2))
+    return sum((F.shiftrightunsigned(fp, j).bitwiseAND(mask) for j in range(1, width)), fp.bitwiseAND(mask))
 
 
-def _cells(grid: DataFrame, keys: list[str], segments: int) -> DataFrame:
-    """``keys``, fp, and the cells within distance 1: (segment s, step d, cell)."""
-    grid = grid.select(*keys, "fp", _ones(F.col("fp")).alias("c"))
+def _cells(grid: DataFrame, keys: list[str], bits: int, width: int) -> DataFrame:
+    """``keys``, fp, and the cells within distance 1: (step: 0, or +-(segment + 1), cell)."""
+    grid = grid.select(*keys, "fp", _ones(F.col("fp"), width).alias("c"))
     steps = F.array(*[F.struct(
-        F.lit(s).alias("s"), F.lit(d).alias("d"), F.lit(d << (WIDTH * s)).cast("long").alias("add"),
-        F.expr(f"cast(shiftrightunsigned(c, {WIDTH * s}) & 15 as int)").alias("n")) for s in range(segments) for d in (1, -1)])
-    home = F.struct(F.lit(-1).alias("s"), F.lit(0).alias("d"), F.lit(0).cast("long").alias("add"), F.lit(0).alias("n"))
-    near = F.concat(F.array(home), F.filter(steps, lambda x: F.when(x["d"] == 1, x["n"] < WIDTH).otherwise(x["n"] > 0)))
+        F.lit(d * (k + 1)).alias("step"), F.lit(d << (width * k)).cast("long").alias("add"),
+        F.expr(f"cast(shiftrightunsigned(c, {width * k}) & {(1 << width) - 1} as int)").alias("n"))
+        for k in range(bits // width) for d in (1, -1)])
+    home = F.struct(F.lit(0).alias("step"), F.lit(0).cast("long").alias("add"), F.lit(0).alias("n"))
+    near = F.concat(F.array(home), F.filter(steps, lambda x: F.when(x["step"] > 0, x["n"] < width).otherwise(x["n"] > 0)))
     return grid.select(*keys, "fp", "c", F.explode(near).alias("x")).select(
-        *keys, "fp", F.col("x.s").alias("s"), F.col("x.d").alias("d"), (F.col("c") + F.col("x.add")).alias("cell"))
+        *keys, "fp", F.col("x.step").alias("step"), (F.col("c") + F.col("x.add")).alias("cell"))
 
 
-def _values(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, fp and the values z of a cell that are within one bit of the fingerprint."""
-    bits = F.array(*[F.expr(f"shiftleft(1L, s * {WIDTH} + {j})") for j in range(WIDTH)])
+def _values(cells: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``keys`` and the values z of a cell that are within one bit of the fingerprint."""
+    bits = F.array(*[F.expr(f"shiftleft(1L, (abs(step) - 1) * {width} + {j})") for j in range(width)])
     fp = F.col("fp")
-    flip = F.filter(bits, lambda m: F.when(F.col("d") == 1, fp.bitwiseAND(m) == 0).otherwise(fp.bitwiseAND(m) != 0))
-    near = F.when(F.col("s") < 0, F.array("fp")).otherwise(F.transform(flip, lambda m: fp.bitwiseXOR(m)))
-    return cells.select(*keys, "fp", F.explode(near).alias("z"))
+    flip = F.filter(bits, lambda m: F.when(F.col("step") > 0, fp.bitwiseAND(m) == 0).otherwise(fp.bitwiseAND(m) != 0))
+    near = F.when(F.col("step") == 0, F.array("fp")).otherwise(F.transform(flip, lambda m: fp.bitwiseXOR(m)))
+    return cells.select(*keys, F.explode(near).alias("z"))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Exact links (u, v) between distinct fingerprints ``fp`` at Hamming distance <= 2: for
     every meeting value, each fingerprint with the smallest one there (so connectivity, not
     all pairs)."""
-    cells = _cells(fps, [], SEGMENTS)
+    cells = _cells(fps, [], 64, WIDTH)
     crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
-    met = _values(cells.join(crowded, "cell", "left_semi"), []) \
+    met = _values(cells.join(crowded, "cell", "left_semi"), ["fp"], WIDTH) \
         .groupBy("z").agg(F.sort_array(F.collect_set("fp")).alias("l")).filter(F.size("l") > 1)
     return met.select(F.col("l")[0].alias("v"), F.explode(F.slice("l", 2, 64)).alias("u")).distinct()
 
@@ -127,26 +129,33 @@ def op2(docs: DataFrame) -> DataFrame:
 # -- near duplicates by five-word shingles at similarity 0.8 -----------------------
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of a text's distinct words: five of 40 bits, each searched by its own grid.
-PRINTS, PRINT_BITS = 5, 40
-_SIGNATURE = "doc_id bigint, exact binary, fps array<bigint>, grams array<int>"
+#: Fingerprints of a text's distinct words: five of 40 bits, each searched by its own grid of
+#: two-bit segments.
+PRINTS, PRINT_BITS, PRINT_WIDTH = 5, 40, 2
+#: Minima of the shingle hashes under as many orders; at similarity 0.8 two documents share
+#: none of eight with probability 0.2 ** 8.
+MINIMA = 8
+_SIGNATURE = "doc_id bigint, exact binary, fps array<bigint>, minima array<bigint>, grams array<int>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, ``exact`` (MD5 of the words), ``fps`` (SimHash fingerprints of the distinct
-    words) and ``grams`` (32-bit hashes of the distinct five-word shingles) of every text."""
+    words), ``minima`` and ``grams`` (32-bit hashes) of the distinct five-word shingles of every
+    text."""
     shifts = np.arange(PRINTS, dtype=np.uint64)
+    orders = np.array([0x9E3779B97F4A7C15 * (k + 1) % (1 << 64) for k in range(MINIMA)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, at in chunks(utf8(b.column("text"))):
                 s, _, h = word_hashes(buf)
                 first = np.searchsorted(s, at)
-                exact, fps, grams = [], [], []
+                exact, fps, minima, grams = [], [], [], []
                 for d in range(j - i):
                     own = h[first[d]: first[d + 1]]
                     exact.append(md5(own.tobytes()).digest())
                     g = window_hashes(own, SHINGLE) if len(own) >= SHINGLE else mix(own[:1] + np.uint64(len(own)))
+                    minima.append([int(mix(g ^ o).min().view(np.int64)) for o in orders] if len(g) else [])
                     grams.append(np.unique(g.astype(np.uint32)).view(np.int32))
                     seen = np.unique(own)
                     ones = np.zeros(PRINTS * PRINT_BITS, np.int64)
@@ -160,21 +169,35 @@ def signatures(docs: DataFrame) -> DataFrame:
                     fps.append(np.ascontiguousarray(wide).view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id")[i:j].cast(pa.int64()), pa.array(exact, pa.binary()), pa.array(fps, pa.list_(pa.int64())),
-                     pa.array(grams, pa.list_(pa.int32()))], ["doc_id", "exact", "fps", "grams"])
+                     pa.array(minima, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int32()))],
+                    ["doc_id", "exact", "fps", "minima", "grams"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNATURE)
 
 
+def _promising(nodes: DataFrame) -> DataFrame:
+    """The nodes (id, fps, minima) that share a minimum with another: the others have no near
+    duplicate, and need no cells. One row per minimum, and partial aggregates."""
+    m = nodes.select("id", F.posexplode("minima").alias("k", "value"))
+    shared = m.groupBy("k", "value").agg(F.count("*").alias("n")).filter("n > 1").select("k", "value")
+    ids = m.join(shared, ["k", "value"], "left_semi").select("id").distinct()
+    return nodes.join(ids, "id", "left_semi").select("id", "fps")
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of nodes (id, fps): at every value that several nodes meet in one of the
-    grids, each with the smallest and the largest of them. Both are partial aggregates, so a
-    value that very many nodes meet at spreads over tasks, and no cell emits all its pairs."""
-    grid = nodes.select("id", F.posexplode("fps").alias("t", "fp"))
-    cells = _cells(grid, ["id", "t"], PRINT_BITS // WIDTH)
-    crowded = cells.groupBy("t", "cell").agg(F.count("*").alias("n")).filter("n > 1").select("t", "cell")
-    met = _values(cells.join(crowded, ["t", "cell"], "left_semi"), ["id", "t"])
-    ends = met.groupBy("t", "z").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
-    return met.join(ends, ["t", "z"]).select("id", F.explode(F.array("a", "b")).alias("o")).filter("id <> o") \
+    """Pairs (u, v) of nodes (id, fps, minima): at every value that several nodes meet in one of
+    the grids, each with the smallest and the largest of them. Both are partial aggregates, so
+    a value that very many nodes meet at spreads over tasks, and no cell emits all its pairs."""
+    grid = _promising(nodes).select("id", F.posexplode("fps").alias("t", "fp"))
+    # grid and cell in one key: cells take the low 40 bits
+    cells = _cells(grid, ["id", "t"], PRINT_BITS, PRINT_WIDTH).select(
+        "id", "fp", "step", (F.shiftleft(F.col("t").cast("long"), PRINT_BITS) + F.col("cell")).alias("cell"))
+    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
+    near = cells.join(crowded, "cell", "left_semi").withColumn("t", F.shiftright("cell", PRINT_BITS))
+    met = _values(near, ["id", "t"], PRINT_WIDTH).select(
+        "id", (F.shiftleft(F.col("t"), PRINT_BITS) + F.col("z")).alias("z"))
+    ends = met.groupBy("z").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
+    return met.join(ends, "z").select("id", F.explode(F.array("a", "b")).alias("o")).filter("id <> o") \
         .select(F.greatest("id", "o").alias("u"), F.least("id", "o").alias("v")).distinct()
 
 
@@ -184,10 +207,13 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ``similarity`` (checked on the whole sets). Rows with a null doc_id are left out."""
     ready(docs.sparkSession)
     sig = signatures(docs).filter("doc_id is not null").checkpoint()
-    same = sig.groupBy("exact", "fps").agg(F.min("doc_id").alias("id"))
-    pairs = candidates(same.select("id", "fps"))
-    grams = sig.join(same.select("exact", F.col("id").alias("doc_id")), ["exact", "doc_id"]) \
-        .select(F.col("doc_id").alias("id"), "grams").dropDuplicates(["id"])
+    same = sig.groupBy("exact").agg(F.min("doc_id").alias("id"), F.first("fps").alias("fps"), F.first("minima").alias("minima"))
+    same = same.checkpoint()
+    pairs = candidates(same).checkpoint()
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    grams = sig.select("doc_id", "exact", "grams").join(ids, "doc_id", "left_semi") \
+        .join(same.select("exact", F.col("id").alias("doc_id")), ["exact", "doc_id"], "left_semi") \
+        .select(F.col("doc_id").alias("id"), "grams").dropDuplicates(["id"]).checkpoint()
     one = pairs.join(grams.select(F.col("id").alias("u"), F.col("grams").alias("x")), "u") \
         .join(grams.select(F.col("id").alias("v"), F.col("grams").alias("y")), "v")
     both = F.size(F.array_intersect("x", "y"))
