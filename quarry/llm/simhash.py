@@ -135,13 +135,32 @@ PRINTS, PRINT_BITS, PRINT_WIDTH = 5, 40, 2
 #: Minima of the shingle hashes under as many orders; at similarity 0.8 two documents share
 #: none of eight with probability 0.2 ** 8.
 MINIMA = 8
-_SIGNATURE = "doc_id bigint, exact binary, fps array<bigint>, minima array<bigint>, grams array<int>"
+_SIGNATURE = "doc_id bigint, exact binary, fps array<bigint>, minima array<bigint>"
+
+
+def _shingles(own: np.ndarray) -> np.ndarray:
+    """Hashes of the five-word shingles of a text's word hashes (fewer words: one, of all)."""
+    return window_hashes(own, min(SHINGLE, max(1, len(own))))
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, exact, and ``grams``: 32-bit hashes of the distinct five-word shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, buf, at in chunks(utf8(b.column("text"))):
+                s, _, h = word_hashes(buf)
+                own = np.split(h, np.searchsorted(s, at[1:-1]))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id")[i:j].cast(pa.int64()), pa.array([md5(x.tobytes()).digest() for x in own], pa.binary()),
+                     pa.array([np.unique(_shingles(x).astype(np.uint32)).view(np.int32) for x in own], pa.list_(pa.int32()))],
+                    ["doc_id", "exact", "grams"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, exact binary, grams array<int>")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, ``exact`` (MD5 of the words), ``fps`` (SimHash fingerprints of the distinct
-    words), ``minima`` and ``grams`` (32-bit hashes) of the distinct five-word shingles of every
-    text."""
+    words) and ``minima`` of the shingle hashes of every text."""
     shifts = np.arange(PRINTS, dtype=np.uint64)
     orders = np.array([0x9E3779B97F4A7C15 * (k + 1) % (1 << 64) for k in range(MINIMA)], np.uint64)
 
@@ -150,13 +169,12 @@ def signatures(docs: DataFrame) -> DataFrame:
             for i, j, buf, at in chunks(utf8(b.column("text"))):
                 s, _, h = word_hashes(buf)
                 first = np.searchsorted(s, at)
-                exact, fps, minima, grams = [], [], [], []
+                exact, fps, minima = [], [], []
                 for d in range(j - i):
                     own = h[first[d]: first[d + 1]]
                     exact.append(md5(own.tobytes()).digest())
-                    g = window_hashes(own, SHINGLE) if len(own) >= SHINGLE else mix(own[:1] + np.uint64(len(own)))
+                    g = _shingles(own)
                     minima.append([int(mix(g ^ o).min().view(np.int64)) for o in orders] if len(g) else [])
-                    grams.append(np.unique(g.astype(np.uint32)).view(np.int32))
                     seen = np.unique(own)
                     ones = np.zeros(PRINTS * PRINT_BITS, np.int64)
                     for k in range(0, len(seen), _BLOCK):
@@ -169,8 +187,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     fps.append(np.ascontiguousarray(wide).view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id")[i:j].cast(pa.int64()), pa.array(exact, pa.binary()), pa.array(fps, pa.list_(pa.int64())),
-                     pa.array(minima, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int32()))],
-                    ["doc_id", "exact", "fps", "minima", "grams"])
+                     pa.array(minima, pa.list_(pa.int64()))], ["doc_id", "exact", "fps", "minima"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNATURE)
 
@@ -211,8 +228,8 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     same = same.checkpoint()
     pairs = candidates(same).checkpoint()
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    grams = sig.select("doc_id", "exact", "grams").join(ids, "doc_id", "left_semi") \
-        .join(same.select("exact", F.col("id").alias("doc_id")), ["exact", "doc_id"], "left_semi") \
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")  # only these are needed whole
+    grams = shingle_sets(texts).join(same.select("exact", F.col("id").alias("doc_id")), ["exact", "doc_id"], "left_semi") \
         .select(F.col("doc_id").alias("id"), "grams").dropDuplicates(["id"]).checkpoint()
     one = pairs.join(grams.select(F.col("id").alias("u"), F.col("grams").alias("x")), "u") \
         .join(grams.select(F.col("id").alias("v"), F.col("grams").alias("y")), "v")
