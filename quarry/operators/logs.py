@@ -47,13 +47,18 @@ def parse_stats(docs: DataFrame, marker: str, offsets=(1, 3, 8), duration_marker
 
 
 def sum_stats(docs: DataFrame, marker: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line holding the ``marker`` token counts: per text, the number of such lines
-    and the summed length of the token right after the marker on each."""
+    """Every line holding the ``marker`` token counts: per text, the number of such lines and
+    the sums of the numbers one and three tokens after the marker (0 where a token is missing
+    or not a number)."""
     lines = docs.select(id_col, F.explode(F.split(text_col, "\n")).alias("_line"))
     w = lines.select(id_col, words(F.col("_line")).alias("_w"))
     idx = F.array_position("_w", marker)
-    hit = w.filter(idx > 0).select(id_col, F.coalesce(F.length(_at(F.col("_w"), idx + 1)), F.lit(0)).alias("_v"))
-    return hit.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("_v").alias("total"))
+
+    def number(offset):
+        return F.coalesce(_at(F.col("_w"), idx + offset).try_cast("double"), F.lit(0.0))
+
+    hit = w.filter(idx > 0).select(id_col, number(1).alias("_a"), number(3).alias("_o"))
+    return hit.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("_a").alias("amount"), F.sum("_o").alias("objects"))
 
 
 def parse_task_line(line) -> "F.Column":

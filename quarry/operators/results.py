@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import stable_round
+from quarry.plans.nullsafe import join_keys
 from quarry.plans.quantiles import exact_quantiles
 from quarry.plans.sequence import number_rows
 
@@ -21,7 +22,7 @@ def trial_stats(trials: DataFrame, keys=("series", "scheme"), workers: int = NUM
         F.count(F.lit(1)).alias("n_trials"),
         stable_round(F.avg("runtime"), 6).alias("mean_runtime"),
         stable_round(F.stddev_pop("runtime"), 6).alias("std_runtime"),
-        stable_round(F.var_pop("runtime"), 0).alias("var_runtime"),
+        stable_round(F.var_pop("runtime"), 3).alias("var_runtime"),
         F.floor(F.sum("spilled") / F.count(F.lit(1))).cast("long").alias("spilled_floor_mean"),
         stable_round((F.sum("spilled") + F.sum("migrations")) / F.lit(workers + 1), 6).alias("per_node_mean"))
 
@@ -52,12 +53,12 @@ def latency_stats(lat: DataFrame, fps: int) -> DataFrame:
     """Drop the warm-up (frame <= 3 s * fps) and the last frame of each file, convert to ms
     above the 1 s floor, and report mean, p50, p90, p99, max (linear interpolation)."""
     maxf = lat.groupBy("file").agg(F.max("frame").alias("_maxf"))
-    kept = lat.join(maxf, "file").filter((F.col("frame") > WARMUP_SECONDS * fps) & (F.col("frame") < F.col("_maxf")))
+    kept = join_keys(lat, maxf, ["file"]).filter((F.col("frame") > WARMUP_SECONDS * fps) & (F.col("frame") < F.col("_maxf")))
     kept = kept.withColumn("ms", (F.col("latency_s") - 1) * 1000)
     basic = kept.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("_mean"),
                                      F.max("ms").alias("_max"))
     q = exact_quantiles(kept, ["file"], "ms", [0.5, 0.9, 0.99], tie="event_id")
-    j = basic.join(q, "file")
+    j = join_keys(basic, q, ["file"])
     return j.select("file", "n", stable_round("_mean", 6).alias("mean_ms"),
                     stable_round("p50", 6).alias("p50_ms"), stable_round("p90", 6).alias("p90_ms"),
                     stable_round("p99", 6).alias("p99_ms"), stable_round("_max", 6).alias("max_ms"))
@@ -67,7 +68,7 @@ def ecdf(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     """Sorted values with (1..n)/n (every row its own step, unlike ``cume_dist`` on ties)."""
     r = number_rows(df.select(*keys, value, tie), keys, [value, tie], rn="_rn")
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return r.join(n, keys).select(*keys, value, stable_round(F.col("_rn") / F.col("_n"), 9).alias("ecdf"))
+    return join_keys(r, n, keys).select(*keys, value, (F.col("_rn") / F.col("_n")).alias("ecdf"))
 
 
 def last_value(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import epoch_micros, stable_round
+from quarry.plans.nullsafe import join_keys
 from quarry.plans.sequence import DEFAULT_CHUNK_ROWS, neighbours, running_totals, window_sums
 
 AXES = ("x", "y", "a")
@@ -45,7 +46,7 @@ def smooth(tf: DataFrame, radius: int, chunk_rows: int = DEFAULT_CHUNK_ROWS) ->
         *[F.max_by(f"t{a}", "frame").alias(f"_last_{a}") for a in AXES])
     w = window_sums(t, ["video"], "rn", {f"_s{a}": F.col(f"t{a}") for a in AXES},
                     radius, radius, chunk_rows)
-    w = w.join(per, "video", "inner")
+    w = join_keys(w, per, ["video"])
     head = F.greatest(F.lit(radius) - F.col("frame"), F.lit(0))
     tail = F.greatest(F.lit(radius) - (F.col("_n") - 1 - F.col("frame")), F.lit(0))
     outs = []
@@ -92,7 +93,7 @@ def idempotent_sink(deliveries: DataFrame) -> DataFrame:
     got = deliveries.groupBy("video").agg(F.count(F.lit(1)).alias("n_received"))
     k = kept.groupBy("video").agg(F.count(F.lit(1)).alias("n_delivered"),
                                   F.max("frame").alias("last_frame"), F.min("frame").alias("first_frame"))
-    return (got.join(k, "video").withColumn("n_duplicates", F.col("n_received") - F.col("n_delivered"))
+    return (join_keys(got, k, ["video"]).withColumn("n_duplicates", F.col("n_received") - F.col("n_delivered"))
               .withColumn("n_missing", F.col("last_frame") + 1 - F.col("n_delivered"))
               .select("video", "n_received", "n_delivered", "n_duplicates", "n_missing", "last_frame"))
 
@@ -101,7 +102,7 @@ def completeness(expected: DataFrame, delivered: DataFrame) -> DataFrame:
     """Expected vs delivered frame counts per video (left join keeps videos with nothing)."""
     e = expected.groupBy("video").agg(F.count(F.lit(1)).alias("expected"))
     d = delivered.groupBy("video").agg(F.count(F.lit(1)).alias("delivered"))
-    j = e.join(d, "video", "left").withColumn("delivered", F.coalesce("delivered", F.lit(0)))
+    j = join_keys(e, d, ["video"], "left").withColumn("delivered", F.coalesce("delivered", F.lit(0)))
     return j.withColumn("complete", F.col("delivered") == F.col("expected"))
 
 
@@ -161,7 +162,7 @@ def paced(tf: DataFrame, fps: int) -> DataFrame:
     """Frame i of a video is due at start + i/fps; lateness = arrival - due."""
     start = tf.groupBy("video").agg(F.min("ts").alias("_start"))
     due = epoch_micros("_start") + F.floor(F.col("frame") * F.lit(1_000_000) / F.lit(fps))
-    t = tf.join(start, "video").withColumn("due_us", due.cast("long"))
+    t = join_keys(tf, start, ["video"]).withColumn("due_us", due.cast("long"))
     late = (epoch_micros("ts") - F.col("due_us")) / F.lit(1e6)
     return t.select("video", "frame", "due_us", stable_round(late, 6).alias("lateness_s"))
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.nullsafe import join_keys
 from quarry.functions.scalars import lcg, stable_round
 
 INITIAL = 3
@@ -60,7 +61,7 @@ def majority_vote(votes: DataFrame) -> DataFrame:
 
 def votes_run(votes: DataFrame, result: DataFrame) -> DataFrame:
     """The votes actually cast: k <= models_run of the item."""
-    return votes.filter(F.col("k") <= MAX_RUN).join(result.select("item", "models_run"), "item") \
+    return votes.filter(F.col("k") <= MAX_RUN).transform(lambda v: join_keys(v, result.select("item", "models_run"), ["item"])) \
                 .filter(F.col("k") <= F.col("models_run"))
 
 
@@ -82,7 +83,7 @@ def vote_summary(votes: DataFrame, result: DataFrame) -> DataFrame:
     (sum of service times of the votes run; only positive latencies count)."""
     per = (model_pick(votes_run(votes, result).select("item", "k", "label"))
            .groupBy("item").agg(F.sum("service_s").alias("latency_s")))
-    j = result.join(per, "item", "left")
+    j = join_keys(result, per, ["item"], "left")
     pos = F.when(F.col("latency_s") > 0, F.col("latency_s"))
     return j.agg(F.count(F.lit(1)).alias("n_items"),
                  F.sum("models_run").alias("total_models_run"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.nullsafe import join_keys
 from quarry.plans.sequence import number_rows
 
 
@@ -23,7 +24,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     order = [value] + ([tie] if tie else [])
     ranked = number_rows(df.select(*keys, *order), keys, order, rn="_rn")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    r = ranked.join(counts, keys)
+    r = join_keys(ranked, counts, keys)
     wanted = F.lit(False)
     for p in probs:
         h = (F.col("_n") - 1) * F.lit(p)

@@ -147,8 +147,8 @@ def test_stat_text(spark):
     assert (p[1].amount, p[1].amount_num, p[1].duration) == ("", 0.0, None)
     assert (p[2].amount, p[2].objects, p[2].throughput, p[2].amount_num) == ("12.5", "7", "4", 12.5)
     assert p[2].duration == "3.5"
-    s = {r.doc_id: (r.n_lines, r.total) for r in LG.sum_stats(docs, "Spilled").collect()}
-    assert s == {2: (1, 4), 3: (3, 1 + 1 + 0)}
+    s = {r.doc_id: (r.n_lines, r.amount, r.objects) for r in LG.sum_stats(docs, "Spilled").collect()}
+    assert s == {2: (1, 12.5, 7.0), 3: (3, 3.0, 0.0)}
 
 
 def test_duration_ignores_session_time_zone(spark):
@@ -160,3 +160,19 @@ def test_duration_ignores_session_time_zone(spark):
         assert df.select(trip_duration("p", "d").alias("s")).collect()[0].s == 7200
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_null_keys_are_groups_of_their_own(spark):
+    from quarry.operators import results as RS
+    from quarry.operators import trajectory as TR
+    from quarry.plans.quantiles import exact_quantiles
+    vals = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("a", 5.0, 3)], "k string, v double, i long")
+    assert sorted((r.k or "", r.v, r.ecdf) for r in RS.ecdf(vals, ["k"], "v", "i").collect()) == [
+        ("", 1.0, 0.5), ("", 3.0, 1.0), ("a", 5.0, 1.0)]
+    assert {r.k: r.p50 for r in exact_quantiles(vals, ["k"], "v", [0.5], tie="i").collect()} == {None: 2.0, "a": 5.0}
+    got = spark.createDataFrame([(None, 0), (None, 0), (None, 1), ("a", 0)], "video string, frame long")
+    assert {r.video: (r.n_received, r.n_delivered) for r in TR.idempotent_sink(got).collect()} == {None: (3, 2), "a": (1, 1)}
+    done = TR.completeness(got.dropDuplicates(), got.dropDuplicates()).collect()
+    assert {r.video: r.complete for r in done} == {None: True, "a": True}
+    short = TR.completeness(got.dropDuplicates(), got.dropDuplicates().filter("frame = 0")).collect()
+    assert {r.video: r.complete for r in short} == {None: False, "a": True}
