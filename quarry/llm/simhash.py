@@ -132,10 +132,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of a text's distinct words: five of 40 bits, each searched by its own grid of
 #: two-bit segments.
 PRINTS, PRINT_BITS, PRINT_WIDTH = 5, 40, 2
-#: Minima of the shingle hashes under as many orders; at similarity 0.8 two documents share
-#: none of eight with probability 0.2 ** 8.
-MINIMA = 8
-_SIGNATURE = "doc_id bigint, exact binary, fps array<bigint>, minima array<bigint>"
+#: Minima of the shingle hashes under as many orders, and how many of them a near duplicate
+#: shares: at similarity 0.8 fewer than 3 of 12 agree with probability 5e-6.
+MINIMA, SHARED = 12, 3
+_SIGNATURE = "doc_id bigint, exact binary, fps array<bigint>, minima array<bigint>, n bigint"
 
 
 def _shingles(own: np.ndarray) -> np.ndarray:
@@ -160,7 +160,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, ``exact`` (MD5 of the words), ``fps`` (SimHash fingerprints of the distinct
-    words) and ``minima`` of the shingle hashes of every text."""
+    words), ``minima`` of the shingle hashes and ``n``, the number of distinct shingles, of
+    every text."""
     shifts = np.arange(PRINTS, dtype=np.uint64)
     orders = np.array([0x9E3779B97F4A7C15 * (k + 1) % (1 << 64) for k in range(MINIMA)], np.uint64)
 
@@ -169,11 +170,12 @@ def signatures(docs: DataFrame) -> DataFrame:
             for i, j, buf, at in chunks(utf8(b.column("text"))):
                 s, _, h = word_hashes(buf)
                 first = np.searchsorted(s, at)
-                exact, fps, minima = [], [], []
+                exact, fps, minima, sizes = [], [], [], []
                 for d in range(j - i):
                     own = h[first[d]: first[d + 1]]
                     exact.append(md5(own.tobytes()).digest())
                     g = _shingles(own)
+                    sizes.append(len(np.unique(g.astype(np.uint32))))
                     minima.append([int(mix(g ^ o).min().view(np.int64)) for o in orders] if len(g) else [])
                     seen = np.unique(own)
                     ones = np.zeros(PRINTS * PRINT_BITS, np.int64)
@@ -187,17 +189,19 @@ def signatures(docs: DataFrame) -> DataFrame:
                     fps.append(np.ascontiguousarray(wide).view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id")[i:j].cast(pa.int64()), pa.array(exact, pa.binary()), pa.array(fps, pa.list_(pa.int64())),
-                     pa.array(minima, pa.list_(pa.int64()))], ["doc_id", "exact", "fps", "minima"])
+                     pa.array(minima, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                    ["doc_id", "exact", "fps", "minima", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNATURE)
 
 
 def _promising(nodes: DataFrame) -> DataFrame:
-    """The nodes (id, fps, minima) that share a minimum with another: the others have no near
-    duplicate, and need no cells. One row per minimum, and partial aggregates."""
+    """The nodes (id, fps, minima) that share ``SHARED`` minima with others: the rest have no
+    near duplicate, and need no cells. One row per minimum, and partial aggregates."""
     m = nodes.select("id", F.posexplode("minima").alias("k", "value"))
     shared = m.groupBy("k", "value").agg(F.count("*").alias("n")).filter("n > 1").select("k", "value")
-    ids = m.join(shared, ["k", "value"], "left_semi").select("id").distinct()
+    ids = m.join(shared, ["k", "value"], "left_semi").groupBy("id").agg(F.count("*").alias("n")) \
+        .filter(F.col("n") >= SHARED).select("id")
     return nodes.join(ids, "id", "left_semi").select("id", "fps")
 
 
@@ -218,15 +222,24 @@ def candidates(nodes: DataFrame) -> DataFrame:
         .select(F.greatest("id", "o").alias("u"), F.least("id", "o").alias("v")).distinct()
 
 
+def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose numbers of shingles allow the similarity and that have ``SHARED`` minima
+    in common, so that only these need whole shingle sets."""
+    side = [nodes.select(F.col("id").alias(c), F.col("minima").alias(f"m{c}"), F.col("n").alias(f"n{c}")) for c in "uv"]
+    common = F.size(F.filter(F.zip_with("mu", "mv", lambda a, b: a == b), lambda same: same))
+    return pairs.join(side[0], "u").join(side[1], "v") \
+        .filter((F.least("nu", "nv") >= similarity * F.greatest("nu", "nv")) & (common >= SHARED)).select("u", "v")
+
+
 def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id of the documents in groups of two or more: equal words, or linked
     by candidates whose five-word shingle sets have a Jaccard similarity of at least
     ``similarity`` (checked on the whole sets). Rows with a null doc_id are left out."""
     ready(docs.sparkSession)
     sig = signatures(docs).filter("doc_id is not null").checkpoint()
-    same = sig.groupBy("exact").agg(F.min("doc_id").alias("id"), F.first("fps").alias("fps"), F.first("minima").alias("minima"))
-    same = same.checkpoint()
-    pairs = candidates(same).checkpoint()
+    same = sig.groupBy("exact").agg(F.min("doc_id").alias("id"), F.first("fps").alias("fps"), F.first("minima").alias("minima"),
+                                   F.first("n").alias("n")).checkpoint()
+    pairs = likely(candidates(same), same, similarity).checkpoint()
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")  # only these are needed whole
     grams = shingle_sets(texts).join(same.select("exact", F.col("id").alias("doc_id")), ["exact", "doc_id"], "left_semi") \
