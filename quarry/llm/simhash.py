@@ -231,6 +231,22 @@ def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
         .filter((F.least("nu", "nv") >= similarity * F.greatest("nu", "nv")) & (common >= SHARED)).select("u", "v")
 
 
+def similar(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose whole shingle sets reach the similarity."""
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(grams.select(F.col("id").alias("u"), F.col("grams").alias("x")), "u") \
+        .join(grams.select(F.col("id").alias("v"), F.col("grams").alias("y")), "v") \
+        .filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
+
+
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs that components (node, root) do not join already: the others change no group,
+    however large a group of copies is, and need no shingle sets."""
+    root = [comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv"]
+    return pairs.join(root[0], "u", "left").join(root[1], "v", "left") \
+        .filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
+
 def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id of the documents in groups of two or more: equal words, or linked
     by candidates whose five-word shingle sets have a Jaccard similarity of at least
@@ -240,15 +256,14 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     same = sig.groupBy("exact").agg(F.min("doc_id").alias("id"), F.first("fps").alias("fps"), F.first("minima").alias("minima"),
                                    F.first("n").alias("n")).checkpoint()
     pairs = likely(candidates(same), same, similarity).checkpoint()
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("u").alias("doc_id")).distinct().union(pairs.select("v").distinct()).distinct()
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")  # only these are needed whole
     grams = shingle_sets(texts).join(same.select("exact", F.col("id").alias("doc_id")), ["exact", "doc_id"], "left_semi") \
         .select(F.col("doc_id").alias("id"), "grams").dropDuplicates(["id"]).checkpoint()
-    one = pairs.join(grams.select(F.col("id").alias("u"), F.col("grams").alias("x")), "u") \
-        .join(grams.select(F.col("id").alias("v"), F.col("grams").alias("y")), "v")
-    both = F.size(F.array_intersect("x", "y"))
-    linked = one.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
-    comp = components(linked)
+    first = pairs.groupBy("u").agg(F.min("v").alias("v"))
+    linked = similar(first, grams, similarity).checkpoint()
+    rest = apart(pairs.join(first, ["u", "v"], "left_anti"), components(linked))
+    comp = components(linked.unionByName(similar(rest, grams, similarity)))
     of_text = sig.select("doc_id", "exact").join(same.select("exact", "id"), "exact")
     return of_text.join(comp, of_text["id"] == comp["node"], "left").select(
         "doc_id", F.coalesce("root", "id").alias("component_id"))
