@@ -9,7 +9,7 @@ predictions on (group, x).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import LCG_MODULUS, lcg, stable_round, trip_duration
@@ -81,56 +81,55 @@ def ols_group_mae(split: DataFrame) -> DataFrame:
     return _mae(scored, "pred", MODELS[0]).select(*GROUP, "model", "mae")
 
 
-def tree_predictions(split: DataFrame, random_split: bool = False) -> DataFrame:
-    """Prediction of a fully grown one-feature regression tree for every distinct test x.
+def tree_neighbours(xy: DataFrame) -> DataFrame:
+    """For every distinct test x its nearest trained x below and above (itself included) and
+    their mean y: GROUP, x, lo_x, lo_y, hi_x, hi_y. One aggregate to distinct x values comes
+    first, so the window per group is bounded by the feature's domain, not by trips; both
+    windows only look back, in ascending and in descending order."""
+    train = ~F.col("is_test")
+    cells = xy.groupBy(*GROUP, "x").agg(F.avg(F.when(train, F.col("y"))).alias("mean_y"),
+                                        F.max(train).alias("_t"), F.max("is_test").alias("_asked"))
+    back = lambda o: Window.partitionBy(*GROUP).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("_t"), F.struct("x", "mean_y")), ignorenulls=True)
+    return (cells.withColumn("_lo", seen.over(back(F.col("x").asc()))).withColumn("_hi", seen.over(back(F.col("x").desc())))
+            .filter("_asked")
+            .select(*GROUP, "x", F.col("_lo.x").alias("lo_x"), F.col("_lo.mean_y").alias("lo_y"),
+                    F.col("_hi.x").alias("hi_x"), F.col("_hi.mean_y").alias("hi_y")))
+
+
+def tree_value(random_split: bool = False) -> Column:
+    """Prediction of a fully grown one-feature regression tree from ``tree_neighbours``.
 
     Grown until pure, such a tree predicts the mean y of the trained x a query falls to:
     the nearest trained x, the lower one on a tie (the midpoint goes left). The random
     splitter instead cuts each gap at a reproducible point a + u (b - a), u from an LCG.
-    Only distinct x values enter the as-of window, so its size per group is bounded by
-    the feature's domain, not by the number of trips.
     """
-    xy = _xy(split)
-    trained = xy.filter(~F.col("is_test")).groupBy(*GROUP, "x").agg(F.avg("y").alias("mean_y"))
-    asked = xy.filter(F.col("is_test")).select(*GROUP, "x").distinct()
-    keys = (trained.select(*GROUP, "x", "mean_y", F.lit(True).alias("_t"))
-            .unionByName(asked.select(*GROUP, "x", F.lit(None).cast("double").alias("mean_y"),
-                                      F.lit(False).alias("_t"))))
-    w = Window.partitionBy(*GROUP).orderBy("x", F.col("_t").desc())
-    lo_x = F.last(F.when(F.col("_t"), F.col("x")), ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, 0))
-    lo_y = F.last(F.when(F.col("_t"), F.col("mean_y")), ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, 0))
-    hi_x = F.first(F.when(F.col("_t"), F.col("x")), ignorenulls=True).over(
-        w.rowsBetween(0, Window.unboundedFollowing))
-    hi_y = F.first(F.when(F.col("_t"), F.col("mean_y")), ignorenulls=True).over(
-        w.rowsBetween(0, Window.unboundedFollowing))
-    k = keys.select(*GROUP, "x", "_t", lo_x.alias("lo_x"), lo_y.alias("lo_y"),
-                    hi_x.alias("hi_x"), hi_y.alias("hi_y")).filter(~F.col("_t"))
+    gap = F.col("hi_x") - F.col("lo_x")
     if random_split:
         u = lcg(lcg("lo_x") + F.col("hi_x")) / F.lit(float(LCG_MODULUS))
-        cut = F.col("lo_x") + u * (F.col("hi_x") - F.col("lo_x"))
-        go_low = F.col("x") <= cut
+        go_low = F.col("x") <= F.col("lo_x") + u * gap
     else:
         go_low = (F.col("x") - F.col("lo_x")) <= (F.col("hi_x") - F.col("x"))
-    pred = (F.when(F.col("lo_x").isNull(), F.col("hi_y"))
-             .when(F.col("hi_x").isNull(), F.col("lo_y"))
-             .when(F.col("lo_x") == F.col("hi_x"), F.col("lo_y"))
-             .when(go_low, F.col("lo_y")).otherwise(F.col("hi_y")))
-    return k.select(*GROUP, "x", pred.alias("pred"))
+    return (F.when(F.col("lo_x").isNull(), F.col("hi_y")).when(F.col("hi_x").isNull(), F.col("lo_y"))
+             .when(gap == 0, F.col("lo_y")).when(go_low, F.col("lo_y")).otherwise(F.col("hi_y")))
 
 
 def tree_group_mae(split: DataFrame, random_split: bool = False) -> DataFrame:
-    te = _xy(split).filter(F.col("is_test"))
-    pred = tree_predictions(split, random_split)
-    scored = te.join(pred, [*GROUP, "x"], "inner")
+    xy = _xy(split)
+    scored = xy.filter("is_test").join(tree_neighbours(xy), [*GROUP, "x"]).withColumn("pred", tree_value(random_split))
     return _mae(scored, "pred", MODELS[2] if random_split else MODELS[1]).select(*GROUP, "model", "mae")
 
 
 def all_model_scores(split: DataFrame) -> DataFrame:
-    return (ols_group_mae(split)
-            .unionByName(tree_group_mae(split, False))
-            .unionByName(tree_group_mae(split, True)))
+    """GROUP, model, mae of every model: one fit, one neighbour search and one scoring pass
+    over the test rows, then a row per model."""
+    xy = _xy(split)
+    scored = xy.filter("is_test").join(tree_neighbours(xy), [*GROUP, "x"]).join(ols_fit(split), GROUP)
+    preds = (F.col("intercept") + F.col("slope") * F.col("x"), tree_value(False), tree_value(True))
+    maes = scored.groupBy(*GROUP).agg(*[
+        stable_round(F.avg(F.abs(F.col("y") - p)), 3).alias(m) for m, p in zip(MODELS, preds)])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("mae")) for m in MODELS]))
+    return maes.select(*GROUP, each.alias("_m")).select(*GROUP, "_m.model", "_m.mae")
 
 
 def rank_models(scores: DataFrame) -> DataFrame:
