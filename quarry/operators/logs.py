@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.sequence import number_rows
+from quarry.plans.sequence import DEFAULT_CHUNK_ROWS, neighbours, number_rows, running_totals
 
 WS = r"\s+"
 
@@ -68,41 +68,57 @@ def parse_task_line(line) -> "F.Column":
                     F.regexp_extract(line, r"(\[[^\]]*\])", 1).alias("priority"))
 
 
+def _grams(col, q: int):
+    """Distinct substrings of q characters of a word (none when it is shorter)."""
+    n = F.length(col) - (q - 1)
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(col, i, F.lit(q)))))
+
+
+def _words_holding(pieces: DataFrame, vocabulary: DataFrame, q: int = 3) -> DataFrame:
+    """(piece, word): the words that contain a piece, found by the piece's first q characters
+    (all of them when it is shorter) and confirmed with ``contains``."""
+    sized = pieces.withColumn("_gram", F.substring("piece", 1, q))
+    grams = vocabulary.select("word", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(
+        *[_grams(F.col("word"), k) for k in range(1, q + 1)]))))).alias("_gram"))
+    return sized.join(grams, "_gram").filter(F.col("word").contains(F.col("piece"))).select("piece", "word").distinct()
+
+
 def first_match(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     """For each (item_id, token), the smallest doc_id whose text contains the token;
-    tokens found nowhere are dropped.
-
-    Exact without comparing every token with every text: a whitespace-bounded word inside a
-    token must appear as a whole word of any text containing the token. Each token is
-    anchored on its rarest interior word (document frequency from one aggregate), only
-    texts holding that word are candidates, and ``contains`` confirms them. Tokens without
-    an interior word (two words or fewer) are checked against every text; they come from
-    the small benchmark table.
+    tokens found nowhere, and tokens without a word, are dropped.
+
+    Exact without comparing every token with every text. Each word inside a token must be
+    part of some word of any text containing the token: an interior one (white space on both
+    sides) is a whole word there. A token is anchored on its rarest interior word (document
+    frequency from one aggregate), or, with two words or fewer, on the words of the texts'
+    vocabulary that hold its longest word. Only texts with an anchor are candidates, and
+    ``contains`` confirms them.
     """
-    tw = tokens.select("item_id", "token", words(F.col("token")).alias("_w"))
-    inner = F.when(F.size("_w") >= 3, F.slice("_w", 2, F.size("_w") - 2)).otherwise(F.array().cast("array<string>"))
-    interior = tw.select("item_id", "token", F.explode(F.array_distinct(inner)).alias("word"))
+    key = ["item_id", "token"]
+    tw = tokens.select(*key, words(F.col("token")).alias("_w")).distinct()
+    interior = tw.filter(F.size("_w") >= 3).select(
+        *key, F.explode(F.array_distinct(F.slice("_w", F.lit(2), F.size("_w") - 2))).alias("word"))
     dw = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    needed = dw.join(interior.select("word").distinct(), "word", "left_semi")
-    freq = needed.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    anchor = (interior.join(freq, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-              .groupBy("item_id", "token").agg(F.min_by("word", F.struct("df", "word")).alias("anchor")))
-    cand = anchor.join(needed, anchor.anchor == needed.word).select("item_id", "token", "doc_id")
-    hits = (cand.join(docs.select("doc_id", "text"), "doc_id")
-                .filter(F.col("text").contains(F.col("token"))).select("item_id", "doc_id"))
-    loose = tokens.join(anchor.select("item_id"), "item_id", "left_anti")
-    loose_hits = (docs.select("doc_id", "text").join(F.broadcast(loose), F.col("text").contains(F.col("token")))
-                      .select("item_id", "doc_id"))
-    return hits.unionByName(loose_hits).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
-
-
-def run_lengths(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Runs of consecutive equal ``value`` inside each key: (start position, length).
-    Gaps and islands: row number in key minus row number in (key, value) is constant
-    along a run."""
+    freq = dw.join(interior.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    inner = (interior.join(freq, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+             .groupBy(*key).agg(F.min_by("word", F.struct("df", "word")).alias("word")))
+    short = tw.filter(F.size("_w").between(1, 2)).select(*key, F.expr(
+        "CASE WHEN size(_w) = 1 OR length(_w[0]) >= length(_w[1]) THEN _w[0] ELSE _w[1] END").alias("piece"))
+    holding = _words_holding(short.select("piece").distinct(), dw.select("word").distinct())
+    anchor = inner.unionByName(short.join(holding, "piece").select(*key, "word"))
+    cand = anchor.join(dw, "word").select(*key, "doc_id").distinct()
+    hits = cand.join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("token")))
+    return hits.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
+
+
+def run_lengths(df: DataFrame, keys: list[str], order: list[str], value: str,
+                chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Runs of consecutive equal ``value`` inside each key: (start position, length). Rows are
+    numbered once; the running number of changes names the run."""
     a = number_rows(df.select(*keys, *order, value), keys, order, rn="_rn")
-    b = number_rows(a, keys + [value], order, rn="_rn2")
-    return (b.withColumn("_island", F.col("_rn") - F.col("_rn2"))
-             .groupBy(*keys, value, "_island")
-             .agg(F.min("_rn").alias("run_start"), F.count(F.lit(1)).alias("run_length"))
-             .drop("_island"))
+    b = neighbours(a, keys, "_rn", {"_before": (value, -1)}, chunk_rows)
+    change = ((F.col("_rn") == 1) | ~F.col(value).eqNullSafe(F.col("_before"))).cast("long")
+    return (running_totals(b, keys, "_rn", {"_island": change}, chunk_rows)
+            .groupBy(*keys, value, "_island")
+            .agg(F.min("_rn").alias("run_start"), F.count(F.lit(1)).alias("run_length"))
+            .drop("_island"))

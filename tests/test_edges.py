@@ -176,3 +176,20 @@ def test_null_keys_are_groups_of_their_own(spark):
     assert {r.video: r.complete for r in done} == {None: True, "a": True}
     short = TR.completeness(got.dropDuplicates(), got.dropDuplicates().filter("frame = 0")).collect()
     assert {r.video: r.complete for r in short} == {None: False, "a": True}
+
+
+def test_first_match_by_item_and_token(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "xtwoy zz"), (3, "ab cd"), (4, None), (5, ""), (6, "é1é")],
+                                 "doc_id long, text string")
+    tokens = spark.createDataFrame(
+        [(1, "ne two th"), (1, "two"), (1, "b c"), (2, "zz"), (2, "z"), (3, "1é"), (3, "absent"), (3, " "), (3, None), (1, "two")],
+        "item_id long, token string")
+    got = {(r.item_id, r.token): r.doc_id for r in LG.first_match(tokens, docs).collect()}
+    assert got == {(1, "ne two th"): 1, (1, "two"): 1, (1, "b c"): 3, (2, "zz"): 2, (2, "z"): 2, (3, "1é"): 6}
+
+
+def test_run_lengths_across_chunks_and_null_values(spark):
+    seq = ["a", "a", None, None, "a", "b", "b", "b", "a"]
+    df = spark.createDataFrame([(None, i, x) for i, x in enumerate(seq)], "u long, t long, name string")
+    got = sorted((r.run_start, r.name, r.run_length) for r in LG.run_lengths(df, ["u"], ["t"], "name", chunk_rows=2).collect())
+    assert got == [(1, "a", 2), (3, None, 2), (5, "a", 1), (6, "b", 3), (9, "a", 1)]
