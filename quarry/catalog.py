@@ -247,7 +247,8 @@ def q_apply_transform(spark, d):
 @query("cap_per_group", TF + f"""
 SELECT video, frame, event_id FROM tf WHERE frame < {MAX_FRAMES}""")
 def q_cap_per_group(spark, d):
-    return TR.cap_per_group(_tf(spark, d), MAX_FRAMES)
+    ev = I.first_events(spark, d, MAX_FRAMES, [])
+    return TR.cap_per_group(ev.select(F.col("user_id").alias("video"), (F.col("rn") - 1).alias("frame"), "event_id"), MAX_FRAMES)
 
 
 @query("paced_events", TF + f""",
@@ -289,7 +290,7 @@ pick AS (SELECT item, k, label,
 
 
 def _votes(spark, d):
-    return I.votes(spark, d)
+    return I.votes(spark, d, V.MAX_RUN)
 
 
 @query("majority_vote", VOTE_SQL + " SELECT * FROM res")
@@ -629,7 +630,7 @@ SELECT b.item_id, min(d.doc_id) AS doc_id
 FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id""")
 def q_first_match(spark, d):
     tokens = table(spark, d, "benchmark").select("item_id", F.col("text").alias("token"))
-    return LG.first_match(tokens, table(spark, d, "documents").select("doc_id", "text"))
+    return LG.first_match(tokens, table(spark, d, "documents").select("doc_id", "text")).select("item_id", "doc_id")
 
 
 @query("log_runs", """

@@ -15,7 +15,7 @@ registered query's work grows with the tables:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.plans.sequence import DEFAULT_CHUNK_ROWS, neighbours, number_rows
@@ -32,6 +32,15 @@ def numbered_events(spark: SparkSession, sf_dir: str, cols: list[str] | None = N
     return number_rows(ev, ["user_id"], EVENT_ORDER, rn="rn")
 
 
+def first_events(spark: SparkSession, sf_dir: str, n: int, cols: list[str]) -> DataFrame:
+    """The first ``n`` events of every user with their number ``rn``. Spark turns the bound on
+    row_number into a limit per group before the shuffle, so each task sends at most n rows
+    of a user, however many that user has."""
+    ev = table(spark, sf_dir, "events").select(*sorted(set(cols) | {"user_id", "ts", "event_id"}))
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy(*EVENT_ORDER)).cast("long")
+    return ev.withColumn("rn", rn).filter(F.col("rn") <= n)
+
+
 def raw_trips(spark: SparkSession, sf_dir: str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Trip rows as a trip file carries them: times as text, ids possibly null."""
     ev = numbered_events(spark, sf_dir, ["value"])
@@ -47,15 +56,16 @@ def raw_trips(spark: SparkSession, sf_dir: str, chunk_rows: int = DEFAULT_CHUNK_
 
 def transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = numbered_events(spark, sf_dir, ["value", "props"])
-    k = F.regexp_extract("props", r'"k":\s*(-?\d+)', 1).cast("double")
+    k = F.regexp_extract("props", r'"k":\s*(-?\d+)', 1).try_cast("double")
     return ev.select(F.col("user_id").alias("video"), (F.col("rn") - 1).alias("frame"),
                      F.col("event_id"), F.col("ts"),
                      F.col("value").alias("dx"), k.alias("dy"),
                      ((k - F.lit(50.0)) / F.lit(1000.0)).alias("da"))
 
 
-def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = numbered_events(spark, sf_dir, ["event_type"])
+def votes(spark: SparkSession, sf_dir: str, first: int) -> DataFrame:
+    """The first ``first`` votes of every item: later ones are never asked for."""
+    ev = first_events(spark, sf_dir, first, ["event_type"])
     return ev.select(F.col("user_id").alias("item"), F.col("rn").alias("k"),
                      F.col("event_type").alias("label"))
 

@@ -26,9 +26,20 @@ def test_row_numbering_is_range_partitioned_not_a_single_window(spark):
             assert "_q_pid" in " ".join(lines[i:i + 4])
 
 
-def test_first_match_has_no_cartesian_on_the_anchored_path(spark):
+def test_first_match_compares_no_token_with_every_text(spark):
     p = plan(E.queries()["first_match"](spark, SF))
-    assert "CartesianProduct" not in p
+    assert "CartesianProduct" not in p and "NestedLoop" not in p
+
+
+def test_votes_and_caps_are_limited_per_group_before_the_shuffle(spark):
+    for name in ("majority_vote", "cap_per_group"):
+        p = plan(E.queries()[name](spark, SF))
+        assert "WindowGroupLimit" in p and "Partial" in p and "ExistingRDD" not in p
+
+
+def test_models_are_ranked_in_one_scoring_pass(spark):
+    p = plan(E.queries()["rank_models"](spark, SF))
+    assert p.count("Exchange") <= 18 and p.count("Join") <= 5
 
 
 def test_partial_aggregation_before_exchange(spark):
