@@ -4,11 +4,14 @@ Per video the state holds the next expected frame, the running sums, the last 2r
 trajectory values, transforms not yet emitted, and rows that arrived early. Repeated
 frames (replays after a restart) are ignored; early frames wait until the gap closes.
 Frame f is emitted once frame f + r has arrived, or when the video's end marker says
-no more frames follow (then the last value is replicated). State per video is O(r).
+no more frames follow (then the last value is replicated). Afterwards only its frame count
+stays, so replays after the end are ignored too, as are frames beyond the end. State per
+video is O(r) plus the rows that wait for a missing frame, which are never dropped.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +28,8 @@ STATE = ("next_frame long, emitted long, end_n long, first array<double>, "
          "hist_frame array<long>, hist_t array<array<double>>, hist_v array<array<double>>, "
          "pend_frame array<long>, pend_v array<array<double>>")
 
+_BLOCK = 10_000
+
 
 def _r6(x: float) -> float:
     # Same nudge-then-round as the batch operators (half-up on the decimal value).
@@ -32,66 +37,62 @@ def _r6(x: float) -> float:
     return float(Decimal(x + 1e-9).quantize(Decimal("0.000001"), rounding=ROUND_HALF_UP))
 
 
+def _smoothed(f: int, hist: deque, first: list, radius: int, n: int | None) -> list[float]:
+    """Smoothed transform of frame f; ``hist`` holds (frame, trajectory, transform) from
+    max(f - radius, 0) on, and n is the frame count once it is known to be complete."""
+    at = hist[0][0]
+    last = f + radius if n is None else min(f + radius, n - 1)
+    head, tail = max(radius - f, 0), 0 if n is None else max(radius - (n - 1 - f), 0)
+    window = [hist[j - at][1] for j in range(max(f - radius, 0), last + 1)]
+    _, t, v = hist[f - at]
+    mean = [(sum(w[i] for w in window) + head * first[i] + tail * hist[-1][1][i]) / (2 * radius + 1) for i in range(3)]
+    return [_r6(mean[i] - t[i] + v[i]) for i in range(3)]
+
+
 def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState, radius: int, mode: str):
     video = int(key[0])
+    next_frame, emitted, end_n, first, hist, pending = 0, 0, -1, None, deque(), {}
     if state.exists:
-        (next_frame, emitted, end_n, first, hist_frame, hist_t, hist_v, pend_frame, pend_v) = state.get
-        hist_frame, hist_t, hist_v = list(hist_frame), [list(t) for t in hist_t], [list(v) for v in hist_v]
+        next_frame, emitted, end_n, first, hist_frame, hist_t, hist_v, pend_frame, pend_v = state.get
+        hist.extend((int(f), list(t), list(v)) for f, t, v in zip(hist_frame, hist_t, hist_v))
         pending = {int(f): list(v) for f, v in zip(pend_frame, pend_v)}
         first = list(first) if first is not None else None
-    else:
-        next_frame, emitted, end_n, first = 0, 0, -1, None
-        hist_frame, hist_t, hist_v, pending = [], [], [], {}
+    cols = [c.split()[0] for c in (SMOOTH_OUT if mode == "smooth" else RUNNING_OUT).split(", ")]
+    out = []
     for pdf in pdfs:
         for f, dx, dy, da, is_end in zip(pdf["frame"], pdf["dx"], pdf["dy"], pdf["da"], pdf["is_end"]):
+            f = int(f)
             if bool(is_end):
-                end_n = int(f)
-            elif int(f) >= next_frame and int(f) not in pending:
-                pending[int(f)] = [float(dx), float(dy), float(da)]
-    out = []
-    while next_frame in pending:
-        v = pending.pop(next_frame)
-        prev = hist_t[-1] if hist_t else [0.0, 0.0, 0.0]
-        t = [prev[i] + v[i] for i in range(3)]
-        if first is None:
-            first = t
-        hist_frame.append(next_frame)
-        hist_t.append(t)
-        hist_v.append(v)
-        if mode == "running":
-            out.append((video, next_frame, *[_r6(x) for x in t]))
-        next_frame += 1
-    done = end_n >= 0 and next_frame >= end_n
-    if mode == "smooth":
-        while emitted < next_frame and (emitted + radius < next_frame or done):
-            f = emitted
-            base = f - hist_frame[0]
-            n = end_n if done else None
-            lo, hi = max(f - radius, 0), (min(f + radius, n - 1) if n is not None else f + radius)
-            res = []
-            for i in range(3):
-                s = 0.0
-                for j in range(lo, hi + 1):
-                    s += hist_t[j - hist_frame[0]][i]
-                head = max(radius - f, 0)
-                tail = max(radius - (n - 1 - f), 0) if n is not None else 0
-                mean = (s + head * first[i] + tail * hist_t[-1][i]) / (2 * radius + 1)
-                res.append(_r6(mean - hist_t[base][i] + hist_v[base][i]))
-            out.append((video, f, *res))
-            emitted += 1
-        keep_from = max(emitted - radius, 0)
-    else:
-        emitted = next_frame
-        keep_from = next_frame - 1
-    while hist_frame and hist_frame[0] < keep_from:
-        hist_frame.pop(0), hist_t.pop(0), hist_v.pop(0)
-    if done and emitted >= next_frame:
-        state.remove()
-    else:
-        pf = sorted(pending)
-        state.update((next_frame, emitted, end_n, first, hist_frame, hist_t, hist_v, pf, [pending[f] for f in pf]))
-    cols = ["video", "frame"] + (["smooth_dx", "smooth_dy", "smooth_da"] if mode == "smooth"
-                                 else ["cum_dx", "cum_dy", "cum_da"])
+                end_n = f if end_n < 0 else end_n
+            elif f >= next_frame and (end_n < 0 or f < end_n):
+                pending.setdefault(f, [float(dx), float(dy), float(da)])
+            while next_frame in pending:
+                v = pending.pop(next_frame)
+                t = [a + b for a, b in zip(hist[-1][1], v)] if hist else v
+                first = first or t
+                hist.append((next_frame, t, v))
+                next_frame += 1
+                if mode == "running":
+                    out.append((video, next_frame - 1, *[_r6(x) for x in t]))
+                    emitted = next_frame
+                while emitted + radius < next_frame and mode == "smooth":
+                    out.append((video, emitted, *_smoothed(emitted, hist, first, radius, None)))
+                    emitted += 1
+                keep_from = min(emitted - radius, next_frame - 1) if mode == "smooth" else next_frame - 1
+                while hist[0][0] < keep_from:
+                    hist.popleft()
+        if len(out) >= _BLOCK:
+            yield pd.DataFrame(out, columns=cols)
+            out = []
+    done = 0 <= end_n <= next_frame
+    while done and emitted < next_frame:
+        out.append((video, emitted, *_smoothed(emitted, hist, first, radius, end_n)))
+        emitted += 1
+    if done:  # what stays only tells replays apart
+        first, hist, pending = None, deque(), {}
+    early = sorted(pending)
+    state.update((next_frame, emitted, end_n, first, [x[0] for x in hist], [x[1] for x in hist], [x[2] for x in hist],
+                  early, [pending[f] for f in early]))
     if out:
         yield pd.DataFrame(out, columns=cols)
 

@@ -37,3 +37,39 @@ def test_replayed_rows_are_ignored(spark):
     got = spark.read.schema(ST.RUNNING_OUT).parquet(out)
     exp = TR.running_sum(tf)
     assert got.count() == exp.count() and got.exceptAll(exp).count() == 0
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame([(7, f, float(x), float(x), float(x), end) for f, x, end in rows], ST.IN_SCHEMA)
+
+
+def test_replay_after_the_end_and_frames_beyond_it_are_ignored(spark):
+    src, out, ck = (scratch_path(spark, n) for n in ("e-src", "e-out", "e-ckpt"))
+    video = [(f, f + 1, False) for f in range(6)] + [(6, 0, True)]
+    for rows in (video, video, [(9, 1, False)]):
+        _rows(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        ST.drain(spark, src, out, ck, radius=2, mode="running")
+    got = spark.read.schema(ST.RUNNING_OUT).parquet(out).orderBy("frame").collect()
+    assert [(r.frame, r.cum_dx) for r in got] == [(f, (f + 1) * (f + 2) / 2) for f in range(6)]
+
+
+def test_one_long_video_takes_linear_time(spark):
+    import time
+
+    import pandas as pd
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    def seconds(n):
+        state, pdf = State(), pd.DataFrame({"frame": range(n), "dx": 1.0, "dy": 1.0, "da": 1.0, "is_end": False})
+        t = time.process_time()
+        assert sum(map(len, ST._step((1,), iter([pdf]), state, 2, "running"))) == n
+        assert len(state.value[4]) == 1
+        return time.process_time() - t
+
+    seconds(1_000)
+    assert seconds(60_000) < 8 * max(seconds(15_000), 0.05)
