@@ -20,6 +20,7 @@ from quarry.operators import trips as T
 from quarry.operators import voting as V
 from quarry.plans import inputs as I
 from quarry.plans import oracle_sql as S
+from quarry.session import scratch_path
 from quarry.sources.tables import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -358,9 +359,12 @@ def q_random_shuffle(spark, d):
     return X.random_shuffle(_li(spark, d))
 
 
-@query("range_partition", None)
+@query("range_partition", f"""
+SELECT CAST({N_RANGE} AS BIGINT) AS n_outputs, count(*) AS n_rows, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi,
+       CAST(0 AS BIGINT) AS n_overlaps FROM lineitem""")
 def q_range_partition(spark, d):
-    return X.range_partition(_li(spark, d), N_RANGE)
+    """Exactly N ordered outputs, checked by what does not depend on where the bounds fall."""
+    return X.range_invariants(X.range_partition(_li(spark, d), N_RANGE))
 
 
 @query("partition_stats", None)
@@ -726,15 +730,104 @@ def q_size_plan(spark, d):
     return g.withColumn("num_partitions", F.least(ceil_div("est_bytes", F.lit(65536)), F.lit(8)).cast("long"))
 
 
-@query("metrics_json", None)
+@query("metrics_json", TRIALS_SQL + """,
+runs AS (SELECT series, sum(runtime) AS time, count(*) AS num_partitions, max(trial_id) AS partition_size,
+                sum(spilled) AS spilled, sum(migrations) AS migrations FROM trials GROUP BY series)
+SELECT round(time + 1e-9, 2) AS time, true AS success, num_partitions, partition_size, m.name,
+       CAST(CASE m.name WHEN 'spilled' THEN spilled ELSE migrations END AS DOUBLE) AS value, 'gauge' AS type
+FROM runs, (VALUES ('spilled'), ('migrations')) m(name)""")
 def q_metrics_json(spark, d):
-    from quarry.sources.sinks import metrics_records
+    """Metrics documents written as JSON and read back, one row per run and metric."""
+    from quarry.sources import sinks
     runs = I.trials(spark, d).groupBy("series").agg(
         F.sum("runtime").alias("time"), F.lit(True).alias("success"), F.count(F.lit(1)).alias("num_partitions"),
         F.max("trial_id").alias("partition_size"), F.sum("spilled").alias("spilled"),
         F.sum("migrations").alias("migrations"))
-    return metrics_records(runs, ["spilled", "migrations"])
+    path = scratch_path(spark, "metrics-json")
+    sinks.write_metrics_json(sinks.metrics_records(runs, ["spilled", "migrations"]), path)
+    return sinks.read_metrics_json(spark, path).withColumn("time", stable_round("time", 2))
+
+
+@query("csv_roundtrip", """
+SELECT o_totalprice AS object_store_size, o_custkey AS num_workers, CAST(month(o_orderdate) AS BIGINT) AS num_partitions,
+       CAST(o_orderkey AS DOUBLE) AS partition_size, o_totalprice / 2 AS runtime FROM orders""")
+def q_csv_roundtrip(spark, d):
+    """Result rows appended as header-less CSV and read back under their fixed schema."""
+    from quarry.sources import results_csv, sinks
+    o = table(spark, d, "orders").select(
+        F.col("o_totalprice").alias("object_store_size"), F.col("o_custkey").alias("num_workers"),
+        F.month("o_orderdate").alias("num_partitions"), F.col("o_orderkey").cast("double").alias("partition_size"),
+        (F.col("o_totalprice") / 2).alias("runtime"))
+    path = scratch_path(spark, "results-csv")
+    sinks.append_csv(o, path)
+    return results_csv.read_results(spark, path, "config_sweep", header=False)
+
+
+@query("latency_text_roundtrip", """
+SELECT event_id AS frame, 1.0 + value / 1000.0 AS latency_s FROM events""")
+def q_latency_text_roundtrip(spark, d):
+    """Latency lines written as text and read back."""
+    from quarry.sources import sinks
+    lat = table(spark, d, "events").select(F.col("event_id").alias("frame"),
+                                           (F.lit(1.0) + F.col("value") / F.lit(1000.0)).alias("latency_s"))
+    path = scratch_path(spark, "latency-text")
+    sinks.write_latency_text(lat, path)
+    return sinks.read_latency_text(spark, path)
+
+
+@query("scan_year_month", f"""
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS n_orders,
+       {S.r6('sum(o_totalprice)')} AS revenue FROM orders GROUP BY ALL""")
+def q_scan_year_month(spark, d):
+    """Orders laid out by year and month, found again by the paths of their files."""
+    from quarry.sources.partitioned import read_year_month, write_year_month
+    path = scratch_path(spark, "year-month")
+    write_year_month(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), path, "o_orderdate")
+    return (read_year_month(spark, path).groupBy("year", "month")
+            .agg(F.count(F.lit(1)).alias("n_orders"), stable_round(F.sum("o_totalprice"), 6).alias("revenue")))
+
 
+@query("generated_rows", f"""
+SELECT row_id, {S.lcg_sql('row_id', 1)} AS c_0, {S.lcg_sql('row_id', 2)} AS c_1
+FROM (SELECT unnest(range(0, (SELECT count(*) FROM lineitem))) AS row_id)""")
+def q_generated_rows(spark, d):
+    """As many generated rows as there are line items, in contiguous blocks, one a read task."""
+    from quarry.sources import generator
+    generator.register(spark)
+    return (spark.read.format("random_rows").option("n", _li(spark, d).count()).option("num_columns", 2)
+            .option("parallelism", spark.conf.get("spark.sql.shuffle.partitions")).load())
+
+
+@query("task_lines", r"""
+WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations),
+w AS (SELECT *, """ + _words_sql("line") + r""" AS w FROM l)
+SELECT conv_id, turn, coalesce(w[2], '') AS task_name, coalesce(regexp_extract(line, '(\[[^\]]*\])', 1), '') AS priority,
+       count(*) AS n_lines FROM w GROUP BY ALL""")
+def q_task_lines(spark, d):
+    """Name and priority parsed from every line of the conversations, as from a task log."""
+    lines = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
+    t = lines.select("conv_id", "turn", LG.parse_task_line(F.col("line")).alias("t"))
+    return t.groupBy("conv_id", "turn", F.coalesce("t.task_name", F.lit("")).alias("task_name"),
+                     F.coalesce("t.priority", F.lit("")).alias("priority")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+TASK_RUNS_SQL = r"""
+WITH log AS (SELECT user_id, ts, event_id, 'run ' || event_type || ' [' || CAST(floor(value / 100) AS BIGINT) || ']' AS line FROM events),
+p AS (SELECT user_id, ts, event_id, regexp_split_to_array(line, '\s+')[2] AS task_name,
+             regexp_extract(line, '(\[[^\]]*\])', 1) AS priority FROM log),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+             row_number() OVER (PARTITION BY user_id, task_name, priority ORDER BY ts, event_id) AS rn2 FROM p)
+SELECT user_id, task_name, priority, min(rn) AS run_start, count(*) AS run_length
+FROM a GROUP BY user_id, task_name, priority, rn - rn2"""
+
+
+@query("task_log_runs", TASK_RUNS_SQL)
+def q_task_log_runs(spark, d):
+    """Task log lines made from the events, parsed, and the runs of equal (task, priority)."""
+    line = F.concat(F.lit("run "), "event_type", F.lit(" ["), F.floor(F.col("value") / 100).cast("string"), F.lit("]"))
+    t = table(spark, d, "events").select("user_id", "ts", "event_id", LG.parse_task_line(line).alias("task"))
+    return LG.run_lengths(t, ["user_id"], ["ts", "event_id"], "task").select(
+        "user_id", "task.task_name", "task.priority", "run_start", "run_length")
 
 
 @query("null_key_group", f"""

@@ -43,13 +43,22 @@ def random_shuffle(lineitem: DataFrame) -> DataFrame:
 
 
 def range_partition(lineitem: DataFrame, n: int) -> DataFrame:
-    """Repartition to exactly n range partitions on price, sorted inside; per-output stats."""
-    p = (lineitem.select("l_extendedprice").repartitionByRange(n, "l_extendedprice")
-         .sortWithinPartitions("l_extendedprice").withColumn("part", F.spark_partition_id()))
+    """Repartition to exactly n range partitions on price: per output its rows, lo and hi."""
+    p = lineitem.select("l_extendedprice").repartitionByRange(n, "l_extendedprice").withColumn("part", F.spark_partition_id())
     return p.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"),
                                  F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
 
 
+def range_invariants(parts: DataFrame) -> DataFrame:
+    """What holds of ``range_partition`` however its bounds fall: outputs, rows, smallest and
+    largest value, and how many outputs begin before the one in front of them has ended. The
+    window sees one row per output."""
+    before = F.lag("hi").over(Window.orderBy("part"))
+    return parts.withColumn("_before", before).agg(
+        F.count(F.lit(1)).alias("n_outputs"), F.sum("n_rows").alias("n_rows"), F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"), F.count_if(F.col("lo") <= F.col("_before")).alias("n_overlaps"))
+
+
 def partition_stats(df: DataFrame) -> DataFrame:
     """Block metadata: rows and approximate bytes per partition (layout dependent)."""
     width = sum(8 for _ in df.columns)

@@ -1,12 +1,20 @@
-"""Datasets laid out as ``root/<year>/<month>/file`` (plain values, not ``key=value``, so
-Spark's partition discovery does not see them)."""
+"""Datasets laid out as ``root/<year>/<month>/file``: plain values, which Spark's partition
+discovery does not see, or ``name=value`` folders, read by their path all the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-YEAR_MONTH = r"/(\d{4})/(\d{1,2})/[^/]+$"
+YEAR_MONTH = r"/(?:[^/=]+=)?(\d{4})/(?:[^/=]+=)?(\d{1,2})/[^/]+$"
+
+
+def write_year_month(df: DataFrame, root: str, date_col: str, fmt: str = "parquet") -> None:
+    """Write ``df`` in folders by year and month of a date column. The rows are rebalanced by
+    period first, so a period has few files, and a large one is split over several tasks."""
+    year, month = F.year(date_col).alias("period_year"), F.month(date_col).alias("period_month")
+    (df.select("*", year, month).hint("rebalance", "period_year", "period_month")
+       .write.partitionBy("period_year", "period_month").format(fmt).save(root))
 
 
 def read_year_month(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,20 @@ def metrics_records(runs: DataFrame, metric_cols: list[str], time_col: str = "ti
 
 def write_metrics_json(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
+
+
+def read_latency_text(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of latency lines: frame and latency_s (null where a line holds no number)."""
+    part = F.split("value", " ")
+    return spark.read.text(path).select(F.get(part, F.lit(0)).try_cast("long").alias("frame"),
+                                        F.get(part, F.lit(1)).try_cast("double").alias("latency_s"))
+
+
+METRICS_SCHEMA = ("time double, success boolean, num_partitions long, partition_size long, "
+                  "perf_metrics array<struct<name: string, value: double, type: string>>")
+
+
+def read_metrics_json(spark: SparkSession, path: str) -> DataFrame:
+    """One row per run and metric of metrics documents."""
+    runs = spark.read.schema(METRICS_SCHEMA).json(path)
+    return runs.select("time", "success", "num_partitions", "partition_size", F.inline("perf_metrics"))

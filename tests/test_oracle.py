@@ -19,7 +19,7 @@ def con():
 
 def test_every_query_has_an_oracle_or_is_layout_dependent():
     rows_only = set(catalog.queries()) - set(catalog.oracle_sql())
-    assert rows_only <= {"range_partition", "partition_stats", "metrics_json"}
+    assert rows_only <= {"partition_stats"}
 
 
 @pytest.mark.parametrize("name", NAMES)
