@@ -411,7 +411,7 @@ def q_two_stage_shuffle(spark, d):
 @query("one_slice", SLICES_SQL + f"""
 SELECT vec_id, {S.r6('s')} AS slice_sum FROM ss WHERE slice_idx = 0""")
 def q_one_slice(spark, d):
-    return X.one_slice(_slices(spark, d))
+    return X.one_slice(table(spark, d, "embeddings"), N_SLICES)
 
 
 @query("skewed_group", f"""
@@ -544,12 +544,22 @@ def q_trial_stats(spark, d):
 @query("result_pivot", TRIALS_SQL + f"""
 SELECT working_set, coalesce({S.r6("avg(runtime) FILTER (WHERE scheme = 'F')")}, 0.0) AS F,
        coalesce({S.r6("avg(runtime) FILTER (WHERE scheme = 'O')")}, 0.0) AS O,
-       coalesce({S.r6("avg(runtime) FILTER (WHERE scheme = 'P')")}, 0.0) AS P
+       coalesce({S.r6("avg(runtime) FILTER (WHERE scheme = 'P')")}, 0.0) AS P,
+       coalesce({S.r6("avg(runtime) FILTER (WHERE scheme IS NULL OR scheme NOT IN ('F', 'O', 'P'))")}, 0.0) AS other
 FROM trials WHERE series = '1-URGENT' GROUP BY working_set""")
 def q_result_pivot(spark, d):
     return RS.result_pivot(I.trials(spark, d), "1-URGENT", SCHEMES)
 
 
+@query("result_table", TRIALS_SQL + f"""
+SELECT series, scheme, working_set, min(runtime) AS min_runtime, max(runtime) AS max_runtime,
+       {S.r6('avg(runtime)')} AS mean_runtime, {S.r6('avg(spilled)')} AS mean_spilled,
+       {S.r6('avg(migrations)')} AS mean_migrations
+FROM trials GROUP BY ALL""")
+def q_result_table(spark, d):
+    return RS.result_table(I.trials(spark, d))
+
+
 @query("error_bars", TRIALS_SQL + f"""
 SELECT series, scheme, {S.r6('avg(runtime)')} AS mean_runtime,
        {S.r6('avg(runtime) - stddev_pop(runtime) / 2')} AS bar_lo, {S.r6('avg(runtime) + stddev_pop(runtime) / 2')} AS bar_hi

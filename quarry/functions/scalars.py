@@ -63,7 +63,7 @@ def strict_bool(x) -> Column:
     c = _c(x)
     return (F.when(c.isin("True", "true"), F.lit(True))
              .when(c.isin("False", "false"), F.lit(False))
-             .otherwise(F.raise_error(F.concat(F.lit("Not a valid boolean string: "),
+             .otherwise(F.raise_error(F.concat(F.lit("cannot read as true or false: "),
                                                F.coalesce(c, F.lit("NULL"))))).cast("boolean"))
 
 

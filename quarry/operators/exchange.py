@@ -70,11 +70,14 @@ def partition_stats(df: DataFrame) -> DataFrame:
 # ---- slices and all-to-all --------------------------------------------------------------
 
 def split_slices(vectors: DataFrame, n: int, array_col: str = "embedding") -> DataFrame:
-    """Cut each array into n contiguous slices of len // n elements; the tail is dropped."""
-    size = (F.size(array_col) / F.lit(n)).cast("int")
-    s = vectors.select("vec_id", "label", array_col, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slice_idx"))
-    return s.select("vec_id", "label", F.col("slice_idx").cast("long").alias("slice_idx"),
-                    F.slice(array_col, F.col("slice_idx") * size + 1, size).alias("values"))
+    """Cut each array into n contiguous slices of len // n elements; the last also takes the
+    remainder. The slices are cut before they become rows, so no whole array is repeated."""
+    arr = F.col(array_col)
+    size = F.floor(F.size(arr) / F.lit(n)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice(
+        arr, i * size + 1, F.when(i == n - 1, F.size(arr) - i * size).otherwise(size)))
+    return (vectors.select("vec_id", "label", F.posexplode(cut).alias("slice_idx", "values"))
+            .withColumn("slice_idx", F.col("slice_idx").cast("long")))
 
 
 def _slice_sum(c: str = "values"):
@@ -110,9 +113,10 @@ def two_stage_shuffle(slices: DataFrame) -> DataFrame:
                                           stable_round(F.sum("stage1_sum"), 6).alias("total"))
 
 
-def one_slice(slices: DataFrame) -> DataFrame:
-    """Only slice 0 is consumed."""
-    return slices.filter(F.col("slice_idx") == 0).select(
+def one_slice(vectors: DataFrame, n: int, array_col: str = "embedding") -> DataFrame:
+    """Only slice 0 of n is consumed, so only that one is cut."""
+    size = F.floor(F.size(array_col) / F.lit(n)).cast("int")
+    return vectors.select("vec_id", F.slice(F.col(array_col), F.lit(1), size).alias("values")).select(
         "vec_id", stable_round(_slice_sum(), 6).alias("slice_sum"))
 
 

@@ -28,11 +28,20 @@ def trial_stats(trials: DataFrame, keys=("series", "scheme"), workers: int = NUM
 
 
 def result_pivot(trials: DataFrame, series: str, schemes: list[str]) -> DataFrame:
-    """Filter one series, group by working set, one column per scheme (mean runtime);
-    missing combinations report 0."""
-    t = trials.filter(F.col("series") == series)
-    p = t.groupBy("working_set").pivot("scheme", schemes).agg(stable_round(F.avg("runtime"), 6))
-    return p.na.fill(0.0, subset=schemes)
+    """Filter one series, group by working set, one column per scheme (mean runtime) and
+    ``other`` for trials of any scheme not listed; missing combinations report 0."""
+    named = F.when(F.col("scheme").isin(schemes), F.col("scheme")).otherwise("other")
+    t = trials.filter(F.col("series") == series).withColumn("scheme", named)
+    p = t.groupBy("working_set").pivot("scheme", [*schemes, "other"]).agg(stable_round(F.avg("runtime"), 6))
+    return p.na.fill(0.0, subset=[*schemes, "other"])
+
+
+def result_table(trials: DataFrame, keys=("series", "scheme", "working_set")) -> DataFrame:
+    """Smallest, largest and mean runtime and the mean counters of every combination."""
+    return trials.groupBy(*keys).agg(
+        F.min("runtime").alias("min_runtime"), F.max("runtime").alias("max_runtime"),
+        stable_round(F.avg("runtime"), 6).alias("mean_runtime"), stable_round(F.avg("spilled"), 6).alias("mean_spilled"),
+        stable_round(F.avg("migrations"), 6).alias("mean_migrations"))
 
 
 def error_bars(trials: DataFrame, keys=("series", "scheme")) -> DataFrame:

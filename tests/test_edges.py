@@ -193,3 +193,17 @@ def test_run_lengths_across_chunks_and_null_values(spark):
     df = spark.createDataFrame([(None, i, x) for i, x in enumerate(seq)], "u long, t long, name string")
     got = sorted((r.run_start, r.name, r.run_length) for r in LG.run_lengths(df, ["u"], ["t"], "name", chunk_rows=2).collect())
     assert got == [(1, "a", 2), (3, None, 2), (5, "a", 1), (6, "b", 3), (9, "a", 1)]
+
+
+def test_slices_lose_no_element(spark):
+    v = spark.createDataFrame([(1, 0, [1.0, 2.0, 3.0, 4.0, 5.0]), (2, 0, [7.0])], "vec_id long, label long, embedding array<double>")
+    got = {(r.vec_id, r.slice_idx): r["values"] for r in X.split_slices(v, 2).collect()}
+    assert got == {(1, 0): [1.0, 2.0], (1, 1): [3.0, 4.0, 5.0], (2, 0): [], (2, 1): [7.0]}
+
+
+def test_pivot_keeps_unlisted_schemes(spark):
+    from quarry.operators import results as RS
+    t = spark.createDataFrame([("s", "F", 1, 2.0), ("s", "X", 1, 4.0), ("s", None, 1, 6.0)],
+                              "series string, scheme string, working_set long, runtime double")
+    r = RS.result_pivot(t, "s", ["F", "O"]).collect()[0]
+    assert (r.F, r.O, r.other) == (2.0, 0.0, 5.0)
