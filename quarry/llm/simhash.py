@@ -206,10 +206,10 @@ def _promising(nodes: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of nodes (id, fps, minima): at every value that several nodes meet in one of
+    """Pairs (u, v) of promising nodes (id, fps): at every value that several nodes meet in one of
     the grids, each with the smallest and the largest of them. Both are partial aggregates, so
     a value that very many nodes meet at spreads over tasks, and no cell emits all its pairs."""
-    grid = _promising(nodes).select("id", F.posexplode("fps").alias("t", "fp"))
+    grid = nodes.select("id", F.posexplode("fps").alias("t", "fp"))
     # grid and cell in one key: cells take the low 40 bits
     cells = _cells(grid, ["id", "t"], PRINT_BITS, PRINT_WIDTH).select(
         "id", "fp", "step", (F.shiftleft(F.col("t").cast("long"), PRINT_BITS) + F.col("cell")).alias("cell"))
@@ -247,6 +247,26 @@ def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         .filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
 
+def prefixes(grams: DataFrame, similarity: float) -> DataFrame:
+    """(gram, id, at, n) of the rarest shingles of every set (id, grams): in one order of all
+    shingles (documents that have it, then value) two sets of the similarity share one of the
+    first n - ceil(similarity * n) + 1 of each. Shingles of one set only come first and need no
+    row. ``at``: how many of the set's shingles come before it."""
+    g = grams.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = g.groupBy("gram").agg(F.count("*").alias("often")).filter("often > 1")
+    own = g.join(often, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("l"))
+    alone = F.col("n") - F.size("l")
+    most = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1 - alone
+    return own.filter(most > 0).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("l", 1, most)).alias("k", "x")) \
+        .select(F.col("x.gram").alias("gram"), "id", (F.col("alone") + F.col("k")).alias("at"), "n")
+
+
+def leads(keys: DataFrame) -> DataFrame:
+    """Pairs (u, v): at every prefix shingle each node with the smallest one there."""
+    least = keys.groupBy("gram").agg(F.min("id").alias("v"), F.count("*").alias("m")).filter("m > 1").select("gram", "v")
+    return keys.join(least, "gram").filter("id > v").select(F.col("id").alias("u"), "v").distinct()
+
+
 def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id of the documents in groups of two or more: equal words, or linked
     by candidates whose five-word shingle sets have a Jaccard similarity of at least
@@ -255,11 +275,12 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sig = signatures(docs).filter("doc_id is not null").checkpoint()
     same = sig.groupBy("exact").agg(F.min("doc_id").alias("id"), F.first("fps").alias("fps"), F.first("minima").alias("minima"),
                                    F.first("n").alias("n")).checkpoint()
-    pairs = likely(candidates(same), same, similarity).checkpoint()
-    ids = pairs.select(F.col("u").alias("doc_id")).distinct().union(pairs.select("v").distinct()).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")  # only these are needed whole
+    near = _promising(same).checkpoint()
+    texts = docs.select("doc_id", "text").join(near.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     grams = shingle_sets(texts).join(same.select("exact", F.col("id").alias("doc_id")), ["exact", "doc_id"], "left_semi") \
         .select(F.col("doc_id").alias("id"), "grams").dropDuplicates(["id"]).checkpoint()
+    keys = prefixes(grams, similarity).checkpoint()
+    pairs = likely(candidates(near).unionByName(leads(keys)).distinct(), same, similarity).checkpoint()
     first = pairs.groupBy("u").agg(F.min("v").alias("v"))
     linked = similar(first, grams, similarity).checkpoint()
     rest = apart(pairs.join(first, ["u", "v"], "left_anti"), components(linked))

@@ -177,6 +177,51 @@ def test_near_dedup_keeps_one_of_each_group(docs):
 
 # -- 3 -------------------------------------------------------------------------------
 
+def _planted(crowds):
+    """Pairs of texts with a part appended, replaced or scattered, or crowds of families that
+    have one word set or one template in common."""
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+
+    def prose(n):
+        return [rnd.choice(vocab) for _ in range(n)]
+    out = []
+    for k in range(0 if crowds else 150):
+        a = prose(rnd.randint(100, 300))
+        cut = int(len(a) * rnd.uniform(0.06, 0.24))
+        b = [a + prose(cut), a[: len(a) - cut // 2] + prose(cut // 2)][k % 2] if k % 3 else list(a)
+        if not k % 3:
+            for i in rnd.sample(range(len(a)), max(1, cut // 8)):
+                b[i] = "new" + str(i)
+        out += [a, b]
+    for _ in range(3 * crowds):  # one word set in several orders, each with two changed copies
+        words = list(dict.fromkeys(prose(150)))
+        for _ in range(8):
+            a = rnd.sample(words, len(words))
+            out += [a, a[:-3] + a[-3:][::-1], a[:-9] + a[-9:][::-1]]
+    template = prose(90)
+    for _ in range(20 * crowds):
+        a = template + prose(60)
+        out += [a, a[:-5] + prose(5)]
+    rnd.shuffle(out)
+    return [" ".join(w) for w in out]
+
+
+def _against_brute_force(spark, texts):
+    sets = [set(_grams(t, simhash.SHINGLE)) for t in texts]
+    linked = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2)
+              if len(sets[a] & sets[b]) >= simhash.SIMILARITY * len(sets[a] | sets[b])]
+    want = _components(range(len(texts)), linked)
+    common.ready(spark)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.copies(df).collect()}
+    assert len(linked) > 40 and {i: got.get(i, i) for i in want} == want
+
+
+def test_near_dedup_finds_every_planted_pair(spark):
+    _against_brute_force(spark, _planted(False))
+
+
 def _pages(spark):
     rows = [(1, None, "a"), (2, "u\r\nx", "a"), (3, "é", "a"), (5, None, None), (6, None, ""), (7, "x", "b\r\n\r\n" * 100_000),
             (8, "x", "b\r\n\r\n" * 100_000), (9, "x", "ü")]
