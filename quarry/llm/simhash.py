@@ -267,6 +267,22 @@ def leads(keys: DataFrame) -> DataFrame:
     return keys.join(least, "gram").filter("id > v").select(F.col("id").alias("u"), "v").distinct()
 
 
+def unlinked(keys: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (u, v) that share a prefix shingle, that components (node, root) leave apart,
+    and whose sizes and places there allow the similarity: the first shared shingle of a pair
+    has all other shared ones behind it."""
+    k = keys.join(comp, keys["id"] == comp["node"], "left").select("gram", "id", "at", "n", F.coalesce("root", "id").alias("root"))
+    mixed = k.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("gram")
+    k = k.join(mixed, "gram", "left_semi")
+    x, y = (k.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "at", "n", "root")]) for s in "uv")
+    both = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))
+    return x.join(y, "gram").filter(
+        (F.col("id_u") > F.col("id_v")) & (F.col("root_u") != F.col("root_v"))
+        & (F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-9)
+        & (both * (1 + similarity) >= similarity * (F.col("n_u") + F.col("n_v")) - 1e-9)) \
+        .select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
+
+
 def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id of the documents in groups of two or more: equal words, or linked
     by candidates whose five-word shingle sets have a Jaccard similarity of at least
@@ -284,7 +300,9 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = pairs.groupBy("u").agg(F.min("v").alias("v"))
     linked = similar(first, grams, similarity).checkpoint()
     rest = apart(pairs.join(first, ["u", "v"], "left_anti"), components(linked))
-    comp = components(linked.unionByName(similar(rest, grams, similarity)))
+    linked = linked.unionByName(similar(rest, grams, similarity)).checkpoint()
+    last = likely(unlinked(keys, components(linked), similarity).join(pairs, ["u", "v"], "left_anti"), same, similarity)
+    comp = components(linked.unionByName(similar(last, grams, similarity)))
     of_text = sig.select("doc_id", "exact").join(same.select("exact", "id"), "exact")
     return of_text.join(comp, of_text["id"] == comp["node"], "left").select(
         "doc_id", F.coalesce("root", "id").alias("component_id"))

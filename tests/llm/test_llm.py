@@ -222,6 +222,10 @@ def test_near_dedup_finds_every_planted_pair(spark):
     _against_brute_force(spark, _planted(False))
 
 
+def test_near_dedup_finds_every_link_in_a_crowd(spark):
+    _against_brute_force(spark, _planted(True))
+
+
 def _pages(spark):
     rows = [(1, None, "a"), (2, "u\r\nx", "a"), (3, "é", "a"), (5, None, None), (6, None, ""), (7, "x", "b\r\n\r\n" * 100_000),
             (8, "x", "b\r\n\r\n" * 100_000), (9, "x", "ü")]
