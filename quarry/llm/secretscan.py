@@ -1,19 +1,23 @@
 """Secret scans: fixed patterns plus a randomness test battery.
 
 Base spans come from three patterns. The method adds spans of kind ``random``: maximal runs
-of token characters, 20 or more, that do not overlap a base span. For each the encoding is
-inferred (hexadecimal, base32, base64, the smallest alphabet that holds every character) and
+of token characters, 20 or more, and their parts between ``/ + - _`` of the same length, that
+do not overlap a base span (a part only where its run is not taken as a whole). For each the
+encoding is inferred, the smallest alphabet of ``ALPHABETS`` that holds every character, and
 three tests are run:
 
-* uniformity: chi-squared of the characters over 8 equal parts of the alphabet;
-* serial correlation: of neighbouring characters' places in the alphabet;
-* runs: the number of changes between character classes (lower, upper, digit or mark), against
-  the binomial number of changes of word-like text, whose rate is a fixed value below.
+* uniformity: chi-squared of the characters over 8 parts of the alphabet, and the number of
+  letters that are rare in words;
+* serial correlation: of neighbouring characters' places in the alphabet, and the number of
+  changes between vowels and consonants;
+* runs: the number of changes between character classes (lower, upper, digit or mark).
 
-Uniformity and serial correlation must not reject randomness; the runs test must reject
-word-like text, and its p-values, which fall with length by themselves, go through
-Benjamini-Hochberg control over the document's candidates. Hexadecimal has no case, so its
-runs are those between letters and digits.
+Uniformity (chi-squared) and serial correlation (of places) must not reject randomness. The
+three counts are tested against binomial counts of word-like text, whose rates are fixed values
+below, with more rare letters, fewer vowel changes and more class changes as evidence. Their
+p-values, which fall with length by themselves, are combined by Fisher's method, those left out
+that an encoding cannot show (hexadecimal: letters; one class: class changes), and go through
+Benjamini-Hochberg control over the document's candidates.
 
 Defined results: null and empty texts have no span; repeated rows are all returned; an empty
 table gives an empty result. Whole texts are scanned, whatever their length. Only ``doc_id``
@@ -42,19 +46,25 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
 
 MIN_RANDOM = 20
-#: Class changes per character pair in word-like text, level of the two tests of
-#: randomness, false-discovery rate.
-WORDLIKE_CHANGES, ALPHA, FDR = 0.15, 0.001, 0.001
-ALPHABETS = (b"0123456789abcdef", b"0123456789ABCDEF", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-             b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-             b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
+#: Level of the two tests of randomness, false-discovery rate; in word-like text
+#: class changes per pair (several cases, one case and digits), vowel changes per pair of
+#: letters, rare letters per letter.
+ALPHA, FDR = 0.001, 0.001
+WORDLIKE_CHANGES, ONE_CASE_CHANGES, VOWEL_CHANGES, RARE_LETTERS = 0.15, 0.1, 0.55, 0.08
+_LOW, _UP, _DIGITS = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
+ALPHABETS = (b"0123456789abcdef", b"0123456789ABCDEF", _LOW, _UP, _UP + b"234567", _LOW + b"234567",
+             _LOW + _DIGITS, _UP + _DIGITS, _UP + _LOW, _UP + _LOW + _DIGITS,
+             _UP + _LOW + _DIGITS + b"+/", _UP + _LOW + _DIGITS + b"-_")
+_HEXES = 2
 PARTS = 8
+_SEPARATORS = (re.compile(rb"[^/]+"), re.compile(rb"[^/+]+"), re.compile(rb"[^/+_-]+"))
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-")] = True
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[list(b"abcdefghijklmnopqrstuvwxyz")] = 0
 _CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
+_VOWEL, _RARE, _LETTER = (np.isin(np.arange(256), list(x + x.upper())) for x in (b"aeiouy", b"jkqvwxyz", _LOW))
 _PLACES = []
 for _a in ALPHABETS:
     _t = np.full(256, -1, np.int16)
@@ -74,15 +84,18 @@ def _chi2_tail(x: float, odd_df: int) -> float:
 
 def _binomial_tail(k: int, n: int, p: float) -> float:
     """P(X >= k) for X ~ Binomial(n, p)."""
+    wide = 400 + int(10 * math.sqrt(n * p))
+    if k < n * p - wide:
+        return 1.0
     lp, lq = math.log(p), math.log1p(-p)
     return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq)
-                        for i in range(k, min(n, k + 400) + 1)))
+                        for i in range(k, min(n, max(k, int(n * p)) + wide) + 1)))
 
 
 def battery(token: bytes) -> tuple[float, float, float] | None:
-    """p-values of (uniformity, serial correlation, runs); None without an encoding."""
+    """p-values of (uniformity, serial correlation, word-like text); None without an encoding."""
     b = np.frombuffer(token, np.uint8)
-    for places in _PLACES:
+    for code, places in enumerate(_PLACES):
         at = places[b]
         if at.min() >= 0:
             break
@@ -90,15 +103,32 @@ def battery(token: bytes) -> tuple[float, float, float] | None:
         return None
     size, n = int(places.max()) + 1, len(b)
     seen = np.bincount(at.astype(np.int64) * PARTS // size, minlength=PARTS)
-    uniform = _chi2_tail(float(((seen - n / PARTS) ** 2).sum() / (n / PARTS)), PARTS - 1)
+    due = np.bincount(np.arange(size) * PARTS // size, minlength=PARTS) * (n / size)
+    uniform = _chi2_tail(float(((seen - due) ** 2 / due).sum()), PARTS - 1)
     x = at - at.mean()
     var = float((x * x).sum())
     if var == 0:
         return 0.0, 0.0, 1.0
     r = float((x[:-1] * x[1:]).sum()) / var
     serial = math.erfc(abs(r + 1 / n) * math.sqrt(n) / math.sqrt(2))
-    kinds = _CLASS[b]
-    return uniform, serial, _binomial_tail(int((kinds[1:] != kinds[:-1]).sum()), n - 1, WORDLIKE_CHANGES)
+    return uniform, serial, _unlike_words(b, code)
+
+
+def _unlike_words(b: np.ndarray, code: int) -> float:
+    """Fisher's combination of the word-like tests that the encoding allows."""
+    kinds, letter = _CLASS[b], _LETTER[b]
+    present, p = set(kinds.tolist()), []
+    if len(present) > 1:
+        rate = WORDLIKE_CHANGES if {0, 1} <= present else ONE_CASE_CHANGES
+        p.append(_binomial_tail(int((kinds[1:] != kinds[:-1]).sum()), len(b) - 1, rate))
+    if code >= _HEXES:
+        pair = letter[1:] & letter[:-1]
+        vowel = _VOWEL[b]
+        m, changes = int(pair.sum()), int((pair & (vowel[1:] != vowel[:-1])).sum())
+        p.append(_binomial_tail(m - changes, m, 1 - VOWEL_CHANGES))
+        p.append(_binomial_tail(int((_RARE[b] & letter).sum()), int(letter.sum()), RARE_LETTERS))
+    half = -sum(math.log(max(x, 1e-300)) for x in p)  # chi-squared with 2 len(p) degrees, halved
+    return math.exp(-half) * sum(half ** k / math.factorial(k) for k in range(len(p))) if p else 1.0
 
 
 def discoveries(tokens: list[bytes]) -> list[int]:
@@ -129,6 +159,15 @@ def _assigns(t: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def _parts(t: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs and their long parts between separators."""
+    out = dict.fromkeys(runs)
+    for a, b in runs:
+        for pattern in _SEPARATORS:
+            out.update(dict.fromkeys(m.span() for m in pattern.finditer(t, a, b) if m.end() - m.start() >= MIN_RANDOM))
+    return list(out)
+
+
 def spans(t: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """All spans of one text in code points by start, then kind. ``runs``: its maximal runs
     of token characters of 20 bytes or more (every hex and access span lies in one)."""
@@ -136,8 +175,12 @@ def spans(t: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     for a, b in runs:
         for kind, pattern, least in ((1, ACCESS, MIN_ACCESS), (2, HEX, MIN_HEX)):
             found += [(m.start(), m.end(), kind) for m in pattern.finditer(t, a, b) if m.end() - m.start() >= least]
-    free = [(a, b) for a, b in runs if all(b <= x or a >= y for x, y, _ in found)]
-    found += [(*free[i], 3) for i in discoveries([t[a:b] for a, b in free])]
+    free = [(a, b) for a, b in _parts(t, runs) if all(b <= x or a >= y for x, y, _ in found)]
+    end = -1
+    for a, b in sorted((free[i] for i in discoveries([t[a:b] for a, b in free])), key=lambda x: (x[0], -x[1])):
+        if a >= end:  # the longest of nested ones
+            found.append((a, b, 3))
+            end = b
     found.sort(key=lambda x: (x[0], x[2]))
     if found and not t.isascii():  # byte offsets to code points, one pass
         cps = np.concatenate([[0], np.cumsum((np.frombuffer(t, np.uint8) & 0xC0) != 0x80)])

@@ -424,6 +424,30 @@ def test_randomness_battery_tells_words_from_keys():
     assert math.isclose(secretscan._chi2_tail(14.067, 7), 0.05, rel_tol=1e-3)
 
 
+def test_keys_of_every_encoding_and_length_are_found():
+    rnd = random.Random(6)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters in (digits + "ABCDEF", low, up, up + "234567", low + digits, up + digits, up + low + digits,
+                    up + low + digits + "+/", up + low + digits + "-_"):
+        for n, least in ((32, 60), (40, 80), (64, 90), (200, 95)):
+            keys = ["".join(rnd.choice(letters) for _ in range(n)) for _ in range(100)]
+            got = secretscan.batch_spans([k.encode() for k in keys])
+            assert sum((0, n, "random") in f or n > 64 and f != [] for f in got) >= least, (letters, n)
+    for k in range(50):  # in a path, beside marks of two encodings
+        key = "".join(rnd.choice(up + low + digits) for _ in range(40))
+        found = secretscan.batch_spans([f"see /files/of-the_house/{key}/read-me now".encode()])[0]
+        assert any(a <= 24 and b >= 64 for a, b, _ in found), key
+
+
+def test_long_words_are_no_keys():
+    rnd = random.Random(8)
+    words = ["house", "window", "between", "people", "Zeitung", "verkehr", "monde", "toujours", "ciudad", "mientras"]
+    for join in ("", "-", "_", "/"):
+        for n in (6, 40, 3000):
+            t = join.join(rnd.choice(words) for _ in range(n)).encode()
+            assert secretscan.batch_spans([t, t.upper()]) == [[], []]
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     out = secretscan.redact(docs)
     assert out.columns == docs.columns and out.count() == len(_rows())
