@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import common, langid, minhash, mixing, phrases, quality, secretscan, simhash, tokenfile, triebpe, warc
+from quarry.llm import (common, langid, minhash, mixing, periodic, phrases, quality, secretscan, simhash, tokenfile,
+                        triebpe, warc)
 
 
 def _over(table: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_trie_bpe": _over("documents", triebpe.op8),
         "op9_repeated_phrases": _over("documents", phrases.op9),
         "op10_secret_scan": _over("documents", secretscan.op10),
+        "op12_periodic_runs": _over("documents", periodic.op12),
     }
 
 
@@ -39,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_weighted_mixing": mixing.SQL,
         "op6_quality_ledger": quality.SQL,
         "op9_repeated_phrases": phrases.SQL,
+        "op12_periodic_runs": periodic.SQL,
     }
