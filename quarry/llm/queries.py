@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import (common, langid, minhash, mixing, periodic, phrases, quality, secretscan, simhash, tokenfile,
-                        triebpe, warc)
+from quarry.llm import (common, langid, minhash, mixing, periodic, phrases, prefixtrie, quality, secretscan, simhash,
+                        tokenfile, triebpe, warc)
 
 
 def _over(table: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_repeated_phrases": _over("documents", phrases.op9),
         "op10_secret_scan": _over("documents", secretscan.op10),
         "op12_periodic_runs": _over("documents", periodic.op12),
+        "op13_prefix_trie": _over("conversations", prefixtrie.op13),
     }
 
 
@@ -42,4 +43,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_ledger": quality.SQL,
         "op9_repeated_phrases": phrases.SQL,
         "op12_periodic_runs": periodic.SQL,
+        "op13_prefix_trie": prefixtrie.SQL,
     }
