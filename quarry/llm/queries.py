@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import (common, langid, minhash, mixing, periodic, phrases, prefixtrie, quality, secretscan, simhash,
-                        tokenfile, triebpe, warc)
+from quarry.llm import (common, langid, minhash, mixing, neighbours, periodic, phrases, prefixtrie, quality, secretscan,
+                        simhash, tokenfile, triebpe, warc)
 
 
 def _over(table: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_trie_bpe": _over("documents", triebpe.op8),
         "op9_repeated_phrases": _over("documents", phrases.op9),
         "op10_secret_scan": _over("documents", secretscan.op10),
+        "op11_nearest_neighbours": _over("embeddings", neighbours.op11),
         "op12_periodic_runs": _over("documents", periodic.op12),
         "op13_prefix_trie": _over("conversations", prefixtrie.op13),
     }
