@@ -18,13 +18,12 @@ visit their own cell first; its k-th distance then bounds which other cells the
 them visit. A cell that outgrows ``CELL`` (more points than the sample can split) is dealt to
 several parts by a hash.
 
-Defined results: vectors that are null, whose norm is zero or too large for
-a double, hold null or non-finite components, or have
-not the commonest length (of equally common ones the longest), and rows with a null id take no
-part; repeated rows are rows of their own, each a neighbour of the others; ties go to the smaller
-id; an empty table gives an empty result; queries without another row give no row. Scores are sums
-of products from the first component to the last, in double precision. Only the id and the vector
-are read, so other columns cannot clash.
+Defined results: vectors that are null, hold null or non-finite components, have not the commonest
+length (of equally common ones the longest), or whose norm is zero or too large for a double, and
+rows with a null id take no part; repeated rows are rows of their own, each a neighbour of the
+others; ties go to the smaller id; an empty table gives an empty result; queries without another
+row give no row. Scores are sums of products from the first component to the last, in double
+precision. Only the id and the vector are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
