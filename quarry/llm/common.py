@@ -63,6 +63,21 @@ def bucket_of(col: Column, cuts: list[int]) -> Column:
         lambda acc, s: F.when((acc + s <= n) & (F.get(arr, acc + s - 1) <= col), acc + s).otherwise(acc)), F.lit(0))
 
 
+# -- rows with a number ------------------------------------------------------------
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``row``, a number of its own for every row, and ``doc``, the row's columns as a struct
+    (whatever their names). The numbers change when it is evaluated again: write it first."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table of the shared folder: one evaluation for all that read them."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # -- words of whole batches --------------------------------------------------------
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ of one bucket are summed in order.
 Defined results: a null text has size 0 and takes nothing; null is a source like any other,
 ordered last; if all sizes are 0, targets and takes are 0; repeated rows are separate
 documents; an empty table gives an empty result. Only ``doc_id``, ``text`` and ``source`` are
-read (``mix`` also returns no other column).
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, partitions, ready
+from quarry.llm.common import WORD, numbered, partitions, ready, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET_PCT = 150
 MAX_USES = 2
-#: Finish-time buckets: their totals are summed in one task, so their number is fixed.
-TIME_BUCKETS = 4096
+#: Rows a bucket of the order aims at (the buckets' totals are summed in one task), and the least
+#: number of finish-time buckets.
+BUCKET_ROWS, TIME_BUCKETS = 16384, 4096
 _HASH_BITS = 56
 
 
@@ -65,39 +66,52 @@ def targets(sizes: DataFrame) -> DataFrame:
 def schedule(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, taken (words, repeats
     counted) and copies (instances of it that the mix takes, at least in part)."""
-    spark = ready(docs.sparkSession)
-    n = partitions(spark)
+    return _uses(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text")).drop("row")
+
+
+def _uses(rows: DataFrame) -> DataFrame:
+    """The schedule of (row, doc_id, source, text), with the row's number."""
+    spark = ready(rows.sparkSession)
     # the text is read once: what is written is (row, doc_id, source, size, hash)
-    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    d = rows.select("row", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                     F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, _HASH_BITS // 4), 16, 10)
-                    .cast("long").alias("h"), F.monotonically_increasing_id().alias("row")).checkpoint()
+                    .cast("long").alias("h")).checkpoint()
     goal = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"))) \
         .withColumnRenamed("source", "_source").checkpoint()
-    total = goal.agg(F.sum("source_size")).first()[0] or 0  # one number
+    total, count = d.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()  # two numbers
     budget = total * BUDGET_PCT // 100
+    # buckets grow with the rows, so what one task sorts does not; sums are exact, so no row changes
+    many = max(4 * partitions(spark), count // BUCKET_ROWS)
+    times = max(TIME_BUCKETS, 1 << (MAX_USES * count // BUCKET_ROWS).bit_length())
     d = d.join(goal, d["source"].eqNullSafe(goal["_source"])).drop("_source") \
-        .withColumn("hb", F.shiftright(F.col("h"), _HASH_BITS - max(4, (4 * n).bit_length())))
+        .withColumn("hb", F.shiftright(F.col("h"), _HASH_BITS - max(4, many.bit_length())))
     d = _running(d, ["source"], "hb", [F.col("h"), F.col("doc_id"), F.col("size"), F.col("row")], "size", "cum")
-    runs = d.withColumn("use", F.explode(F.lit(list(range(MAX_USES))))).withColumn("finish", F.when(
-        F.col("target") > 0, (F.col("use") * F.col("source_size") + F.col("cum")) / F.col("target")).otherwise(0.0))
+    # documents without a word take nothing and have no place in the queue (a source's target is 0
+    # only if all its documents are such)
+    runs = d.filter("size > 0").withColumn("use", F.explode(F.lit(list(range(MAX_USES))))).withColumn(
+        "finish", (F.col("use") * F.col("source_size") + F.col("cum")) / F.col("target"))
     # evenly spaced up to 1.5 times the time at which targets are met, then by logarithm
-    runs = runs.withColumn("fb", F.when(F.col("finish") < 1.5, F.floor(F.col("finish") * TIME_BUCKETS)).otherwise(
-        int(1.5 * TIME_BUCKETS) + F.floor(F.log2(F.col("finish") / 1.5) * (TIME_BUCKETS // 8))).cast("int"))
+    runs = runs.withColumn("fb", F.when(F.col("finish") < 1.5, F.floor(F.col("finish") * times)).otherwise(
+        int(1.5 * times) + F.floor(F.log2(F.col("finish") / 1.5) * (times // 8))).cast("int"))
     order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("h"), F.col("doc_id"), F.col("use"), F.col("size"), F.col("row")]
     took = _running(runs, [], "fb", order, "size", "spent").withColumn(
         "take", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("size") - F.col("spent") + F.lit(budget))))
+    names = ["doc_id", "size", "source", "source_size", "target"]
     return took.groupBy("row").agg(
-        *[F.first(c).alias(c) for c in ("doc_id", "size", "source", "source_size", "target")],
-        F.sum("take").alias("taken"), F.count_if(F.col("take") > 0).cast("int").alias("copies")).drop("row")
+        *[F.first(c).alias(c) for c in names],
+        F.sum("take").alias("taken"), F.count_if(F.col("take") > 0).cast("int").alias("copies")).unionByName(
+        d.filter("size = 0").select("row", *names, F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies")))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix as rows of ``docs``: every document as often as the mix takes it, at least in
-    part (the last document of the budget is not cut). Rows that share a doc_id are used
-    alike."""
-    took = schedule(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    return docs.join(took, docs["doc_id"].eqNullSafe(took["_id"])).withColumn(
-        "_use", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """The mix as rows of ``docs``: every row as often as the mix takes it, at least in part (the
+    last document of the budget is not cut). Rows are told apart by numbers that are written with
+    them, so rows that share a doc_id, or have none, are used each by their own schedule; columns
+    may have any name."""
+    ready(docs.sparkSession)
+    rows = written(numbered(docs), "mixing")
+    took = _uses(rows.select("row", "doc.doc_id", "doc.source", "doc.text")).filter("copies > 0").select("row", "copies")
+    return rows.join(took, "row").withColumn("use", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def op4(docs: DataFrame) -> DataFrame:

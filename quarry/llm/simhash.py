@@ -19,15 +19,15 @@ a null doc_id row is returned with its component's smallest id (null if it has n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks, mix, ready, utf8, window_hashes, word_hashes
+from quarry.llm.common import numbered, ready, utf8, written
 from quarry.llm.components import components
 
 SEED = 42
@@ -126,190 +126,25 @@ def op2(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# -- near duplicates by five-word shingles at similarity 0.8 -----------------------
-
-SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of a text's distinct words: five of 40 bits, each searched by its own grid of
-#: two-bit segments.
-PRINTS, PRINT_BITS, PRINT_WIDTH = 5, 40, 2
-#: Minima of the shingle hashes under as many orders, and how many of them a near duplicate
-#: shares: at similarity 0.8 fewer than 3 of 12 agree with probability 5e-6.
-MINIMA, SHARED = 12, 3
-_SIGNATURE = "doc_id bigint, exact binary, fps array<bigint>, minima array<bigint>, n bigint"
-
-
-def _shingles(own: np.ndarray) -> np.ndarray:
-    """Hashes of the five-word shingles of a text's word hashes (fewer words: one, of all)."""
-    return window_hashes(own, min(SHINGLE, max(1, len(own))))
-
-
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, exact, and ``grams``: 32-bit hashes of the distinct five-word shingles."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, buf, at in chunks(utf8(b.column("text"))):
-                s, _, h = word_hashes(buf)
-                own = np.split(h, np.searchsorted(s, at[1:-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id")[i:j].cast(pa.int64()), pa.array([md5(x.tobytes()).digest() for x in own], pa.binary()),
-                     pa.array([np.unique(_shingles(x).astype(np.uint32)).view(np.int32) for x in own], pa.list_(pa.int32()))],
-                    ["doc_id", "exact", "grams"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, exact binary, grams array<int>")
+# -- one document of every group -----------------------------------------------------
 
+def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
+    """One row of ``docs`` from every component of the links of :func:`near_duplicates`, with its
+    own columns: the row with the smallest doc_id (null after all others), of rows that share it
+    the first. Rows are told apart by numbers that are written with them, so repeated rows and
+    rows with a null doc_id are removed like any other copy, and a text stays if another row
+    under its doc_id goes. Texts without a word are one group. An empty table stays empty;
+    columns may have any name."""
+    ready(docs.sparkSession)
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, ``exact`` (MD5 of the words), ``fps`` (SimHash fingerprints of the distinct
-    words), ``minima`` of the shingle hashes and ``n``, the number of distinct shingles, of
-    every text."""
-    shifts = np.arange(PRINTS, dtype=np.uint64)
-    orders = np.array([0x9E3779B97F4A7C15 * (k + 1) % (1 << 64) for k in range(MINIMA)], np.uint64)
+    @F.pandas_udf("long")
+    def printed(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint((t or "").encode(), k) for t in texts], np.uint64).view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, buf, at in chunks(utf8(b.column("text"))):
-                s, _, h = word_hashes(buf)
-                first = np.searchsorted(s, at)
-                exact, fps, minima, sizes = [], [], [], []
-                for d in range(j - i):
-                    own = h[first[d]: first[d + 1]]
-                    exact.append(md5(own.tobytes()).digest())
-                    g = _shingles(own)
-                    sizes.append(len(np.unique(g.astype(np.uint32))))
-                    minima.append([int(mix(g ^ o).min().view(np.int64)) for o in orders] if len(g) else [])
-                    seen = np.unique(own)
-                    ones = np.zeros(PRINTS * PRINT_BITS, np.int64)
-                    for k in range(0, len(seen), _BLOCK):
-                        more = mix(seen[k: k + _BLOCK, None] + shifts * np.uint64(0x9E3779B97F4A7C15))
-                        bits = np.unpackbits(more.view(np.uint8).reshape(-1, PRINTS, 8)[:, :, : PRINT_BITS // 8], axis=2, bitorder="little")
-                        ones += bits.reshape(len(more), -1).sum(0, dtype=np.uint32)
-                    up = (2 * ones > len(seen)).reshape(PRINTS, PRINT_BITS)
-                    wide = np.concatenate([np.packbits(up, axis=1, bitorder="little"),
-                                           np.zeros((PRINTS, 8 - PRINT_BITS // 8), np.uint8)], axis=1)
-                    fps.append(np.ascontiguousarray(wide).view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id")[i:j].cast(pa.int64()), pa.array(exact, pa.binary()), pa.array(fps, pa.list_(pa.int64())),
-                     pa.array(minima, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
-                    ["doc_id", "exact", "fps", "minima", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, _SIGNATURE)
-
-
-def _promising(nodes: DataFrame) -> DataFrame:
-    """The nodes (id, fps, minima) that share ``SHARED`` minima with others: the rest have no
-    near duplicate, and need no cells. One row per minimum, and partial aggregates."""
-    m = nodes.select("id", F.posexplode("minima").alias("k", "value"))
-    shared = m.groupBy("k", "value").agg(F.count("*").alias("n")).filter("n > 1").select("k", "value")
-    ids = m.join(shared, ["k", "value"], "left_semi").groupBy("id").agg(F.count("*").alias("n")) \
-        .filter(F.col("n") >= SHARED).select("id")
-    return nodes.join(ids, "id", "left_semi").select("id", "fps")
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of promising nodes (id, fps): at every value that several nodes meet in one of
-    the grids, each with the smallest and the largest of them. Both are partial aggregates, so
-    a value that very many nodes meet at spreads over tasks, and no cell emits all its pairs."""
-    grid = nodes.select("id", F.posexplode("fps").alias("t", "fp"))
-    # grid and cell in one key: cells take the low 40 bits
-    cells = _cells(grid, ["id", "t"], PRINT_BITS, PRINT_WIDTH).select(
-        "id", "fp", "step", (F.shiftleft(F.col("t").cast("long"), PRINT_BITS) + F.col("cell")).alias("cell"))
-    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
-    near = cells.join(crowded, "cell", "left_semi").withColumn("t", F.shiftright("cell", PRINT_BITS))
-    met = _values(near, ["id", "t"], PRINT_WIDTH).select(
-        "id", (F.shiftleft(F.col("t"), PRINT_BITS) + F.col("z")).alias("z"))
-    ends = met.groupBy("z").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
-    return met.join(ends, "z").select("id", F.explode(F.array("a", "b")).alias("o")).filter("id <> o") \
-        .select(F.greatest("id", "o").alias("u"), F.least("id", "o").alias("v")).distinct()
-
-
-def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose numbers of shingles allow the similarity and that have ``SHARED`` minima
-    in common, so that only these need whole shingle sets."""
-    side = [nodes.select(F.col("id").alias(c), F.col("minima").alias(f"m{c}"), F.col("n").alias(f"n{c}")) for c in "uv"]
-    common = F.size(F.filter(F.zip_with("mu", "mv", lambda a, b: a == b), lambda same: same))
-    return pairs.join(side[0], "u").join(side[1], "v") \
-        .filter((F.least("nu", "nv") >= similarity * F.greatest("nu", "nv")) & (common >= SHARED)).select("u", "v")
-
-
-def similar(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose whole shingle sets reach the similarity."""
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(grams.select(F.col("id").alias("u"), F.col("grams").alias("x")), "u") \
-        .join(grams.select(F.col("id").alias("v"), F.col("grams").alias("y")), "v") \
-        .filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
-
-
-def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs that components (node, root) do not join already: the others change no group,
-    however large a group of copies is, and need no shingle sets."""
-    root = [comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv"]
-    return pairs.join(root[0], "u", "left").join(root[1], "v", "left") \
-        .filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-
-
-def prefixes(grams: DataFrame, similarity: float) -> DataFrame:
-    """(gram, id, at, n) of the rarest shingles of every set (id, grams): in one order of all
-    shingles (documents that have it, then value) two sets of the similarity share one of the
-    first n - ceil(similarity * n) + 1 of each. Shingles of one set only come first and need no
-    row. ``at``: how many of the set's shingles come before it."""
-    g = grams.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    often = g.groupBy("gram").agg(F.count("*").alias("often")).filter("often > 1")
-    own = g.join(often, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("l"))
-    alone = F.col("n") - F.size("l")
-    most = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1 - alone
-    return own.filter(most > 0).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("l", 1, most)).alias("k", "x")) \
-        .select(F.col("x.gram").alias("gram"), "id", (F.col("alone") + F.col("k")).alias("at"), "n")
-
-
-def leads(keys: DataFrame) -> DataFrame:
-    """Pairs (u, v): at every prefix shingle each node with the smallest one there."""
-    least = keys.groupBy("gram").agg(F.min("id").alias("v"), F.count("*").alias("m")).filter("m > 1").select("gram", "v")
-    return keys.join(least, "gram").filter("id > v").select(F.col("id").alias("u"), "v").distinct()
-
-
-def unlinked(keys: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (u, v) that share a prefix shingle, that components (node, root) leave apart,
-    and whose sizes and places there allow the similarity: the first shared shingle of a pair
-    has all other shared ones behind it."""
-    k = keys.join(comp, keys["id"] == comp["node"], "left").select("gram", "id", "at", "n", F.coalesce("root", "id").alias("root"))
-    mixed = k.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("gram")
-    k = k.join(mixed, "gram", "left_semi")
-    x, y = (k.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "at", "n", "root")]) for s in "uv")
-    both = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))
-    return x.join(y, "gram").filter(
-        (F.col("id_u") > F.col("id_v")) & (F.col("root_u") != F.col("root_v"))
-        & (F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-9)
-        & (both * (1 + similarity) >= similarity * (F.col("n_u") + F.col("n_v")) - 1e-9)) \
-        .select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
-
-
-def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id of the documents in groups of two or more: equal words, or linked
-    by candidates whose five-word shingle sets have a Jaccard similarity of at least
-    ``similarity`` (checked on the whole sets). Rows with a null doc_id are left out."""
-    ready(docs.sparkSession)
-    sig = signatures(docs).filter("doc_id is not null").checkpoint()
-    same = sig.groupBy("exact").agg(F.min("doc_id").alias("id"), F.first("fps").alias("fps"), F.first("minima").alias("minima"),
-                                   F.first("n").alias("n")).checkpoint()
-    near = _promising(same).checkpoint()
-    texts = docs.select("doc_id", "text").join(near.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    grams = shingle_sets(texts).join(same.select("exact", F.col("id").alias("doc_id")), ["exact", "doc_id"], "left_semi") \
-        .select(F.col("doc_id").alias("id"), "grams").dropDuplicates(["id"]).checkpoint()
-    keys = prefixes(grams, similarity).checkpoint()
-    pairs = likely(candidates(near).unionByName(leads(keys)).distinct(), same, similarity).checkpoint()
-    first = pairs.groupBy("u").agg(F.min("v").alias("v"))
-    linked = similar(first, grams, similarity).checkpoint()
-    rest = apart(pairs.join(first, ["u", "v"], "left_anti"), components(linked))
-    linked = linked.unionByName(similar(rest, grams, similarity)).checkpoint()
-    last = likely(unlinked(keys, components(linked), similarity).join(pairs, ["u", "v"], "left_anti"), same, similarity)
-    comp = components(linked.unionByName(similar(last, grams, similarity)))
-    of_text = sig.select("doc_id", "exact").join(same.select("exact", "id"), "exact")
-    return of_text.join(comp, of_text["id"] == comp["node"], "left").select(
-        "doc_id", F.coalesce("root", "id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` without the documents that are near duplicates of one with a
-    smaller doc_id in their group. Rows with a null doc_id stay."""
-    gone = copies(docs, similarity).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    marked = written(numbered(docs).withColumn("fp", printed("doc.text")), "near-dedup")
+    first = F.min(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), "row")).alias("first")
+    each = marked.groupBy("fp").agg(first).checkpoint()
+    comp = components(links(each.select("fp")))
+    stay = each.join(comp, each["fp"] == comp["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")) \
+        .agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return marked.join(stay, "row", "left_semi").select("doc.*")
