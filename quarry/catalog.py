@@ -868,6 +868,48 @@ def q_stream_smooth(spark, d):
     return run_stream(_tf(spark, d), RADIUS, mode="smooth")
 
 
+@query("stream_vote", VOTE_SQL + " SELECT * FROM res")
+def q_stream_vote(spark, d):
+    from quarry.streaming.votes import run_stream
+    ev = I.first_events(spark, d, V.MAX_RUN, ["event_type"])
+    return run_stream(ev.select(F.col("user_id").alias("item"), F.col("rn").alias("k"), F.col("event_type").alias("label"), "ts"))
+
+
+ENDED_SQL = TF + """,
+kept AS (SELECT video, count(*) AS delivered, max(frame) AS last FROM tf
+         WHERE NOT (video % 4 = 1 AND frame % 41 = 7) GROUP BY 1),
+ends AS (SELECT k.video, CASE WHEN k.video % 3 <> 0 THEN n END AS expected, delivered, last
+         FROM kept k JOIN (SELECT video, count(*) AS n FROM tf GROUP BY 1) USING (video)),
+ended AS (SELECT video, expected, delivered, coalesce(expected, last + 1) - delivered AS n_missing,
+                 coalesce(expected = delivered, false) AS complete,
+                 CASE WHEN expected = delivered THEN 'marker' ELSE 'timer' END AS ended_by FROM ends)"""
+
+
+@query("stream_completeness", ENDED_SQL + " SELECT * FROM ended")
+def q_stream_completeness(spark, d):
+    from quarry.streaming.completeness import lossy_deliveries, run_stream
+    return run_stream(lossy_deliveries(_tf(spark, d)))
+
+
+@query("stream_job_done", ENDED_SQL + """
+SELECT (SELECT count(DISTINCT user_id) FROM events) AS n_videos, count(*) AS n_ended, count_if(complete)::BIGINT AS n_complete,
+       (SELECT count(DISTINCT user_id) FROM events) = count(*) AS done FROM ended""")
+def q_stream_job_done(spark, d):
+    from quarry.streaming.completeness import job_done, lossy_deliveries, run_stream
+    expected = table(spark, d, "events").select(F.col("user_id").alias("video"))
+    return job_done(expected, run_stream(lossy_deliveries(_tf(spark, d))))
+
+
+@query("stream_latency", TF + f""",
+st AS (SELECT video, min(ts) AS s FROM tf GROUP BY video),
+du AS (SELECT video, frame, ts, CAST(epoch_us(s) + floor(frame * 1000000 / {FPS}) AS BIGINT) AS due_us
+       FROM tf JOIN st USING (video))
+SELECT video, frame, due_us, {S.r6('(epoch_us(ts) - due_us) / 1e6')} AS lateness_s, false AS behind FROM du""")
+def q_stream_latency(spark, d):
+    from quarry.streaming.latency import run_stream
+    return run_stream(_tf(spark, d), FPS)[0].drop("at_us")
+
+
 @query("batched_equals_batch", f"""
 SELECT event_type, count(*) AS n_events, {S.r6('sum(value)')} AS total FROM events GROUP BY 1""")
 def q_batched_equals_batch(spark, d):

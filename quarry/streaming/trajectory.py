@@ -1,138 +1,169 @@
 """Keyed, stateful trajectory smoothing on a stream.
 
-Per video the state holds the next expected frame, the running sums, the last 2r+1
-trajectory values, transforms not yet emitted, and rows that arrived early. Repeated
-frames (replays after a restart) are ignored; early frames wait until the gap closes.
-Frame f is emitted once frame f + r has arrived, or when the video's end marker says
-no more frames follow (then the last value is replicated). Afterwards only its frame count
-stays, so replays after the end are ignored too, as are frames beyond the end. State per
-video is O(r) plus the rows that wait for a missing frame, which are never dropped.
+Per video three typed state variables: a value (next expected frame, emitted frames, frame count
+once known, running sums, first trajectory value), a list (trajectory and transform of the last
+frames that later windows need, at most 2r + 1) and a map (frames that arrived early). A call
+reads and writes O(new rows + r) of them. Repeated frames (replays after a restart) are ignored;
+early frames wait until the gap closes. Frame f is emitted once frame f + r has arrived, or when
+the video's end marker says no more frames follow (then the last value is replicated). Afterwards
+only the value stays, so replays after the end are ignored too, as are frames beyond the end.
+Rows that wait for a missing frame are never dropped.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.session import scratch_path
+from quarry.streaming.files import drain, read_staged, stage
 
 IN_SCHEMA = "video long, frame long, dx double, dy double, da double, is_end boolean"
 SMOOTH_OUT = "video long, frame long, smooth_dx double, smooth_dy double, smooth_da double"
 RUNNING_OUT = "video long, frame long, cum_dx double, cum_dy double, cum_da double"
-STATE = ("next_frame long, emitted long, end_n long, first array<double>, "
-         "hist_frame array<long>, hist_t array<array<double>>, hist_v array<array<double>>, "
-         "pend_frame array<long>, pend_v array<array<double>>")
-
-_BLOCK = 10_000
-
-
-def _r6(x: float) -> float:
-    # Same nudge-then-round as the batch operators (half-up on the decimal value).
-    from decimal import ROUND_HALF_UP, Decimal
-    return float(Decimal(x + 1e-9).quantize(Decimal("0.000001"), rounding=ROUND_HALF_UP))
-
-
-def _smoothed(f: int, hist: deque, first: list, radius: int, n: int | None) -> list[float]:
-    """Smoothed transform of frame f; ``hist`` holds (frame, trajectory, transform) from
-    max(f - radius, 0) on, and n is the frame count once it is known to be complete."""
-    at = hist[0][0]
-    last = f + radius if n is None else min(f + radius, n - 1)
-    head, tail = max(radius - f, 0), 0 if n is None else max(radius - (n - 1 - f), 0)
-    window = [hist[j - at][1] for j in range(max(f - radius, 0), last + 1)]
-    _, t, v = hist[f - at]
-    mean = [(sum(w[i] for w in window) + head * first[i] + tail * hist[-1][1][i]) / (2 * radius + 1) for i in range(3)]
-    return [_r6(mean[i] - t[i] + v[i]) for i in range(3)]
-
-
-def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState, radius: int, mode: str):
-    video = int(key[0])
-    next_frame, emitted, end_n, first, hist, pending = 0, 0, -1, None, deque(), {}
-    if state.exists:
-        next_frame, emitted, end_n, first, hist_frame, hist_t, hist_v, pend_frame, pend_v = state.get
-        hist.extend((int(f), list(t), list(v)) for f, t, v in zip(hist_frame, hist_t, hist_v))
-        pending = {int(f): list(v) for f, v in zip(pend_frame, pend_v)}
-        first = list(first) if first is not None else None
-    cols = [c.split()[0] for c in (SMOOTH_OUT if mode == "smooth" else RUNNING_OUT).split(", ")]
-    out = []
-    for pdf in pdfs:
-        for f, dx, dy, da, is_end in zip(pdf["frame"], pdf["dx"], pdf["dy"], pdf["da"], pdf["is_end"]):
-            f = int(f)
-            if bool(is_end):
-                end_n = f if end_n < 0 else end_n
-            elif f >= next_frame and (end_n < 0 or f < end_n):
-                pending.setdefault(f, [float(dx), float(dy), float(da)])
-            while next_frame in pending:
-                v = pending.pop(next_frame)
-                t = [a + b for a, b in zip(hist[-1][1], v)] if hist else v
-                first = first or t
-                hist.append((next_frame, t, v))
-                next_frame += 1
-                if mode == "running":
-                    out.append((video, next_frame - 1, *[_r6(x) for x in t]))
-                    emitted = next_frame
-                while emitted + radius < next_frame and mode == "smooth":
-                    out.append((video, emitted, *_smoothed(emitted, hist, first, radius, None)))
-                    emitted += 1
-                keep_from = min(emitted - radius, next_frame - 1) if mode == "smooth" else next_frame - 1
-                while hist[0][0] < keep_from:
-                    hist.popleft()
-        if len(out) >= _BLOCK:
-            yield pd.DataFrame(out, columns=cols)
-            out = []
-    done = 0 <= end_n <= next_frame
-    while done and emitted < next_frame:
-        out.append((video, emitted, *_smoothed(emitted, hist, first, radius, end_n)))
-        emitted += 1
-    if done:  # what stays only tells replays apart
-        first, hist, pending = None, deque(), {}
-    early = sorted(pending)
-    state.update((next_frame, emitted, end_n, first, [x[0] for x in hist], [x[1] for x in hist], [x[2] for x in hist],
-                  early, [pending[f] for f in early]))
-    if out:
-        yield pd.DataFrame(out, columns=cols)
-
-
-def stream_input(tf: DataFrame, frames_per_file: int = 20, files: int = 4) -> DataFrame:
-    """Transforms plus one end marker per video (frame = frame count), tagged with the file
-    they are written to (frame ranges, so early frames come first)."""
-    rows = tf.select("video", "frame", "dx", "dy", "da", F.lit(False).alias("is_end"))
-    ends = tf.groupBy("video").agg(F.count(F.lit(1)).alias("frame")).select(
-        "video", "frame", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("da"),
-        F.lit(True).alias("is_end"))
-    u = rows.unionByName(ends)
-    return u.withColumn("_file", F.least(F.floor(F.col("frame") / frames_per_file), F.lit(files - 1)))
 
 
-def write_input(inp: DataFrame, src: str, file_ids, parts_per_file: int = 2) -> None:
-    """Append the given input files (frame ranges) to the stream's source folder."""
-    for j in file_ids:
-        (inp.filter(F.col("_file") == j).drop("_file").repartition(parts_per_file, "video")
-            .write.mode("append").parquet(src))
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Six decimals, nudged and half away from zero like the batch operators."""
+    y = (x + 1e-9) * 1e6
+    return np.sign(y) * np.floor(np.abs(y) + 0.5) / 1e6
+
+
+class Trajectory:
+    """One video's frames while a call runs."""
+
+    def __init__(self, radius: int, smooth: bool, at: tuple | None, hist: list):
+        self.radius, self.smooth = radius, smooth
+        self.next, self.emitted, self.end, self.early, cum, first = at or (0, 0, -1, 0, [0.0] * 3, None)
+        self.cum, self.first = np.array(cum, float), None if first is None else np.array(first, float)
+        self.t = np.array([t for t, _ in hist], float).reshape(-1, 3)
+        self.v = np.array([v for _, v in hist], float).reshape(-1, 3)
+
+    def take(self, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Consume the transforms of the next frames; yields (frames, values) that can be emitted."""
+        t = np.cumsum(np.concatenate([self.cum[None], v]), axis=0)[1:]
+        self.cum = t[-1]
+        self.first = t[0] if self.first is None else self.first
+        self.next += len(v)
+        if not self.smooth:
+            self.emitted = self.next
+            yield np.arange(self.next - len(v), self.next), rounded(t)
+            return
+        self.t, self.v = np.concatenate([self.t, t]), np.concatenate([self.v, v])
+        if self.emitted + self.radius < self.next:
+            yield self._smoothed(self.next - self.radius, 0)
+        keep = max(self.emitted - self.radius, 0) - (self.next - len(self.t))
+        self.t, self.v = self.t[keep:], self.v[keep:]
+
+    def finish(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The frames still held back, with the last value replicated."""
+        if self.smooth and self.emitted < self.next:
+            yield self._smoothed(self.next, self.radius)
+        self.t = self.v = np.empty((0, 3))
+        self.first = None
+
+    def _smoothed(self, until: int, tail: int) -> tuple[np.ndarray, np.ndarray]:
+        """Frames emitted..until - 1; ``tail`` copies of the last value follow the held frames."""
+        r, base = self.radius, self.next - len(self.t)
+        frames = np.arange(self.emitted, until)
+        lead = max(r - self.emitted, 0)  # copies of the first value before frame 0
+        wide = np.concatenate([np.repeat(self.first[None], lead, 0), self.t, np.repeat(self.t[-1:], tail, 0)])
+        start = self.emitted - r + lead - base
+        mean = np.lib.stride_tricks.sliding_window_view(wide[start: start + len(frames) + 2 * r], 2 * r + 1, axis=0).sum(-1) / (2 * r + 1)
+        at = frames - base
+        self.emitted = until
+        return frames, rounded(mean - self.t[at] + self.v[at])
+
+
+class Smoother(StatefulProcessor):
+    def __init__(self, radius: int, mode: str):
+        self.radius, self.smooth = radius, mode == "smooth"
+        self.names = [c.split()[0] for c in (SMOOTH_OUT if self.smooth else RUNNING_OUT).split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "next long, emitted long, end_n long, early long, cum array<double>, first array<double>")
+        self.hist = handle.getListState("hist", "t array<double>, v array<double>")
+        self.early = handle.getMapState("early", "frame long", "v array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.at.exists()
+        tr = Trajectory(self.radius, self.smooth, self.at.get() if known else None, list(self.hist.get()) if known else [])
+        finished = 0 <= tr.end <= tr.next
+        for pdf in rows:
+            if finished:
+                continue
+            is_end = pdf["is_end"].to_numpy(bool)
+            if is_end.any() and tr.end < 0:
+                tr.end = int(pdf["frame"][is_end].iloc[0])
+            for frames, values in self._arrived(tr, pdf[~is_end]):
+                yield self._rows(key, frames, values)
+        if not finished:
+            if 0 <= tr.end <= tr.next:
+                for frames, values in tr.finish():
+                    yield self._rows(key, frames, values)
+                self.early.clear()
+                tr.early = 0
+            if len(tr.t):
+                self.hist.put(list(zip(tr.t.tolist(), tr.v.tolist())))
+            else:
+                self.hist.clear()
+            self.at.update((tr.next, tr.emitted, tr.end, tr.early, tr.cum.tolist(), None if tr.first is None else tr.first.tolist()))
+
+    def _arrived(self, tr: Trajectory, pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        frames, first = np.unique(pdf["frame"].to_numpy(np.int64), return_index=True)
+        v = pdf[["dx", "dy", "da"]].to_numpy(float)[first]
+        ok = (frames >= tr.next) & ((frames < tr.end) if tr.end >= 0 else True)
+        frames, v = frames[ok], v[ok]
+        while True:
+            n = int(np.argmin(np.append(frames == tr.next + np.arange(len(frames)), False)))
+            if n:
+                yield from tr.take(v[:n])
+                frames, v = frames[n:], v[n:]
+            if not tr.early or not self.early.containsKey((tr.next,)) or 0 <= tr.end <= tr.next:
+                break
+            waited = np.array([self.early.getValue((tr.next,))[0]], float)
+            self.early.removeKey((tr.next,))
+            tr.early -= 1
+            yield from tr.take(waited)
+            past = int(np.searchsorted(frames, tr.next))
+            frames, v = frames[past:], v[past:]
+        for f, x in zip(frames.tolist(), v.tolist()):
+            if not tr.early or not self.early.containsKey((f,)):
+                self.early.updateValue((f,), (x,))
+                tr.early += 1
+
+    def _rows(self, key, frames: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(self.names, (np.full(len(frames), key[0]), frames, *values.T))))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_input(tf: DataFrame) -> DataFrame:
+    """Transforms plus one end marker per video (frame = frame count)."""
+    rows = tf.select("video", "frame", "dx", "dy", "da", F.lit(False).alias("is_end"))
+    nothing = [F.lit(0.0).alias(c) for c in ("dx", "dy", "da")]
+    ends = tf.groupBy("video").agg(F.count(F.lit(1)).alias("frame")).select("video", "frame", *nothing, F.lit(True).alias("is_end"))
+    return rows.unionByName(ends)
 
 
-def drain(spark, src: str, out: str, ck: str, radius: int, mode: str = "smooth", parts_per_file: int = 2) -> None:
+def process(spark, src: str, out: str, ck: str, radius: int, mode: str = "smooth") -> None:
     """Process everything in ``src`` not yet seen by checkpoint ``ck`` and stop; state and
     progress live in ``ck``, so a later call resumes where this one ended."""
-    stream = spark.readStream.schema(IN_SCHEMA).option("maxFilesPerTrigger", parts_per_file).parquet(src)
-    fn = lambda key, pdfs, state: _step(key, pdfs, state, radius, mode)
-    res = stream.groupBy("video").applyInPandasWithState(
-        fn, SMOOTH_OUT if mode == "smooth" else RUNNING_OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-    q = (res.writeStream.format("parquet").option("checkpointLocation", ck).outputMode("append")
-            .trigger(availableNow=True).start(out))
-    q.awaitTermination()
-
-
-def run_stream(tf: DataFrame, radius: int, mode: str = "smooth", files: int = 4,
-               frames_per_file: int = 20, parts_per_file: int = 2) -> DataFrame:
-    """Write the input as ``files`` groups of parquet files, stream them one trigger at a
-    time through the keyed state function, and return what the sink received."""
+    res = read_staged(spark, src, IN_SCHEMA).groupBy("video").transformWithStateInPandas(
+        Smoother(radius, mode), SMOOTH_OUT if mode == "smooth" else RUNNING_OUT, "append", "none")
+    drain(res, ck, out)
+
+
+def run_stream(tf: DataFrame, radius: int, mode: str = "smooth") -> DataFrame:
+    """Stage the transforms in frame order, stream them through the keyed state, and return what
+    the sink received."""
     spark = tf.sparkSession
-    src, out, ck = (scratch_path(spark, n) for n in ("stream-src", "stream-out", "stream-ckpt"))
-    write_input(stream_input(tf, frames_per_file, files), src, range(files), parts_per_file)
-    drain(spark, src, out, ck, radius, mode, parts_per_file)
+    out, ck = (scratch_path(spark, n) for n in ("stream-out", "stream-ckpt"))
+    process(spark, stage(stream_input(tf), ["frame", "video"]), out, ck, radius, mode)
     return spark.read.schema(SMOOTH_OUT if mode == "smooth" else RUNNING_OUT).parquet(out)
