@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.scalars import stable_round
+from quarry.functions.scalars import lcg, stable_round
 from quarry.operators import exchange as X
 from quarry.operators import logs as LG
 from quarry.operators import results as RS
@@ -20,6 +20,7 @@ from quarry.operators import trips as T
 from quarry.operators import voting as V
 from quarry.plans import inputs as I
 from quarry.plans import oracle_sql as S
+from quarry.plans.sequence import number_rows
 from quarry.session import scratch_path
 from quarry.sources.tables import table
 
@@ -282,12 +283,7 @@ vg AS (SELECT item, count(*) AS n,
 res AS (SELECT item, CAST(CASE WHEN ek IS NOT NULL THEN least(3, n) WHEN lk IS NOT NULL THEN lk ELSE n END AS BIGINT) AS models_run,
                coalesce(el, ll) AS winner, ek IS NOT NULL AS stopped_early FROM vg),
 ran AS (SELECT v.* FROM votes v JOIN res r USING (item) WHERE v.k <= r.models_run),
-pick AS (SELECT item, k, label,
-         ['Resnet18','Resnet50','Resnet101','BEiT','ConvNeXT','ViT384','MIT_B0'][CAST(""" \
-    + S.lcg_sql("item * 1000 + k") + """ % 7 + 1 AS INTEGER)] AS model,
-         [0.007, 0.007, 0.011, 0.018, 0.006, 0.059, 0.016][CAST(""" + S.lcg_sql("item * 1000 + k") \
-    + """ % 7 + 1 AS INTEGER)] AS service_s
-         FROM votes WHERE k <= 11)"""
+pick AS (SELECT item, k, label, """ + S.lcg_sql("item * 1000 + k") + """ % 7 AS model FROM votes WHERE k <= 11)"""
 
 
 def _votes(spark, d):
@@ -305,21 +301,16 @@ def q_vote_tally(spark, d):
     return V.vote_tally(v, V.majority_vote(v))
 
 
-@query("model_pick", VOTE_SQL + " SELECT item, k, label, model, CAST(service_s AS DOUBLE) AS service_s FROM pick")
+@query("model_pick", VOTE_SQL + " SELECT * FROM pick")
 def q_model_pick(spark, d):
     return V.model_pick(_votes(spark, d).filter(F.col("k") <= V.MAX_RUN))
 
 
-@query("vote_summary", VOTE_SQL + """,
-lat AS (SELECT item, sum(CAST(p.service_s AS DOUBLE)) AS latency_s FROM ran JOIN pick p USING (item, k) GROUP BY item),
-j AS (SELECT r.*, CASE WHEN l.latency_s > 0 THEN l.latency_s END AS pos FROM res r LEFT JOIN lat l USING (item))
+@query("vote_summary", VOTE_SQL + """
 SELECT count(*) AS n_items, CAST(sum(models_run) AS BIGINT) AS total_models_run,
-       count(*) FILTER (WHERE stopped_early) AS n_stopped_at_3,
-       """ + S.r6("sum(pos)") + " AS total_latency_s, " + S.r6("avg(pos)") + " AS mean_latency_s, " \
-    + S.r6("max(pos)") + " AS max_latency_s FROM j")
+       count(*) FILTER (WHERE stopped_early) AS n_stopped_at_3, count(winner) AS n_decided FROM res""")
 def q_vote_summary(spark, d):
-    v = _votes(spark, d)
-    return V.vote_summary(v, V.majority_vote(v))
+    return V.vote_summary(V.majority_vote(_votes(spark, d)))
 
 
 # ---------------------------------------------------------------- sort, shuffle, dataflow
@@ -367,9 +358,37 @@ def q_range_partition(spark, d):
     return X.range_invariants(X.range_partition(_li(spark, d), N_RANGE))
 
 
-@query("partition_stats", None)
+@query("partition_stats", f"""
+SELECT l_orderkey // {X.BLOCK_KEYS} AS block, count(*) AS num_rows, count(DISTINCT l_orderkey) AS num_orders,
+       min(l_orderkey) AS first_key, max(l_orderkey) AS last_key, {S.r6('sum(l_extendedprice)', 2)} AS total_price
+FROM lineitem GROUP BY 1""")
 def q_partition_stats(spark, d):
-    return X.partition_stats(_li(spark, d).select("l_orderkey", "l_extendedprice").repartition(N_RANGE, "l_orderkey"))
+    return X.partition_stats(_li(spark, d))
+
+
+@query("ordered_delivery", f"""
+SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS pos,
+       true AS in_its_range FROM lineitem""")
+def q_ordered_delivery(spark, d):
+    """Line items in ordered outputs, read back by the manifest: the position each is delivered
+    at, and whether it lies between its output's smallest and largest key."""
+    from quarry.operators.ordered import manifest, read_ordered, write_ordered
+    keys = ["l_extendedprice", "l_orderkey", "l_linenumber"]
+    li = _li(spark, d).select(*keys)
+    path = write_ordered(li, keys, N_RANGE)
+    m = manifest(spark, path).select("output", "lo", "hi")
+    key = F.struct(*keys)
+    return read_ordered(spark, path, li.schema).join(F.broadcast(m), "output").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "pos", ((key >= F.col("lo")) & (key <= F.col("hi"))).alias("in_its_range"))
+
+
+@query("ordered_report", f"""
+SELECT {N_RANGE}::BIGINT AS n_outputs, count(*) AS n_rows, 0::BIGINT AS broken_inside, 0::BIGINT AS broken_between FROM lineitem""")
+def q_ordered_report(spark, d):
+    """How often the order is broken inside and between the outputs of a shuffled delivery."""
+    from quarry.operators.ordered import order_report, write_ordered
+    r = X.row_ids(_li(spark, d)).select("row_id").withColumn("k", lcg("row_id"))
+    return order_report(spark, write_ordered(r, ["k", "row_id"], N_RANGE), ["k", "row_id"], r.schema)
 
 
 SLICES_SQL = f"""WITH sl AS (
@@ -449,9 +468,10 @@ def q_stage_chain(spark, d):
 
 @query("diamond", f"""
 WITH sh AS (SELECT * FROM lineitem)
-SELECT a.l_returnflag, a.sum_qty, b.avg_price
+SELECT coalesce(a.l_returnflag, b.l_returnflag) AS l_returnflag, a.sum_qty, b.avg_price
 FROM (SELECT l_returnflag, {S.r6('sum(l_quantity)')} AS sum_qty FROM sh GROUP BY 1) a
-JOIN (SELECT l_returnflag, {S.r6('avg(l_extendedprice)')} AS avg_price FROM sh GROUP BY 1) b USING (l_returnflag)""")
+JOIN (SELECT l_returnflag, {S.r6('avg(l_extendedprice)')} AS avg_price FROM sh GROUP BY 1) b
+ON a.l_returnflag IS NOT DISTINCT FROM b.l_returnflag""")
 def q_diamond(spark, d):
     return X.diamond(_li(spark, d))
 
@@ -535,7 +555,7 @@ SCHEMES = ["F", "O", "P"]
 SELECT series, scheme, count(*) AS n_trials, {S.r6('avg(runtime)')} AS mean_runtime,
        {S.r6('stddev_pop(runtime)')} AS std_runtime, {S.r6('var_pop(runtime)', 3)} AS var_runtime,
        CAST(floor(sum(spilled) / count(*)) AS BIGINT) AS spilled_floor_mean,
-       {S.r6('(sum(spilled) + sum(migrations)) / 8')} AS per_node_mean
+       {S.r6('avg((migrations + remote_migrations) / 8)')} AS per_node_mean
 FROM trials GROUP BY ALL""")
 def q_trial_stats(spark, d):
     return RS.trial_stats(I.trials(spark, d))
@@ -801,11 +821,39 @@ def q_scan_year_month(spark, d):
 SELECT row_id, {S.lcg_sql('row_id', 1)} AS c_0, {S.lcg_sql('row_id', 2)} AS c_1
 FROM (SELECT unnest(range(0, (SELECT count(*) FROM lineitem))) AS row_id)""")
 def q_generated_rows(spark, d):
-    """As many generated rows as there are line items, in contiguous blocks, one a read task."""
-    from quarry.sources import generator
-    generator.register(spark)
-    return (spark.read.format("random_rows").option("n", _li(spark, d).count()).option("num_columns", 2)
-            .option("parallelism", spark.conf.get("spark.sql.shuffle.partitions")).load())
+    """Generated rows keyed by the places of the line items in key order."""
+    li = number_rows(_li(spark, d).select("l_orderkey", "l_linenumber"), [], ["l_orderkey", "l_linenumber"])
+    return li.select((F.col("rn") - 1).alias("row_id")).select("row_id", *[lcg("row_id", j + 1).alias(f"c_{j}") for j in range(2)])
+
+
+@query("source_scan", """
+SELECT l_orderkey, l_suppkey, l_quantity, l_returnflag FROM lineitem
+WHERE l_suppkey >= 5 AND l_returnflag IN ('A', 'R') AND l_quantity < 30""")
+def q_source_scan(spark, d):
+    """Line items through the Python source: filters pushed into it, row groups pruned by statistics."""
+    from quarry.sources.table_files import scan
+    li = scan(spark, f"{d.rstrip('/')}/lineitem.parquet", ["l_orderkey", "l_suppkey", "l_quantity", "l_returnflag"])
+    return li.filter((F.col("l_suppkey") >= 5) & F.col("l_returnflag").isin("A", "R") & (F.col("l_quantity") < 30))
+
+
+@query("delivery_log", TF + """,
+dl AS (SELECT video, frame FROM tf UNION ALL SELECT video, frame FROM tf WHERE frame % 7 = 3
+       UNION ALL SELECT video, frame FROM tf WHERE frame >= 25 AND frame < 30)
+SELECT video, count(*) AS n_received, count(DISTINCT frame) AS n_delivered,
+       count(*) - count(DISTINCT frame) AS n_duplicates,
+       max(frame) + 1 - count(DISTINCT frame) AS n_missing, max(frame) AS last_frame
+FROM dl GROUP BY video""")
+def q_delivery_log(spark, d):
+    """Deliveries through the exactly-once sink: two epochs that overlap, the second replayed; the
+    replay leaves nothing, so every row counts as often as its epochs delivered it."""
+    from quarry.sources import delivery_log
+    rows = TR.replayed_deliveries(_tf(spark, d)).select("video", "frame").checkpoint()
+    path = scratch_path(spark, "delivery-log")
+    delivery_log.append(rows.filter("frame < 30"), path, 0)
+    later = rows.filter("frame >= 30").unionByName(rows.filter("frame >= 25 and frame < 30").distinct())
+    for _ in range(2):
+        delivery_log.append(later, path, 1)
+    return TR.idempotent_sink(delivery_log.read_log(spark, path, "video long, frame long"))
 
 
 @query("task_lines", r"""

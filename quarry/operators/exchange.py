@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import lcg, stable_round
+from quarry.operators.ordered import read_ordered, write_ordered
 from quarry.plans.scalars import attach_scalar
 from quarry.plans.sequence import number_rows
 
@@ -31,15 +32,22 @@ def gen_rows(lineitem: DataFrame, num_columns: int = 2, parallelism: int = 8) ->
 
 
 def global_sort(lineitem: DataFrame) -> DataFrame:
-    """Ascending sort on (price, order, line) with the 1-based global position."""
+    """Ascending sort on (price, order, line), delivered as ordered outputs and read back with the
+    1-based global position."""
     li = lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return number_rows(li, [], ["l_extendedprice", "l_orderkey", "l_linenumber"], rn="pos")
+    return _delivered(li, ["l_extendedprice", "l_orderkey", "l_linenumber"])
+
+
+def _delivered(df: DataFrame, keys: list[str]) -> DataFrame:
+    spark = df.sparkSession
+    path = write_ordered(df, keys, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return read_ordered(spark, path, df.schema).drop("output")
 
 
 def random_shuffle(lineitem: DataFrame) -> DataFrame:
     """A reproducible uniform permutation: sort by LCG(row_id), tie-broken by row_id."""
     r = row_ids(lineitem).select("l_orderkey", "l_linenumber", "row_id").withColumn("_k", lcg("row_id"))
-    return number_rows(r, [], ["_k", "row_id"], rn="pos").drop("_k", "row_id")
+    return _delivered(r, ["_k", "row_id"]).drop("_k", "row_id")
 
 
 def range_partition(lineitem: DataFrame, n: int) -> DataFrame:
@@ -59,12 +67,18 @@ def range_invariants(parts: DataFrame) -> DataFrame:
         F.max("hi").alias("hi"), F.count_if(F.col("lo") <= F.col("_before")).alias("n_overlaps"))
 
 
+#: Order keys of a block.
+BLOCK_KEYS = 4096
+
+
 def partition_stats(df: DataFrame) -> DataFrame:
-    """Block metadata: rows and approximate bytes per partition (layout dependent)."""
-    width = sum(8 for _ in df.columns)
-    return (df.withColumn("part", F.spark_partition_id()).groupBy("part")
-              .agg(F.count(F.lit(1)).alias("num_rows"))
-              .withColumn("size_bytes", F.col("num_rows") * F.lit(width)))
+    """Statistics of blocks of consecutive order keys: per block its line items, orders, first and last
+    key and total price."""
+    block = F.floor(F.col("l_orderkey") / F.lit(BLOCK_KEYS)).cast("long")
+    return df.groupBy(block.alias("block")).agg(
+        F.count(F.lit(1)).alias("num_rows"), F.countDistinct("l_orderkey").alias("num_orders"),
+        F.min("l_orderkey").alias("first_key"), F.max("l_orderkey").alias("last_key"),
+        stable_round(F.sum("l_extendedprice"), 2).alias("total_price"))
 
 
 # ---- slices and all-to-all --------------------------------------------------------------
@@ -167,10 +181,10 @@ def stage_chain(lineitem: DataFrame) -> DataFrame:
 
 
 def diamond(lineitem: DataFrame) -> DataFrame:
-    """One input consumed by two aggregations that are joined again."""
-    a = lineitem.groupBy("l_returnflag").agg(stable_round(F.sum("l_quantity"), 6).alias("sum_qty"))
-    b = lineitem.groupBy("l_returnflag").agg(stable_round(F.avg("l_extendedprice"), 6).alias("avg_price"))
-    return a.join(b, "l_returnflag")
+    """One input consumed by two aggregations whose results meet again: both are taken in one pass
+    over the shared input, so it is scanned and exchanged once, and a null flag meets itself."""
+    return lineitem.groupBy("l_returnflag").agg(stable_round(F.sum("l_quantity"), 6).alias("sum_qty"),
+                                               stable_round(F.avg("l_extendedprice"), 6).alias("avg_price"))
 
 
 def three_way(lineitem: DataFrame, orders: DataFrame, customer: DataFrame) -> DataFrame:

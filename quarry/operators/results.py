@@ -16,15 +16,16 @@ NUM_WORKERS = 7
 
 
 def trial_stats(trials: DataFrame, keys=("series", "scheme"), workers: int = NUM_WORKERS) -> DataFrame:
-    """Mean, population std and variance of runtime; floor-mean of counters; per-node mean
-    of (local + remote) counters over workers + 1 nodes."""
+    """Mean, population std and variance of runtime; floor-mean of counters; mean over the
+    trials of the migrations per node, (local + remote) / (workers + 1): the head's own count and
+    the workers' total over all nodes."""
     return trials.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trials"),
         stable_round(F.avg("runtime"), 6).alias("mean_runtime"),
         stable_round(F.stddev_pop("runtime"), 6).alias("std_runtime"),
         stable_round(F.var_pop("runtime"), 3).alias("var_runtime"),
         F.floor(F.sum("spilled") / F.count(F.lit(1))).cast("long").alias("spilled_floor_mean"),
-        stable_round((F.sum("spilled") + F.sum("migrations")) / F.lit(workers + 1), 6).alias("per_node_mean"))
+        stable_round(F.avg((F.col("migrations") + F.col("remote_migrations")) / F.lit(workers + 1)), 6).alias("per_node_mean"))
 
 
 def result_pivot(trials: DataFrame, series: str, schemes: list[str]) -> DataFrame:
@@ -64,10 +65,8 @@ def latency_stats(lat: DataFrame, fps: int) -> DataFrame:
     maxf = lat.groupBy("file").agg(F.max("frame").alias("_maxf"))
     kept = join_keys(lat, maxf, ["file"]).filter((F.col("frame") > WARMUP_SECONDS * fps) & (F.col("frame") < F.col("_maxf")))
     kept = kept.withColumn("ms", (F.col("latency_s") - 1) * 1000)
-    basic = kept.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("_mean"),
-                                     F.max("ms").alias("_max"))
-    q = exact_quantiles(kept, ["file"], "ms", [0.5, 0.9, 0.99], tie="event_id")
-    j = join_keys(basic, q, ["file"])
+    basic = [F.count(F.lit(1)).alias("n"), F.avg("ms").alias("_mean"), F.max("ms").alias("_max")]
+    j = exact_quantiles(kept, ["file"], "ms", [0.5, 0.9, 0.99], extra=basic)
     return j.select("file", "n", stable_round("_mean", 6).alias("mean_ms"),
                     stable_round("p50", 6).alias("p50_ms"), stable_round("p90", 6).alias("p90_ms"),
                     stable_round("p99", 6).alias("p99_ms"), stable_round("_max", 6).alias("max_ms"))

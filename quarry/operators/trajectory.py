@@ -89,13 +89,11 @@ def replayed_deliveries(tf: DataFrame, replay_mod: int = 7, replay_at: int = 3)
 def idempotent_sink(deliveries: DataFrame) -> DataFrame:
     """Drop repeated (video, frame) deliveries and report, per video, what was received,
     kept, and how many indices are missing below the highest one (0 = in order)."""
-    kept = deliveries.dropDuplicates(["video", "frame"])
-    got = deliveries.groupBy("video").agg(F.count(F.lit(1)).alias("n_received"))
-    k = kept.groupBy("video").agg(F.count(F.lit(1)).alias("n_delivered"),
-                                  F.max("frame").alias("last_frame"), F.min("frame").alias("first_frame"))
-    return (join_keys(got, k, ["video"]).withColumn("n_duplicates", F.col("n_received") - F.col("n_delivered"))
-              .withColumn("n_missing", F.col("last_frame") + 1 - F.col("n_delivered"))
-              .select("video", "n_received", "n_delivered", "n_duplicates", "n_missing", "last_frame"))
+    each = deliveries.groupBy("video", "frame").agg(F.count(F.lit(1)).alias("_c"))
+    return (each.groupBy("video").agg(F.sum("_c").alias("n_received"), F.count("frame").alias("n_delivered"),
+                                      F.max("frame").alias("last_frame"))
+                .select("video", "n_received", "n_delivered", (F.col("n_received") - F.col("n_delivered")).alias("n_duplicates"),
+                        (F.col("last_frame") + 1 - F.col("n_delivered")).alias("n_missing"), "last_frame"))
 
 
 def completeness(expected: DataFrame, delivered: DataFrame) -> DataFrame:

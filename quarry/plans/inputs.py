@@ -89,4 +89,5 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.month("o_orderdate") % 4 + 1).cast("long").alias("working_set"),
                     F.col("o_totalprice").alias("runtime"),
                     (F.col("o_custkey") % 97).alias("spilled"),
-                    (F.col("o_custkey") % 13).alias("migrations"))
+                    (F.col("o_custkey") % 13).alias("migrations"),
+                    (F.col("o_orderkey") % 29).alias("remote_migrations"))

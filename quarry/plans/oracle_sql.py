@@ -104,5 +104,5 @@ POINTS = """pts AS (
 TRIALS = """trials AS (
   SELECT o_orderkey AS trial_id, o_orderpriority AS series, o_orderstatus AS scheme,
          month(o_orderdate) % 4 + 1 AS working_set, o_totalprice AS runtime,
-         o_custkey % 97 AS spilled, o_custkey % 13 AS migrations
+         o_custkey % 97 AS spilled, o_custkey % 13 AS migrations, o_orderkey % 29 AS remote_migrations
   FROM orders)"""

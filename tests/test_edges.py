@@ -169,7 +169,7 @@ def test_null_keys_are_groups_of_their_own(spark):
     vals = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("a", 5.0, 3)], "k string, v double, i long")
     assert sorted((r.k or "", r.v, r.ecdf) for r in RS.ecdf(vals, ["k"], "v", "i").collect()) == [
         ("", 1.0, 0.5), ("", 3.0, 1.0), ("a", 5.0, 1.0)]
-    assert {r.k: r.p50 for r in exact_quantiles(vals, ["k"], "v", [0.5], tie="i").collect()} == {None: 2.0, "a": 5.0}
+    assert {r.k: r.p50 for r in exact_quantiles(vals, ["k"], "v", [0.5]).collect()} == {None: 2.0, "a": 5.0}
     got = spark.createDataFrame([(None, 0), (None, 0), (None, 1), ("a", 0)], "video string, frame long")
     assert {r.video: (r.n_received, r.n_delivered) for r in TR.idempotent_sink(got).collect()} == {None: (3, 2), "a": (1, 1)}
     done = TR.completeness(got.dropDuplicates(), got.dropDuplicates()).collect()

@@ -18,7 +18,7 @@ def test_filter_and_projection_reach_the_scan(spark):
 def test_row_numbering_is_range_partitioned_not_a_single_window(spark):
     """The rows are range-partitioned and checkpointed; the only single-partition step is
     the offset window over the per-task count table (one row per task)."""
-    p = plan(E.queries()["global_sort"](spark, SF))
+    p = plan(E.queries()["generated_rows"](spark, SF))
     assert "ExistingRDD" in p
     lines = p.splitlines()
     for i, line in enumerate(lines):
@@ -26,6 +26,16 @@ def test_row_numbering_is_range_partitioned_not_a_single_window(spark):
             assert "_q_pid" in " ".join(lines[i:i + 4])
 
 
+def test_sorted_rows_are_numbered_by_their_outputs(spark):
+    p = plan(E.queries()["global_sort"](spark, SF))
+    assert "ExistingRDD" not in p and "Window" not in p and "row_index" in p
+
+
+def test_the_diamond_scans_once(spark):
+    p = plan(E.queries()["diamond"](spark, SF))
+    assert p.count("FileScan") == 1 and p.count("Exchange hashpartitioning") == 1
+
+
 def test_first_match_compares_no_token_with_every_text(spark):
     p = plan(E.queries()["first_match"](spark, SF))
     assert "CartesianProduct" not in p and "NestedLoop" not in p
