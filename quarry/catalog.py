@@ -632,7 +632,7 @@ def _words_sql(col: str) -> str:
     return WORDS_SQL.replace("text", col)
 
 
-@query("parse_stats", f"""
+PARSE_SQL = f"""
 WITH w AS (SELECT doc_id, text, {_words_sql('text')} AS w FROM documents),
 i AS (SELECT *, coalesce(list_position(w, 'the'), 0) AS idx, instr(text, 'and') AS pos FROM w),
 r AS (SELECT *, CASE WHEN pos > 0 THEN {_words_sql('substr(text, pos + 1)')} END AS rest FROM i),
@@ -644,11 +644,20 @@ SELECT doc_id,
        CASE WHEN idx > 0 THEN coalesce(w[idx + 8], '') ELSE '' END AS throughput,
        coalesce(try_cast(CASE WHEN idx > 0 THEN coalesce(w[idx + 1], '') ELSE '' END AS DOUBLE), 0.0) AS amount_num,
        substr(tok, 1, length(tok) - 1) AS duration
-FROM t""")
+FROM t"""
+
+
+@query("parse_stats", PARSE_SQL)
 def q_parse_stats(spark, d):
     return LG.parse_stats(table(spark, d, "documents"), "the", duration_marker="and")
 
 
+@query("parse_numbers", PARSE_SQL.replace("'the'", "'version'"))
+def q_parse_numbers(spark, d):
+    """The same after a marker that numbers follow, so they are parsed where there are any."""
+    return LG.parse_stats(table(spark, d, "documents"), "version", duration_marker="and")
+
+
 @query("sum_stats", f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 w AS (SELECT doc_id, {_words_sql('line')} AS w FROM l),

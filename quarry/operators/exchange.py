@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import lcg, stable_round
-from quarry.operators.ordered import read_ordered, write_ordered
+from quarry.operators.ordered import numbered
 from quarry.plans.scalars import attach_scalar
 from quarry.plans.sequence import number_rows
 
@@ -39,9 +39,7 @@ def global_sort(lineitem: DataFrame) -> DataFrame:
 
 
 def _delivered(df: DataFrame, keys: list[str]) -> DataFrame:
-    spark = df.sparkSession
-    path = write_ordered(df, keys, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return read_ordered(spark, path, df.schema).drop("output")
+    return numbered(df, keys, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def random_shuffle(lineitem: DataFrame) -> DataFrame:

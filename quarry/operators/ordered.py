@@ -14,37 +14,58 @@ from pyspark.sql import functions as F
 from quarry.session import scratch_path
 
 
+def _write(df: DataFrame, keys: list[str], n: int, path: str) -> None:
+    df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.parquet(f"{path}/data")
+
+
+def _places(per: DataFrame) -> DataFrame:
+    """``output`` and ``rows_before`` for rows (file, n_rows, ...), one per output. The outputs'
+    numbers are in their names; the windows see one row per output."""
+    number = F.struct(*[F.regexp_extract("file", p, 1).try_cast("long") for p in (r"^part-(\d+)", r"-c(\d+)")])
+    place = Window.orderBy("_number")
+    return per.withColumn("_number", number).withColumn("output", (F.row_number().over(place) - 1).cast("long")).withColumn(
+        "rows_before", F.sum("n_rows").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_rows")).drop("_number")
+
+
 def write_ordered(df: DataFrame, keys: list[str], n: int, path: str | None = None) -> str:
     """Write ``df`` as at most ``n`` outputs, ascending by ``keys`` (which should be unique) inside
     and between them, with a manifest; returns the folder. Ranges that get no row give no output."""
     spark = df.sparkSession
     path = path or scratch_path(spark, "ordered")
-    df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.parquet(f"{path}/data")
+    _write(df, keys, n, path)
     per = spark.read.schema(df.schema).parquet(f"{path}/data").groupBy(F.col("_metadata.file_name").alias("file")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi"))
-    # the outputs' numbers are in their names; the windows see one row per output
-    number = F.struct(*[F.regexp_extract("file", p, 1).cast("long") for p in (r"^part-(\d+)", r"-c(\d+)")])
-    place = Window.orderBy("_number")
-    per.withColumn("_number", number).select(
-        (F.row_number().over(place) - 1).cast("long").alias("output"), "file", "n_rows",
-        (F.sum("n_rows").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_rows")).alias("rows_before"), "lo", "hi") \
-        .write.parquet(f"{path}/manifest")
+    _places(per).select("output", "file", "n_rows", "rows_before", "lo", "hi").write.parquet(f"{path}/manifest")
     return path
 
 
+def numbered(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The rows with their global position ``pos``, from 1, in the order of ``keys`` (unique): written
+    as ordered outputs and read back, without a manifest; the counts per output read no column."""
+    path = scratch_path(df.sparkSession, "ordered")
+    _write(df, keys, n, path)
+    whole = df.sparkSession.read.schema(df.schema).parquet(f"{path}/data")
+    per = whole.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return _positions(whole, _places(per)).drop("output")
+
+
+def _positions(rows: DataFrame, outputs: DataFrame) -> DataFrame:
+    """``output`` and ``pos`` of read rows. There is one row per output that was asked for, so the
+    outputs are broadcast."""
+    rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    m = outputs.select(F.col("file").alias("_of"), "output", "rows_before")
+    return rows.join(F.broadcast(m), rows["_file"] == m["_of"]).withColumn("pos", F.col("rows_before") + F.col("_at") + 1) \
+        .drop("_file", "_at", "_of", "rows_before")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """output, file, n_rows, rows_before, lo, hi."""
     return spark.read.parquet(f"{path}/manifest")
 
 
 def read_ordered(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The rows with their ``output`` and global position ``pos``, from 1. The manifest has one row
-    per output that was asked for, so it is broadcast."""
-    rows = spark.read.schema(schema).parquet(f"{path}/data").select("*", F.col("_metadata.file_name").alias("_file"),
-                                                                    F.col("_metadata.row_index").alias("_at"))
-    m = manifest(spark, path).select(F.col("file").alias("_of"), "output", "rows_before")
-    return rows.join(F.broadcast(m), rows["_file"] == m["_of"]).withColumn("pos", F.col("rows_before") + F.col("_at") + 1) \
-        .drop("_file", "_at", "_of", "rows_before")
+    """The rows with their ``output`` and global position ``pos``, from 1."""
+    return _positions(spark.read.schema(schema).parquet(f"{path}/data"), manifest(spark, path))
 
 
 def one_output(spark: SparkSession, path: str, output: int, schema) -> DataFrame:
