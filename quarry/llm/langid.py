@@ -7,9 +7,13 @@ softmax of those means scaled by a fixed temperature.
 
 Training: per language the first ``max_docs`` labelled documents in the order of a hash of the
 id, for the ``MAX_LANGS`` commonest languages (documented bounds of the sample that fits the
-classifier; with them the model has a proven
-size bound, so it can be sent to every task). Counting is distributed; words and n-grams seen
-once in the sample are left to the shorter n-grams.
+classifier). Counting is distributed; words and n-grams seen once in the sample are left to the
+shorter n-grams, and words of more than ``MAX_LETTERS`` letters always are. The model is sparse:
+the commonest words and as many n-grams of each length, up to ``MAX_WORDS`` of either, and a count
+for each language that has them, up to ``MAX_ENTRIES`` counts a length. That bounds what the
+driver collects and sends to every task: 6 x 2,000,000 counts of 8 bytes, 6 x 200,000 strings.
+
+Words are runs of letters (Unicode category L), in learning and in prediction alike.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text
 when there is no labelled row; repeated rows are all returned; an empty table gives an empty
@@ -19,23 +23,23 @@ Only ``doc_id``, ``text`` and (for learning) ``lang`` are read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import ready
 
 MAX_DOCS, MAX_WORDS, MAX_GRAM, MIN_COUNT, FOLDS = 1000, 200_000, 5, 2, 5
-MAX_LANGS = 1000
+MAX_LANGS, MAX_LETTERS, MAX_ENTRIES = 1000, 64, 2_000_000
 TEMPERATURE = 2.0
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 #: The same words for Spark.
-SPARK_LETTERS = r"[\p{L}]+"
+SPARK_LETTERS = r"\p{L}+"
 _CACHE = 200_000
 
 
@@ -65,32 +69,48 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -
         F.sequence(F.lit(1), F.greatest(F.length("g") - k + 1, F.lit(1))), lambda i: F.substring(F.col("g"), i, k))))
     grams = words.select("lang", "n", F.explode(F.array_distinct(parts)).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
     both = words.select(F.lit(0).alias("k"), "lang", "g", "n").unionByName(
-        grams.select(F.length("g").alias("k"), "lang", "g", "n")).filter(F.length("g") <= 64)
+        grams.select(F.length("g").alias("k"), "lang", "g", "n")).filter(F.length("g") <= MAX_LETTERS)
     top = both.groupBy("k", "g").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")) \
         .filter(F.col("all") >= MIN_COUNT).checkpoint()
-    got = [r for k in range(MAX_GRAM + 1) for r in top.filter(F.col("k") == k).orderBy(F.desc("all"), "g").limit(max_words).collect()]  # bounded
-    langs = sorted({x["lang"] for r in got for x in r["by"]})
+    levels = [list(_commonest(top.filter(F.col("k") == k), max_words)) for k in range(MAX_GRAM + 1)]
+    langs = sorted({x["lang"] for rows in levels for r in rows for x in r["by"]})
     at = {x: i for i, x in enumerate(langs)}
-    counts = np.zeros((len(got), len(langs)))
-    index = [{} for _ in range(MAX_GRAM + 1)]
-    level = np.array([r["k"] for r in got], int)
-    for i, r in enumerate(got):
-        index[r["k"]][r["g"]] = i
-        for x in r["by"]:
-            counts[i, at[x["lang"]]] = x["n"]
-    logs = np.empty_like(counts, dtype=np.float32)
-    for k in range(MAX_GRAM + 1):
-        c = counts[level == k]
-        if len(c):
-            logs[level == k] = np.log((c + 0.1) / (c.sum(0) + 0.1 * (len(c) + 1)))
-    return {"langs": langs, "index": index, "logs": logs}
+    index: list[dict] = []
+    start, lang, gain, level, none = [0], [], [], [], np.zeros((MAX_GRAM + 1, len(langs)))
+    for k, rows in enumerate(levels):
+        index.append({r["g"]: len(level) + i for i, r in enumerate(rows)})
+        total = np.zeros(len(langs))
+        for r in rows:
+            for x in r["by"]:
+                total[at[x["lang"]]] += x["n"]
+        base = total + 0.1 * (len(rows) + 1)
+        none[k] = np.log(0.1 / base)  # of a word or n-gram that a language does not have
+        for r in rows:
+            for x in sorted(r["by"], key=lambda x: x["lang"]):
+                lang.append(at[x["lang"]])
+                gain.append(np.log((x["n"] + 0.1) / 0.1))
+            start.append(len(lang))
+            level.append(k)
+    return {"langs": langs, "index": index, "start": np.array(start, np.int64), "lang": np.array(lang, np.int32),
+            "gain": np.array(gain, np.float32), "level": np.array(level, np.int8), "none": none}
+
+
+def _commonest(rows: DataFrame, most: int) -> Iterator:
+    """The ``most`` commonest of the rows (g, all, by), as long as they hold ``MAX_ENTRIES`` counts."""
+    held = 0
+    for r in rows.orderBy(F.desc("all"), "g").limit(most).toLocalIterator():
+        held += len(r["by"])
+        if held > MAX_ENTRIES:
+            return
+        yield r
 
 
 class Scorer:
     """Scores texts with a model; the n-gram rows of unseen words are kept (a bounded number)."""
 
     def __init__(self, model: dict):
-        self.langs, self.index, self.logs = model["langs"], model["index"], model["logs"]
+        self.langs, self.index, self.none, self.level = model["langs"], model["index"], model["none"], model["level"]
+        self.start, self.lang, self.gain = model["start"], model["lang"], model["gain"]
         self.known, self.unseen = self.index[0], {}
 
     def backoff(self, word: str) -> list[int]:
@@ -108,6 +128,13 @@ class Scorer:
             self.unseen[word] = rows
         return rows
 
+    def _sum(self, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The log frequencies of the rows, times how often each counts, added up per language."""
+        first, n = self.start[at], self.start[at + 1] - self.start[at]
+        entries = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        gains = np.bincount(self.lang[entries], np.repeat(times, n) * self.gain[entries], minlength=len(self.langs))
+        return gains + np.bincount(self.level[at], times, minlength=MAX_GRAM + 1) @ self.none
+
     def __call__(self, text: str | None) -> tuple[str, float]:
         found = Counter(LETTERS.findall((text or "").lower()))
         if not found or not self.langs:
@@ -122,7 +149,7 @@ class Scorer:
             elif rows := self.backoff(w):
                 at += rows
                 times += [n / len(rows)] * len(rows)
-        total = np.asarray(times, np.float64) @ self.logs[at] if at else np.zeros(len(self.langs))
+        total = self._sum(np.array(at, np.int64), np.array(times, np.float64)) if at else np.zeros(len(self.langs))
         x = TEMPERATURE * total / sum(found.values())
         p = np.exp(x - x.max())
         best = int(p.argmax())
