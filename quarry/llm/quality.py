@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import WORD
 
-#: Bits of a gram's packed sort key that hold its position (documents of up to 2^26 words).
+#: Bits of a gram's packed sort key that hold its position. Longer texts, and texts in which two
+#: different grams share the rest of the key, are sorted by the whole hash and the position.
 POS_BITS = 26
 POS_MASK = (1 << POS_BITS) - 1
 
@@ -61,15 +62,27 @@ def _packed(grams: Column) -> Column:
 
 
 def _repeated_positions(grams: Column, packed: Column) -> Column:
-    """Ascending positions of the grams that occur at least twice. Neighbours of the packed
-    order are compared by their full hashes, so only equal grams count. Both arguments are
-    columns of their own (not expressions), so they are computed once per row."""
+    """Ascending positions of the grams that occur at least twice. In the packed order equal grams
+    are neighbours unless a different gram with their hash prefix stands between them, which shows
+    as two neighbours of one prefix and two hashes; such texts, and those whose positions do not
+    fit, are sorted by (hash, position) instead. Both arguments are columns of their own (not
+    expressions), so they are computed once per row."""
     def full(entry: Column) -> Column:
         return F.get(grams, entry.bitwiseAND(F.lit(POS_MASK)).cast("int"))
 
+    def prefix(entry: Column) -> Column:
+        return entry.bitwiseAND(F.lit(~POS_MASK))
+
     same = F.filter(packed, lambda x, i: (full(x) == full(F.get(packed, i + 1)))
                     | ((i > 0) & (full(x) == full(F.get(packed, i - 1)))))
-    return F.sort_array(F.transform(same, lambda x: x.bitwiseAND(F.lit(POS_MASK))))
+    mixed = F.exists(F.transform(packed, lambda x, i: (prefix(x) == prefix(F.get(packed, i + 1)))
+                                 & (full(x) != full(F.get(packed, i + 1)))), lambda m: F.coalesce(m, F.lit(False)))
+    pairs = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    whole = F.transform(F.filter(F.transform(F.array(pairs), lambda s: F.filter(s, lambda x, i: (
+        x["h"] == F.get(s, i + 1)["h"]) | ((i > 0) & (x["h"] == F.get(s, i - 1)["h"]))))[0], lambda x: x.isNotNull()), lambda x: x["i"])
+    fits = F.size(grams) <= POS_MASK
+    return F.when(fits & ~mixed, F.sort_array(F.transform(same, lambda x: x.bitwiseAND(F.lit(POS_MASK))))) \
+        .otherwise(F.sort_array(whole))
 
 
 def measure(docs: DataFrame, carry: Column | None = None) -> DataFrame:
@@ -88,7 +101,8 @@ def measure(docs: DataFrame, carry: Column | None = None) -> DataFrame:
     none = F.array().cast("array<bigint>")
     d = d.select("doc_id", "syms", "chars", "lines", "n", "g", F.when(
         F.size(F.array_distinct("g")) < F.size("g"), _packed(F.col("g"))).otherwise(none).alias("s"))
-    d = d.select("doc_id", "syms", "chars", "lines", "n", _repeated_positions(F.col("g"), F.col("s")).alias("p"))
+    d = d.select("doc_id", "syms", "chars", "lines", "n", F.when(
+        F.size("s") > 0, _repeated_positions(F.col("g"), F.col("s"))).otherwise(none).alias("p"))
     covered = F.aggregate(F.transform("p", lambda x, i: F.least(
         F.lit(3).cast("long"), F.coalesce(x - F.get("p", i - 1), F.lit(3).cast("long")))),
         F.lit(0).cast("long"), lambda a, x: a + x)
