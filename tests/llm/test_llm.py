@@ -274,6 +274,79 @@ def test_language_id_on_held_out_texts(spark):
 
 # -- 6 -------------------------------------------------------------------------------
 
+def test_language_letters_are_category_l(spark):
+    rows = [(i, ("alpha beta gamma" if i % 2 else "uno dos tres") + " x" * (i % 3), "aa" if i % 2 else "bb") for i in range(40)]
+    odd = [(100, "½ ² Ⅷ 5"), (101, "①_ ٣"), (102, "ª"), (103, "中")]
+    df = spark.createDataFrame([*rows, *[(i, t, None) for i, t in odd]], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.op5(df).collect()}
+    assert got[100] == got[101] == ("und", 0.0) and got[102][0] != "und" and got[103][0] != "und"
+
+
+def test_language_scores_against_brute_force(spark):
+    """Counts, smoothing, backoff and softmax restated from the training texts."""
+    rnd = random.Random(4)
+    vocab = {"aa": ["abba", "abc", "cab", "bca", "é"], "bb": ["xyz", "zyx", "abc", "yy"], "cc": ["mno", "cab", "onm"]}
+    rows = [(i, " ".join(rnd.choice(vocab[x]) for _ in range(rnd.randint(1, 12))), x) for i in range(90) for x in [list(vocab)[i % 3]]]
+    more = [(200, "abcab zzyx 1 mnom"), (201, "qqq"), (202, "é"), (203, "ABC abc w" + "o" * 80)]
+    df = spark.createDataFrame([*rows, *[(i, t, None) for i, t in more]], "doc_id long, text string, lang string")
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    counts = [{} for _ in range(langid.MAX_GRAM + 1)]
+    for _, text, x in learned:
+        for w in text.split():
+            counts[0].setdefault(w, {}).setdefault(x, 0)
+            counts[0][w][x] += 1
+            for g in {w[j: j + k] for k in range(1, 6) for j in range(len(w) - k + 1)}:
+                counts[len(g)].setdefault(g, {}).setdefault(x, 0)
+                counts[len(g)][g][x] += 1
+    counts = [{g: c for g, c in level.items() if sum(c.values()) >= 2} for level in counts]
+    base = [{x: sum(c.get(x, 0) for c in level.values()) + 0.1 * (len(level) + 1) for x in vocab} for level in counts]
+    log = lambda k, g, x: math.log((counts[k][g].get(x, 0) + 0.1) / base[k][x])
+
+    def score(text):
+        total, words = dict.fromkeys(vocab, 0.0), re.findall(r"[^\W\d_]+", text.lower())
+        for w in words:
+            grams = [(0, w)] if w in counts[0] else next((
+                [(k, w[j: j + k]) for j in range(len(w) - k + 1) if w[j: j + k] in counts[k]]
+                for k in range(5, 0, -1) if any(w[j: j + k] in counts[k] for j in range(len(w) - k + 1))), [])
+            for k, g in grams:
+                for x in total:
+                    total[x] += log(k, g, x) / len(grams)
+        p = {x: math.exp(langid.TEMPERATURE * t / len(words)) for x, t in total.items()}
+        return {x: v / sum(p.values()) for x, v in p.items()}
+
+    got = {r.doc_id: r for r in langid.op5(df).collect()}
+    for i, text, *_ in [*rows, *more]:
+        want = score(text)
+        assert want[got[i].lang_pred] == pytest.approx(max(want.values()), abs=1e-5)
+        assert got[i].score == pytest.approx(max(want.values()), abs=1e-5)
+
+
+def test_repeated_grams_of_colliding_prefixes(spark):
+    """Grams that share the prefix of the packed key and interleave, and grams of one hash."""
+    rnd = random.Random(2)
+    top = [rnd.randrange(-2 ** 37, 2 ** 37) << quality.POS_BITS for _ in range(3)]
+    rows = [(i, [rnd.choice(top) + rnd.randrange(3) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 5, 9, 30, 200])]
+    rows.append((99, [top[0] + 1, top[0], top[0] + 1, top[0] + 2, top[0]]))
+    df = spark.createDataFrame(rows, "id long, g array<bigint>").withColumn("s", quality._packed(F.col("g")))
+    got = {r.id: r.p for r in df.select("id", quality._repeated_positions(F.col("g"), F.col("s")).alias("p")).collect()}
+    assert got == {i: [k for k, x in enumerate(g) if g.count(x) > 1] for i, g in rows}
+
+
+def test_quality_of_a_text_of_two_million_words(spark):
+    rnd = random.Random(1)
+    words = [str(rnd.randrange(128)) for _ in range(2 ** 21)]
+    seen = {}
+    for g in zip(words, words[1:], words[2:]):
+        seen[g] = seen.get(g, 0) + 1
+    want, until = 0, 0
+    for i, g in enumerate(zip(words, words[1:], words[2:])):
+        if seen[g] > 1:
+            want += i + 3 - max(i, until)
+            until = i + 3
+    got = quality.op6(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    assert (got.n_words, got.n_repeat_words) == (2 ** 21, want)
+
+
 def test_quality_against_sql(docs):
     _against_sql(quality.op6(docs), docs, quality.SQL)
 
