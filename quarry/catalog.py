@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions.scalars import lcg, stable_round
 from quarry.operators import exchange as X
 from quarry.operators import logs as LG
+from quarry.operators import motion as MO
 from quarry.operators import results as RS
 from quarry.operators import trajectory as TR
 from quarry.operators import trips as T
@@ -226,24 +227,118 @@ ab AS (
          CASE WHEN sqq - n_points * (mx0 * mx0 + my0 * my0) <> 0 THEN
            (scross - n_points * (mx0 * my1 - my0 * mx1)) / (sqq - n_points * (mx0 * mx0 + my0 * my0)) END AS b
   FROM g),
+raw AS (SELECT vec_id, n_points, mx1 - a * mx0 + b * my0 AS dx, my1 - b * mx0 - a * my0 AS dy, atan2(b, a) AS da FROM ab),
 fit AS (
-  SELECT vec_id, n_points, """ + S.r6("mx1 - a * mx0 + b * my0") + " AS dx, " + S.r6("my1 - b * mx0 - a * my0") \
-    + " AS dy, " + S.r6("atan2(b, a)") + """ AS da FROM ab)"""
+  SELECT vec_id, n_points, """ + S.r6("dx") + " AS dx, " + S.r6("dy") + " AS dy, " + S.r6("da") + """ AS da FROM raw)"""
 
 
 @query("similarity_fit", PAIRS_SQL + " SELECT * FROM fit")
 def q_similarity_fit(spark, d):
-    return TR.similarity_fit(TR.point_pairs(I.points(spark, d)))
+    return TR.similarity_fit(TR.point_pairs(table(spark, d, "embeddings")))
 
 
 @query("apply_transform", PAIRS_SQL + """
 SELECT p.vec_id, p.pt,
   """ + S.r6("1.04 * (cos(da) * x - sin(da) * y + dx)") + """ AS x_out,
   """ + S.r6("1.04 * (sin(da) * x + cos(da) * y + dy)") + """ AS y_out
-FROM pts p JOIN fit f ON f.vec_id = p.vec_id WHERE f.da IS NOT NULL""")
+FROM pts p JOIN raw f ON f.vec_id = p.vec_id WHERE f.da IS NOT NULL""")
 def q_apply_transform(spark, d):
-    pts = I.points(spark, d)
-    return TR.apply_transform(pts, TR.similarity_fit(TR.point_pairs(pts)))
+    return TR.apply_transform(I.points(spark, d), TR.fit_motion(TR.point_pairs(table(spark, d, "embeddings"))))
+
+
+CONSENSUS_SQL = "WITH " + S.POINTS + f""",
+mv AS (SELECT vec_id, cos((vec_id % 7) / 20.0) AS c, sin((vec_id % 7) / 20.0) AS s, (vec_id % 11) / 50.0 AS tx, (vec_id % 5) / 40.0 AS ty
+       FROM embeddings),
+m AS (SELECT a.vec_id, a.pt, a.x AS x0, a.y AS y0,
+             CASE WHEN a.pt % 3 = 0 THEN b.x ELSE c * a.x - s * a.y + tx END AS x1,
+             CASE WHEN a.pt % 3 = 0 THEN b.y ELSE s * a.x + c * a.y + ty END AS y1
+      FROM pts a JOIN pts b ON b.vec_id = a.vec_id + 1 AND b.pt = a.pt JOIN mv ON mv.vec_id = a.vec_id),
+sz AS (SELECT vec_id, count(*) AS n FROM m GROUP BY 1),
+sm AS (SELECT vec_id, n, k, {S.lcg_sql(f'(vec_id * {MO.SAMPLES} + k)', 1)} % n AS i,
+              {S.lcg_sql(f'(vec_id * {MO.SAMPLES} + k)', 2)} % (n - 1) AS r FROM sz, range(0, {MO.SAMPLES}) q(k) WHERE n > 1),
+pq AS (SELECT sm.vec_id, k, p.x0 AS px, p.y0 AS py, p.x1 AS pu, p.y1 AS pv, q.x0 - p.x0 AS x, q.y0 - p.y0 AS y, q.x1 - p.x1 AS u, q.y1 - p.y1 AS v
+       FROM sm JOIN m p ON p.vec_id = sm.vec_id AND p.pt = i JOIN m q ON q.vec_id = sm.vec_id AND q.pt = (i + 1 + r) % n),
+ab AS (SELECT *, (x * u + y * v) / (x * x + y * y) AS a, (x * v - y * u) / (x * x + y * y) AS b FROM pq WHERE x * x + y * y > 1e-12),
+fs AS (SELECT vec_id, k, a, b, pu - a * px + b * py AS dx, pv - b * px - a * py AS dy FROM ab),
+sc AS (SELECT f.vec_id, k, any_value(a) AS a, any_value(b) AS b, any_value(dx) AS dx, any_value(dy) AS dy,
+              count(*) FILTER (WHERE (a * x0 - b * y0 + dx - x1) ** 2 + (b * x0 + a * y0 + dy - y1) ** 2 <= {MO.TOLERANCE ** 2}) AS hits
+       FROM fs f JOIN m ON m.vec_id = f.vec_id GROUP BY f.vec_id, k),
+be AS (SELECT vec_id, arg_max(struct_pack(a := a, b := b, dx := dx, dy := dy, hits := hits), (hits, -k)) AS f FROM sc GROUP BY vec_id),
+inl AS (SELECT m.* FROM m JOIN be ON be.vec_id = m.vec_id
+        WHERE (f.a * x0 - f.b * y0 + f.dx - x1) ** 2 + (f.b * x0 + f.a * y0 + f.dy - y1) ** 2 <= {MO.TOLERANCE ** 2}),
+g AS (SELECT vec_id, count(*) AS n, avg(x0) AS mx, avg(y0) AS my, avg(x1) AS mu, avg(y1) AS mw, sum(x0 * x0 + y0 * y0) AS qq,
+             sum(x0 * x1 + y0 * y1) AS dt, sum(x0 * y1 - y0 * x1) AS cr FROM inl GROUP BY vec_id),
+h AS (SELECT *, (dt - n * (mx * mu + my * mw)) / (qq - n * (mx * mx + my * my)) AS a,
+             (cr - n * (mx * mw - my * mu)) / (qq - n * (mx * mx + my * my)) AS b FROM g)
+SELECT vec_id, sz.n AS n_points, h.n AS n_inliers, {S.r6('mu - a * mx + b * my')} AS dx, {S.r6('mw - b * mx - a * my')} AS dy,
+       {S.r6('atan2(b, a)')} AS da FROM sz JOIN h USING (vec_id)"""
+
+
+@query("consensus_fit", CONSENSUS_SQL)
+def q_consensus_fit(spark, d):
+    """Motions planted in the pairs of vectors, a third of the matches being outliers, found again."""
+    return MO.rounded(MO.consensus_fit(MO.planted(MO.matches(MO.vector_pairs(table(spark, d, "embeddings"))))))
+
+
+@query("rising_runs", TF + """,
+sg AS (SELECT video, CAST(floor(greatest(frame - 1, 0) / 200) AS BIGINT) AS segment, frame, dx,
+              lag(dx) OVER (PARTITION BY video, floor(greatest(frame - 1, 0) / 200) ORDER BY frame) AS before FROM tf),
+rn AS (SELECT *, sum(CASE WHEN dx > before THEN 0 ELSE 1 END) OVER (PARTITION BY video, segment ORDER BY frame) AS run FROM sg)
+SELECT video, segment, min(frame) AS first_frame, count(*) AS n_frames, min(dx) AS low, max(dx) AS high
+FROM rn GROUP BY video, segment, run""")
+def q_rising_runs(spark, d):
+    """A table function over the frames of each segment, one row per run of rising values."""
+    from quarry.functions.tables import rising_runs
+    return rising_runs(_tf(spark, d))
+
+
+@query("nearest_centroid", """
+WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL),
+d AS (SELECT e.vec_id, e.label, c.label AS other, sum((e.x - c.x) ** 2) AS dist FROM e JOIN c USING (i) GROUP BY ALL)
+SELECT vec_id, label, arg_min(other, (dist, other)) AS nearest, """ + S.r6("min(dist)") + """ AS distance FROM d GROUP BY vec_id, label""")
+def q_nearest_centroid(spark, d):
+    """Vectors scored with the labels' centroids by a scorer that is made once a task."""
+    from quarry.operators.scoring import centroids, nearest_centroid
+    em = table(spark, d, "embeddings")
+    return nearest_centroid(em, centroids(em)).withColumn("distance", stable_round("distance", 6))
+
+
+@query("tolerant_scores", r"""
+SELECT event_id, CASE WHEN k % 3 <> 0 THEN 100 // (k % 3) END AS score
+FROM (SELECT event_id, CAST(regexp_extract(props, '"k":\s*(-?\d+)', 1) AS BIGINT) AS k FROM events)""")
+def q_tolerant_scores(spark, d):
+    """A Python model that fails on a third of the rows: these are null, the others scored."""
+    from quarry.functions.udfs import tolerant_udf
+    score = tolerant_udf(lambda s: s.map(lambda k: 100 // (int(k) % 3)), "long")
+    k = F.regexp_extract("props", r'"k":\s*(-?\d+)', 1)
+    return table(spark, d, "events").select("event_id", score(k).alias("score"))
+
+
+@query("own_moments", f"""
+WITH m AS (SELECT l_returnflag, avg(l_extendedprice) AS mu FROM lineitem GROUP BY 1)
+SELECT l_returnflag, count(*) AS n, {S.r6('any_value(mu)', 4)} AS mean, {S.r6('avg((l_extendedprice - mu) ** 2)', 2)} AS variance,
+       {S.r6('avg((l_extendedprice - mu) ** 3) / avg((l_extendedprice - mu) ** 2) ** 1.5')} AS skewness
+FROM lineitem JOIN m USING (l_returnflag) GROUP BY l_returnflag""")
+def q_own_moments(spark, d):
+    """Moments by an aggregate of one's own: partial states per task, merged in a tree."""
+    from quarry.functions.aggregates import Moments, aggregate
+    return aggregate(_li(spark, d), ["l_returnflag"], "l_extendedprice", Moments()).select(
+        "l_returnflag", "n", stable_round("mean", 4).alias("mean"), stable_round("variance", 2).alias("variance"),
+        stable_round("skewness", 6).alias("skewness"))
+
+
+@query("own_histogram", """
+WITH b AS (SELECT user_id, CAST(least(greatest(floor(value / 10), 0), 9) AS BIGINT) AS bin FROM events),
+c AS (SELECT u.user_id, r.bin, count(b.bin) AS n FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN range(0, 10) r(bin)
+      LEFT JOIN b ON b.user_id = u.user_id AND b.bin = r.bin GROUP BY ALL)
+SELECT user_id, sum(n)::BIGINT AS n, string_agg(n::VARCHAR, ',' ORDER BY bin) AS bins, arg_max(bin, (n, -bin)) AS fullest
+FROM c GROUP BY user_id""")
+def q_own_histogram(spark, d):
+    """Histograms of every user's values by an aggregate of one's own."""
+    from quarry.functions.aggregates import Histogram, aggregate
+    return aggregate(table(spark, d, "events"), ["user_id"], "value", Histogram(0.0, 100.0, 10)).withColumn(
+        "bins", F.array_join(F.transform("bins", lambda b: b.cast("string")), ","))
 
 
 @query("cap_per_group", TF + f"""

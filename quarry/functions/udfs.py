@@ -3,7 +3,7 @@
 * ``map_with_init``: a one-off initialisation per task (load a model, open a decoder),
   then Arrow-batched scoring of every batch of that task (``mapInPandas``).
 * ``tolerant_udf``: a vectorised UDF whose failures become nulls instead of failing the
-  job; a failing batch is retried element by element so only the bad rows are null.
+  job; a failing batch is halved until the bad rows stand alone, and only they are null.
 """
 
 from __future__ import annotations
@@ -25,16 +25,16 @@ def map_with_init(df: DataFrame, init: Callable[[], object],
 
 
 def tolerant_udf(fn: Callable[[pd.Series], pd.Series], return_type):
-    @F.pandas_udf(return_type)
-    def run(s: pd.Series) -> pd.Series:
+    def attempt(s: pd.Series) -> list:
         try:
-            return fn(s)
+            return list(fn(s))
         except Exception:  # noqa: BLE001 - a failing row must not fail the batch
-            out = []
-            for x in s:
-                try:
-                    out.append(fn(pd.Series([x])).iloc[0])
-                except Exception:  # noqa: BLE001
-                    out.append(None)
-            return pd.Series(out)
+            if len(s) == 1:
+                return [None]
+            half = len(s) // 2
+            return attempt(s.iloc[:half]) + attempt(s.iloc[half:])
+
+    @F.pandas_udf(return_type)
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(attempt(s) if len(s) else [], dtype=object)
     return run

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.motion import matches, vector_pairs
 from quarry.functions.scalars import epoch_micros, stable_round
 from quarry.plans.nullsafe import join_keys
 from quarry.plans.sequence import DEFAULT_CHUNK_ROWS, neighbours, running_totals, window_sums
@@ -104,22 +105,22 @@ def completeness(expected: DataFrame, delivered: DataFrame) -> DataFrame:
     return j.withColumn("complete", F.col("delivered") == F.col("expected"))
 
 
-def point_pairs(points: DataFrame, bound: float = 0.4) -> DataFrame:
-    """Match point i of vector v with point i of vector v+1; status = 1 when the moved
-    point stays inside the frame (|x|, |y| <= bound)."""
-    a = points.alias("a")
-    b = points.alias("b")
-    j = a.join(b, (F.col("b.vec_id") == F.col("a.vec_id") + 1) & (F.col("b.pt") == F.col("a.pt")))
-    inside = (F.abs(F.col("b.x")) <= bound) & (F.abs(F.col("b.y")) <= bound)
-    return j.select(F.col("a.vec_id").alias("vec_id"), F.col("a.pt").alias("pt"),
-                    F.col("a.x").alias("x0"), F.col("a.y").alias("y0"),
-                    F.col("b.x").alias("x1"), F.col("b.y").alias("y1"),
-                    F.when(inside, 1).otherwise(0).alias("status"))
+def point_pairs(vectors: DataFrame, bound: float = 0.4) -> DataFrame:
+    """Match point i of vector v with point i of vector v+1 (vec_id, embedding); status = 1 when the
+    moved point stays inside the frame (|x|, |y| <= bound). Vectors are joined, then their points
+    become rows."""
+    inside = (F.abs(F.col("x1")) <= bound) & (F.abs(F.col("y1")) <= bound)
+    return matches(vector_pairs(vectors)).select("vec_id", F.inline("m")).withColumn("status", F.when(inside, 1).otherwise(0))
 
 
 def similarity_fit(pairs: DataFrame) -> DataFrame:
+    """The fit of :func:`fit_motion`, rounded for a report."""
+    return fit_motion(pairs).select("vec_id", "n_points", *[stable_round(c, 6).alias(c) for c in ("dx", "dy", "da")])
+
+
+def fit_motion(pairs: DataFrame) -> DataFrame:
     """Least-squares rotation+scale+shift from matched points (valid ones only), as
-    (dx, dy, da). One aggregate pass of sums; S = 0 gives nulls."""
+    (dx, dy, da), not rounded. One aggregate pass of sums; S = 0 gives nulls."""
     p = pairs.filter(F.col("status") == 1)
     g = p.groupBy("vec_id").agg(
         F.count(F.lit(1)).alias("n_points"),
@@ -135,8 +136,7 @@ def similarity_fit(pairs: DataFrame) -> DataFrame:
     g = g.withColumn("_s", s).withColumn("_a", F.when(s != 0, a)).withColumn("_b", F.when(s != 0, b))
     dx = F.col("mx1") - F.col("_a") * F.col("mx0") + F.col("_b") * F.col("my0")
     dy = F.col("my1") - F.col("_b") * F.col("mx0") - F.col("_a") * F.col("my0")
-    return g.select("vec_id", "n_points", stable_round(dx, 6).alias("dx"), stable_round(dy, 6).alias("dy"),
-                    stable_round(F.atan2("_b", "_a"), 6).alias("da"))
+    return g.select("vec_id", "n_points", dx.alias("dx"), dy.alias("dy"), F.atan2("_b", "_a").alias("da"))
 
 
 def apply_transform(points: DataFrame, fit: DataFrame, cx: float = 0.0, cy: float = 0.0,
