@@ -42,6 +42,8 @@ from quarry.llm.common import ready
 K, DIMS, CONFIDENCE, SEED = 20, 12, 0.95, 42
 #: Points a cell aims at; points that its splits are fitted on; points of a kd-tree leaf.
 CELL, SAMPLE, LEAF = 8192, 16384, 64
+#: Leaves that a query looks at first; every further look takes twice as many.
+FIRST_LEAVES = 8
 _ASK = "cell int, part int, kind int, key bigint, v array<double>, ids array<bigint>, bound double"
 _FOUND = "key bigint, cell int, part int, found array<struct<id:bigint,score:double>>"
 _FOUND_TYPE = pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float64())]))
@@ -67,10 +69,7 @@ def chi_square_quantile(p: float, dims: int) -> float:
 
 def ordered_sum(a: np.ndarray) -> np.ndarray:
     """Row sums from the first column to the last, as a loop over a row would add them."""
-    out = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        out += a[:, j]
-    return out
+    return np.add.accumulate(a, axis=1)[:, -1]
 
 
 @dataclass(frozen=True)
@@ -127,6 +126,7 @@ class Tree:
         self.lo = np.minimum.reduceat(self.p, self.start)
         self.hi = np.maximum.reduceat(self.p, self.start)
         self.stop = chi_square_quantile(confidence, p.shape[1])
+        self.single = all(len(i) == 1 for i in ids)
 
     @staticmethod
     def _leaves(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +154,7 @@ class Tree:
         far = far[order]
         rows, near = np.empty(0, np.int64), np.empty(0)  # verified: places and squared distances
         wait, wait_at = np.empty(0, np.int64), np.empty(0)  # seen, but not next yet
-        i, step, kth = 0, 1, bound
+        i, step, kth = 0, FIRST_LEAVES, bound
         while True:
             if i < len(order):
                 j = min(len(order), i + step)
@@ -181,6 +181,8 @@ class Tree:
 
     def _kth(self, rows: np.ndarray, near: np.ndarray, k: int) -> float:
         """The squared distance of the k-th id among the verified points."""
+        if self.single:
+            return float(np.partition(near, k - 1)[k - 1]) if len(near) >= k else math.inf
         if len(near) > k:  # a point has an id at least
             near_k = np.argpartition(near, k - 1)[:k]
             rows, near = rows[near_k], near[near_k]
@@ -202,11 +204,16 @@ def _valid(v: Column) -> Column:
     return v.isNotNull() & whole & _square(v).between(F.lit(5e-324), F.lit(1.7e308))
 
 
+def matrix(col: pa.Array) -> np.ndarray:
+    """A column of equally long vectors as rows."""
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+
+
 def _project(space: Space):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                v = np.array(b.column("v").to_pylist(), float)
+                v = matrix(b.column("v"))
                 yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(space.project(v).tolist(), pa.list_(pa.float64()))], ["h", "p"])
     return run
 
@@ -216,7 +223,7 @@ def _deal(space: Space):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                v = np.array(b.column("v").to_pylist(), float)
+                v = matrix(b.column("v"))
                 n = len(v)
                 part = pa.array(np.array(b.column("h").to_pylist(), np.int64) % space.parts, pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -235,7 +242,7 @@ def _send(space: Space, confidence: float, home: bool):
         for b in batches:
             if not len(b):
                 continue
-            v = np.array(b.column("v").to_pylist(), float)
+            v = matrix(b.column("v"))
             p = space.project_queries(v)
             own, keys, bounds = space.cells(p), b.column("key").to_pylist(), b.column("bound").to_pylist()
             for r in range(len(v)):
@@ -249,7 +256,7 @@ def _send(space: Space, confidence: float, home: bool):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([c for c, _ in part_of], pa.int32()), pa.array([x for _, x in part_of], pa.int32()),
                          pa.array([1] * n, pa.int32()), pa.array([keys[r]] * n, pa.int64()),
-                         pa.array([v[r].tolist()] * n, pa.list_(pa.float64())), pa.nulls(n, pa.list_(pa.int64())),
+                         b.column("v").take(pa.array([r] * n)), pa.nulls(n, pa.list_(pa.int64())),
                          pa.array([bounds[r]] * n, pa.float64())], ["cell", "part", "kind", "key", "v", "ids", "bound"])
     return run
 
@@ -262,19 +269,21 @@ def _visit(space: Space, confidence: float, k: int):
         for b in batches:
             where = list(zip(b.column("cell").to_pylist(), b.column("part").to_pylist()))
             kinds, keys, bounds = (b.column(c).to_pylist() for c in ("kind", "key", "bound"))
-            vectors, own = b.column("v").to_pylist(), b.column("ids").to_pylist()
+            if not len(b):
+                continue
+            vectors, own = matrix(b.column("v")), b.column("ids").to_pylist()
             out: tuple[list, list, list, list] = ([], [], [], [])
             for r in range(len(b)):
                 if where[r] != at:
                     at, tree, v, ids = where[r], None, [], []
                 if kinds[r] == 0:
-                    v.append(np.array(vectors[r], float))
+                    v.append(vectors[r])
                     ids.append(own[r])
                     continue
                 if tree is None and v:
                     tree, v = Tree(space, np.stack(v), ids, confidence), []
                 if tree is not None:
-                    found = tree.search(np.array(vectors[r], float), bounds[r], k)
+                    found = tree.search(vectors[r], bounds[r], k)
                 else:  # a cell part without points
                     found = ([], [])
                 for o, x in zip(out, (keys[r], *at, [{"id": i, "score": s} for i, s in zip(*found)])):
