@@ -436,6 +436,43 @@ PATTERNS = (
     ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24))
 
 
+def test_a_phrase_of_half_the_documents_is_split(spark, monkeypatch):
+    """A hot 5-word phrase in contexts of its own: the rows that meet stay few, and the result is whole."""
+    import pyarrow as pa
+    rnd = random.Random(12)
+    low = lambda t: int(common.window_hashes(common.word_hashes(np.frombuffer(t.encode(), np.uint8))[2], phrases.GRAM)[0])
+    phrase = min((f"all rights of these p{k}" for k in range(300)), key=low)  # one that anchors its windows
+    texts = []
+    for i in range(1200):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(40)]
+        if i % 2:
+            w[20:25] = phrase.split()
+        texts.append(" ".join(w))
+    texts += [texts[1], texts[3] + " more words", None, texts[5]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[7]), (None, texts[9])]
+    common.ready(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _against_sql(phrases.op9(df), df, phrases.SQL)
+    # one block of all documents: its anchors, the shard's answer, its passages
+    batch = pa.RecordBatch.from_pydict({"block": [0] * 1204, "doc_id": list(range(1204)), "text": texts})
+    sent = list(phrases._send_anchors(1)(iter([batch])))
+    anchors = pa.Table.from_batches(list(phrases._recurring(iter(sent))))
+    out = phrases._send_passages(1)(pa.Table.from_batches([batch]), anchors)
+    lots = {}
+    for lot in out.column("lot").to_pylist():
+        lots[lot] = lots.get(lot, 0) + 1
+    contexts = sum(out.column("hot").to_pylist())
+    assert contexts > 500 and max(lots.values()) < phrases.HOT_DOCS
+    # and the automata take whole lots of bounded number
+    sizes = []
+    old = phrases._locate
+    monkeypatch.setattr(phrases, "AUTOMATON", 100)
+    monkeypatch.setattr(phrases, "_locate", lambda rows: (sizes.append(len(rows)), old(rows))[1])
+    ordered = out.sort_by("lot")
+    got = [x for b in phrases._first_documents(iter(ordered.to_batches(max_chunksize=64))) for x in b.column("key").to_pylist()]
+    assert max(sizes) < 20 + phrases.HOT_DOCS and len(sizes) > 20 and got
+
+
 def _base(text):
     found = sorted((m.start(), k, m.end(), n) for k, (n, p, ok) in enumerate(PATTERNS) for m in p.finditer(text) if ok(m))
     return ",".join(f"{n}:{a}:{b}" for a, _, b, n in found)
