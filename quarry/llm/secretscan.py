@@ -4,20 +4,21 @@ Base spans come from three patterns. The method adds spans of kind ``random``: m
 of token characters, 20 or more, and their parts between ``/ + - _`` of the same length, that
 do not overlap a base span (a part only where its run is not taken as a whole). For each the
 encoding is inferred, the smallest alphabet of ``ALPHABETS`` that holds every character, and
-three tests are run:
-
-* uniformity: chi-squared of the characters over 8 parts of the alphabet, and the number of
-  letters that are rare in words;
-* serial correlation: of neighbouring characters' places in the alphabet, and the number of
-  changes between vowels and consonants;
-* runs: the number of changes between character classes (lower, upper, digit or mark).
-
-Uniformity (chi-squared) and serial correlation (of places) must not reject randomness. The
-three counts are tested against binomial counts of word-like text, whose rates are fixed values
-below, with more rare letters, fewer vowel changes and more class changes as evidence. Their
-p-values, which fall with length by themselves, are combined by Fisher's method, those left out
-that an encoding cannot show (hexadecimal: letters; one class: class changes), and go through
-Benjamini-Hochberg control over the document's candidates.
+three tests are run against random characters of that encoding, each two-sided:
+
+* uniformity: chi-squared of the counts of all characters of the alphabet;
+* serial correlation: of neighbouring characters' places in the alphabet;
+* runs: the number of changes between the alphabet's classes (lower, upper, digit or mark), or
+  between its halves where it has one class.
+
+A candidate that any of them rejects at ``ALPHA`` is not random. Their power grows with length:
+long words and phrases repeat letters too often, keyboard rows and counters too seldom. What
+passes, which short words can, has to be unlike words as well, whose rates are fixed values below:
+fewer repeats of letters (the chi-squared of the letters against a normal approximation of the
+one that words have), more class changes, fewer vowel changes, and more letters that are rare in
+each of two groups of languages (binomial counts). These p-values, which fall with length by themselves, are combined by Fisher's
+method, those left out that an encoding cannot show (hexadecimal: letters; one class: class
+changes), and go through Benjamini-Hochberg control over the document's candidates.
 
 Defined results: null and empty texts have no span; repeated rows are all returned; an empty
 table gives an empty result. Whole texts are scanned, whatever their length. Only ``doc_id``
@@ -46,17 +47,16 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
 
 MIN_RANDOM = 20
-#: Level of the two tests of randomness, false-discovery rate; in word-like text
+#: Level of the three tests of randomness, false-discovery rate; in word-like text
 #: class changes per pair (several cases, one case and digits), vowel changes per pair of
-#: letters, rare letters per letter.
+#: letters, rare letters per letter, chi-squared of the letters beyond its degrees of freedom per letter.
 ALPHA, FDR = 0.001, 0.001
-WORDLIKE_CHANGES, ONE_CASE_CHANGES, VOWEL_CHANGES, RARE_LETTERS = 0.15, 0.1, 0.55, 0.08
+WORDLIKE_CHANGES, ONE_CASE_CHANGES, VOWEL_CHANGES, RARE_LETTERS, WORD_CHI = 0.15, 0.1, 0.55, 0.08, 0.6
 _LOW, _UP, _DIGITS = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 ALPHABETS = (b"0123456789abcdef", b"0123456789ABCDEF", _LOW, _UP, _UP + b"234567", _LOW + b"234567",
              _LOW + _DIGITS, _UP + _DIGITS, _UP + _LOW, _UP + _LOW + _DIGITS,
              _UP + _LOW + _DIGITS + b"+/", _UP + _LOW + _DIGITS + b"-_")
 _HEXES = 2
-PARTS = 8
 _SEPARATORS = (re.compile(rb"[^/]+"), re.compile(rb"[^/+]+"), re.compile(rb"[^/+_-]+"))
 
 _TOKEN = np.zeros(256, bool)
@@ -64,7 +64,11 @@ _TOKEN[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[list(b"abcdefghijklmnopqrstuvwxyz")] = 0
 _CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
-_VOWEL, _RARE, _LETTER = (np.isin(np.arange(256), list(x + x.upper())) for x in (b"aeiouy", b"jkqvwxyz", _LOW))
+_VOWEL, _LETTER = (np.isin(np.arange(256), list(x + x.upper())) for x in (b"aeiouy", _LOW))
+#: Letters that are rare in words of English, German and Romance languages, and of Slavic ones;
+#: together less than RARE_LETTERS.
+RARE = (b"jkqvwxyz", b"bfghjqvx")
+_RARE = np.array([np.isin(np.arange(256), list(x + x.upper())) for x in RARE])
 _PLACES = []
 for _a in ALPHABETS:
     _t = np.full(256, -1, np.int16)
@@ -92,8 +96,24 @@ def _binomial_tail(k: int, n: int, p: float) -> float:
                         for i in range(k, min(n, max(k, int(n * p)) + wide) + 1)))
 
 
-def battery(token: bytes) -> tuple[float, float, float] | None:
-    """p-values of (uniformity, serial correlation, word-like text); None without an encoding."""
+def _runs(at: np.ndarray, places: np.ndarray, size: int) -> float:
+    """Two-sided p-value of the number of class changes in random characters of the alphabet."""
+    alphabet = np.flatnonzero(places >= 0)
+    group = np.zeros(size, np.int64)
+    group[places[alphabet]] = _CLASS[alphabet]
+    if len(set(group.tolist())) == 1:
+        group = np.arange(size) * 2 // size
+    share = np.bincount(group) / size
+    change = 1 - float((share ** 2).sum())
+    both = float((share * (1 - share) ** 2).sum())  # two changes in a row
+    n = len(at)
+    var = (n - 1) * change * (1 - change) + 2 * (n - 2) * (both - change ** 2)
+    seen = int((group[at][1:] != group[at][:-1]).sum())
+    return math.erfc(abs(seen - (n - 1) * change) / math.sqrt(2 * var))
+
+
+def battery(token: bytes) -> tuple[float, float, float, float] | None:
+    """p-values of (uniformity, serial correlation, runs, word-like text); None without an encoding."""
     b = np.frombuffer(token, np.uint8)
     for code, places in enumerate(_PLACES):
         at = places[b]
@@ -102,16 +122,16 @@ def battery(token: bytes) -> tuple[float, float, float] | None:
     else:
         return None
     size, n = int(places.max()) + 1, len(b)
-    seen = np.bincount(at.astype(np.int64) * PARTS // size, minlength=PARTS)
-    due = np.bincount(np.arange(size) * PARTS // size, minlength=PARTS) * (n / size)
-    uniform = _chi2_tail(float(((seen - due) ** 2 / due).sum()), PARTS - 1)
+    seen = np.bincount(at, minlength=size).astype(float)
+    above = min(1.0, _chi2_tail(float((seen ** 2).sum()) * size / n - n, size - 1))
+    uniform = min(1.0, 2 * min(above, 1 - above))
     x = at - at.mean()
     var = float((x * x).sum())
     if var == 0:
-        return 0.0, 0.0, 1.0
+        return 0.0, 0.0, 0.0, 1.0
     r = float((x[:-1] * x[1:]).sum()) / var
     serial = math.erfc(abs(r + 1 / n) * math.sqrt(n) / math.sqrt(2))
-    return uniform, serial, _unlike_words(b, code)
+    return uniform, serial, _runs(at, places, size), _unlike_words(b, code)
 
 
 def _unlike_words(b: np.ndarray, code: int) -> float:
@@ -126,7 +146,14 @@ def _unlike_words(b: np.ndarray, code: int) -> float:
         vowel = _VOWEL[b]
         m, changes = int(pair.sum()), int((pair & (vowel[1:] != vowel[:-1])).sum())
         p.append(_binomial_tail(m - changes, m, 1 - VOWEL_CHANGES))
-        p.append(_binomial_tail(int((_RARE[b] & letter).sum()), int(letter.sum()), RARE_LETTERS))
+        letters = int(letter.sum())
+        if letters > 1:
+            seen = np.bincount(b[letter] | 32, minlength=256).astype(float)
+            x2 = float((seen ** 2).sum()) * 26 / letters - letters
+            mean, var = 25 + WORD_CHI * letters, 50 + 4 * WORD_CHI * letters
+            p.append(0.5 * math.erfc((mean - x2) / math.sqrt(2 * var)))
+        # unlike both groups: the fewer rare letters count
+        p.append(_binomial_tail(int(_RARE[:, b].sum(1).min()), letters, RARE_LETTERS))
     half = -sum(math.log(max(x, 1e-300)) for x in p)  # chi-squared with 2 len(p) degrees, halved
     return math.exp(-half) * sum(half ** k / math.factorial(k) for k in range(len(p))) if p else 1.0
 
@@ -136,7 +163,7 @@ def discoveries(tokens: list[bytes]) -> list[int]:
     p = []
     for i, t in enumerate(tokens):
         got = battery(t)
-        p.append((got[2] if got and got[0] >= ALPHA and got[1] >= ALPHA else 1.0, i))
+        p.append((got[3] if got and min(got[:3]) >= ALPHA else 1.0, i))
     p.sort()
     last = max((k for k, (x, _) in enumerate(p, 1) if x <= FDR * k / len(p)), default=0)
     return sorted(i for _, i in p[:last])

@@ -507,6 +507,88 @@ def test_randomness_battery_tells_words_from_keys():
     assert math.isclose(secretscan._chi2_tail(14.067, 7), 0.05, rel_tol=1e-3)
 
 
+def _battery(token):
+    """The statistics restated with plain loops; the sums of binomial terms as they stand."""
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [digits + "abcdef", digits + "ABCDEF", low, up, up + "234567", low + "234567", low + digits, up + digits, up + low,
+                 up + low + digits, up + low + digits + "+/", up + low + digits + "-_"]
+    code, a = next((i, a) for i, a in enumerate(alphabets) if set(token) <= set(a))
+    k, n = len(a), len(token)
+    x2 = sum((token.count(c) - n / k) ** 2 / (n / k) for c in a)
+    steps = 200_000  # the chi-squared tail by integrating its density
+    grid = np.linspace(0, x2, steps + 1)[1:] - x2 / steps / 2
+    log = (k - 3) / 2 * np.log(grid) - grid / 2 - (k - 1) / 2 * math.log(2) - math.lgamma((k - 1) / 2)
+    below = float(np.exp(log).sum() * x2 / steps)
+    uniform = min(1.0, 2 * min(below, 1 - below))
+    at = [a.index(c) for c in token]
+    mean = sum(at) / n
+    var = sum((x - mean) ** 2 for x in at)
+    r = sum((x - mean) * (y - mean) for x, y in zip(at, at[1:])) / var
+    serial = math.erfc(abs(r + 1 / n) * math.sqrt(n) / math.sqrt(2))
+    kind = lambda c: 0 if c in low else 1 if c in up else 2
+    groups = [kind(c) for c in a] if len({kind(c) for c in a}) > 1 else [i * 2 // k for i in range(k)]
+    share = [groups.count(g) / k for g in sorted(set(groups))]
+    q, both = sum(s * (1 - s) for s in share), sum(s * (1 - s) ** 2 for s in share)
+    changes = sum(groups[x] != groups[y] for x, y in zip(at, at[1:]))
+    spread = (n - 1) * q * (1 - q) + 2 * (n - 2) * (both - q * q)
+    runs = math.erfc(abs(changes - (n - 1) * q) / math.sqrt(2 * spread))
+    tail = lambda s, m, p: sum(math.comb(m, i) * p ** i * (1 - p) ** (m - i) for i in range(s, m + 1))
+    words, kinds = [], [kind(c) for c in token]
+    if len(set(kinds)) > 1:
+        words.append(tail(sum(x != y for x, y in zip(kinds, kinds[1:])), n - 1, 0.15 if {0, 1} <= set(kinds) else 0.1))
+    if code > 1:
+        t = token.lower()
+        pairs = [(x in "aeiouy") != (y in "aeiouy") for x, y in zip(t, t[1:]) if x in low and y in low]
+        words.append(tail(len(pairs) - sum(pairs), len(pairs), 0.45))
+        letters = [c for c in t if c in low]
+        if len(letters) > 1:
+            m = len(letters)
+            c2 = sum((letters.count(c) - m / 26) ** 2 / (m / 26) for c in low)
+            words.append(0.5 * math.erfc((25 + 0.6 * m - c2) / math.sqrt(2 * (50 + 2.4 * m))))
+        words.append(tail(min(sum(c in rare for c in t) for rare in ("jkqvwxyz", "bfghjqvx")), len(letters), 0.08))
+    half = -sum(math.log(x) for x in words)
+    fisher = sum(math.exp(-half) * half ** i / math.factorial(i) for i in range(len(words)))
+    return uniform, serial, runs, fisher
+
+
+def test_battery_statistics_against_plain_loops():
+    rnd = random.Random(31)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    tokens = ["wszystkieprzypadkiwystepujace", "klik-hier-voor-werkwijze", "2024-11-05-12-30-59-001"]
+    for letters in (digits + "ABCDEF", low, low.upper(), low + digits, low + low.upper(), low + low.upper() + digits + "+/"):
+        tokens += ["".join(rnd.choice(letters) for _ in range(n)) for n in (20, 33, 60)]
+    for t in tokens:
+        assert secretscan.battery(t.encode()) == pytest.approx(_battery(t), rel=1e-3, abs=1e-6), t
+
+
+def test_discoveries_are_benjamini_hochberg():
+    rnd = random.Random(13)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for _ in range(40):
+        tokens = ["".join(rnd.choice(low + digits) for _ in range(rnd.choice([20, 22, 25, 30]))) for _ in range(rnd.randint(1, 9))]
+        tokens += rnd.sample(["internationalizationframeworks", "arbeidsongeschiktheidsverzekering", "qwertyuiopasdfghjklzxcvbnm"], 2)
+        p = []
+        for t in tokens:
+            *random_, words = secretscan.battery(t.encode())
+            p.append(words if min(random_) >= 0.001 else 1.0)
+        m = len(p)
+        limit = max((x for x in p if x <= 0.001 * sum(y <= x for y in p) / m), default=-1.0)
+        assert secretscan.discoveries([t.encode() for t in tokens]) == [i for i, x in enumerate(p) if x <= limit]
+
+
+def test_plain_words_of_many_languages_are_no_keys():
+    plain = """wszystkieprzypadkiwystepujaceprzywykonywaniu najniebezpieczniejszych konstantynopolitanczykowianeczka
+        szczebrzeszyn-chrzaszcz-brzmi-w-trzcinie wyrewolwerowanych przedsiebiorstwowybudowane klik-hier-voor-werkwijze
+        arbeidsongeschiktheidsverzekering vervoersmaatschappijen-in-nederland/werkwijze-en-tarieven hottentottententententoonstelling
+        epajarjestelmallistyttamattomyydellansakaan lentokonesuihkuturbiinimoottori kolmivaihekilowattituntimittari
+        zdravstvuytedorogietovarishchi pereosvidetelstvovaniye dostoprimechatelnosti Rindfleischetikettierungsueberwachung
+        anticonstitutionnellement donaudampfschifffahrtsgesellschaft QWERTYUIOPASDFGHJKLZXCVBNM asdfghjklqwertyuiop
+        1234567890123456789012 abcdefghijklmnopqrstuvwxyz /usr/local/lib/python3/site-packages/numpy/core
+        thisIsAnExampleOfACamelCaseIdentifier AbstractSingletonProxyFactoryBeanImpl some_snake_case_variable_name_here
+        https/www-example-com/index-page-of-news/2024/11/05""".split()
+    assert [w for w in plain if secretscan.batch_spans([w.encode()])[0]] == []
+
+
 def test_keys_of_every_encoding_and_length_are_found():
     rnd = random.Random(6)
     low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
