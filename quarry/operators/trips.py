@@ -46,11 +46,9 @@ def gated_groups(trips: DataFrame) -> DataFrame:
 def split_train_test(trips: DataFrame) -> DataFrame:
     """Add ``is_test``: per gated group, the first ceil(n/4) trips in a reproducible shuffled
     order (LCG of trip_id, then trip_id) are the test set, the rest train."""
-    g = gated_groups(trips)
-    t = trips.join(g, GROUP, "inner").withColumn("_h", lcg("trip_id"))
-    t = number_rows(t, GROUP, ["_h", "trip_id"], rn="_pos")
-    return (t.withColumn("is_test", F.col("_pos") <= F.ceil(F.col("n_rows") / F.lit(TEST_FRACTION_DENOM)))
-             .drop("_h", "_pos"))
+    t = number_rows(trips.withColumn("_h", lcg("trip_id")), GROUP, ["_h", "trip_id"], rn="_pos", total="n_rows")
+    return (t.filter(F.col("n_rows") >= MIN_GROUP_ROWS)
+             .withColumn("is_test", F.col("_pos") <= F.ceil(F.col("n_rows") / F.lit(TEST_FRACTION_DENOM))).drop("_h", "_pos"))
 
 
 def _xy(split: DataFrame) -> DataFrame:

@@ -41,8 +41,9 @@ def _null_safe_on(left: DataFrame, right: DataFrame, names: list[str]) -> Column
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list, rn: str = "rn",
-                partitions: int | None = None) -> DataFrame:
-    """Add ``rn`` = 1-based row number inside ``keys`` ordered by ``order``.
+                partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """Add ``rn`` = 1-based row number inside ``keys`` ordered by ``order``, and ``total``, if named:
+    the rows of the key, from the same counts.
 
     ``order`` must be a total order inside a key (end it with a unique column); with
     ``keys=[]`` the number is global. Plan: one range exchange on (keys, order), a sort
@@ -65,13 +66,14 @@ def number_rows(df: DataFrame, keys: list[str], order: list, rn: str = "rn",
     before = Window.partitionBy(*keys).orderBy("_q_pid").rowsBetween(
         Window.unboundedPreceding, -1)
     stats = stats.withColumn("_q_off", F.coalesce(F.sum("_q_cnt").over(before), F.lit(0)))
-    stats = stats.select("_q_pid", *keys, "_q_first", "_q_off")
+    stats = stats.withColumn("_q_all", F.sum("_q_cnt").over(Window.partitionBy(*keys)) if total else F.lit(0))
+    stats = stats.select("_q_pid", *keys, "_q_first", "_q_off", "_q_all")
     r, s = ranged.alias("_q_r"), stats.alias("_q_s")
     joined = r.join(s, (r["_q_pid"] == s["_q_pid"]) & _null_safe_on(r, s, keys), "inner")
     out_cols = [r[c] for c in df.columns]
     return joined.select(
         *out_cols,
-        (r["_q_mid"] - s["_q_first"] + s["_q_off"] + 1).alias(rn))
+        (r["_q_mid"] - s["_q_first"] + s["_q_off"] + 1).alias(rn), *([s["_q_all"].alias(total)] if total else []))
 
 
 def with_chunk(df: DataFrame, rn: str = "rn", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:

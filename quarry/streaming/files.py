@@ -55,10 +55,10 @@ def stage(df: DataFrame, order: list[str], folder: str | None = None, file_rows:
     return folder
 
 
-def read_staged(spark: SparkSession, folder: str, schema, triggers: int = TRIGGERS) -> DataFrame:
-    """The folder as a stream: its present files in at least ``triggers`` triggers (if it has as many)
+def read_staged(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The folder as a stream: its present files in at least ``TRIGGERS`` triggers (if it has as many)
     of at most ``TRIGGER_FILES`` files."""
-    per = min(TRIGGER_FILES, max(1, math.ceil(len(data_files(spark, folder)) / triggers)))
+    per = min(TRIGGER_FILES, max(1, math.ceil(len(data_files(spark, folder)) / TRIGGERS)))
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per).parquet(folder)
 
 

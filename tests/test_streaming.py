@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import trajectory as TR
@@ -22,6 +23,16 @@ SF = "/root/testdata/sf0.001"
 DAY = 86_400_000
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark, monkeypatch):
+    """Two state stores and two triggers a run: what is tested does not depend on their number."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    monkeypatch.setattr(SF_, "TRIGGERS", 2)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def _paths(spark):
     return [scratch_path(spark, n) for n in ("t-src", "t-out", "t-ckpt")]
 
@@ -221,7 +232,6 @@ def test_videos_end_by_marker_or_timer_across_restarts(spark):
 
 
 def test_rows_behind_the_watermark_are_not_dropped_unnoticed(spark):
-    import pytest
     src, out, ck = _paths(spark)
     SF_.stage(_deliveries(spark, [(1, 0, False, 9)]), ["ts"], src)
     SC.process(spark, src, out, ck, DAY)
