@@ -44,6 +44,8 @@ K, DIMS, CONFIDENCE, SEED = 20, 12, 0.95, 42
 CELL, SAMPLE, LEAF = 8192, 16384, 64
 #: Leaves that a query looks at first; every further look takes twice as many.
 FIRST_LEAVES = 8
+#: Squared distances, in units of the squared norm, that single precision may be off.
+MARGIN = 1e-5
 _ASK = "cell int, part int, kind int, key bigint, v array<double>, ids array<bigint>, bound double"
 _FOUND = "key bigint, cell int, part int, found array<struct<id:bigint,score:double>>"
 _FOUND_TYPE = pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float64())]))
@@ -125,7 +127,11 @@ class Tree:
         self.end = ends
         self.lo = np.minimum.reduceat(self.p, self.start)
         self.hi = np.maximum.reduceat(self.p, self.start)
-        self.stop = chi_square_quantile(confidence, p.shape[1])
+        # the test in units of the norm, as are the distances below
+        self.stop = chi_square_quantile(confidence, p.shape[1]) * space.norm ** 2
+        self.square = (self.p * self.p).sum(1)
+        self.places = [np.arange(a, b) for a, b in zip(self.start.tolist(), self.end.tolist())]
+        self.unit = (self.v / space.norm).astype(np.float32)
         self.single = all(len(i) == 1 for i in ids)
 
     @staticmethod
@@ -147,30 +153,32 @@ class Tree:
     def search(self, q: np.ndarray, bound: float, k: int) -> tuple[list[int], list[float]]:
         """The ids and scores of the k nearest found, nearest first, ties to smaller ids. ``bound``:
         squared distance of the k-th neighbour the query has already."""
-        scale = self.space.norm / math.sqrt(float((q * q).sum()))
+        unit = (q / math.sqrt(float((q * q).sum()))).astype(np.float32)
         pq = self.space.project_queries(q[None, :])[0]
         far = box_distance(pq, self.lo, self.hi)
         order = np.argsort(far, kind="stable")
         far = far[order]
         rows, near = np.empty(0, np.int64), np.empty(0)  # verified: places and squared distances
         wait, wait_at = np.empty(0, np.int64), np.empty(0)  # seen, but not next yet
-        i, step, kth = 0, FIRST_LEAVES, bound
+        own = float(pq @ pq)
+        i, step, kth = 0, FIRST_LEAVES, bound / self.space.norm ** 2
         while True:
             if i < len(order):
                 j = min(len(order), i + step)
-                more = np.concatenate([np.arange(self.start[x], self.end[x]) for x in order[i:j]])
-                gap = self.p[more] - pq
-                wait, wait_at = np.concatenate([wait, more]), np.concatenate([wait_at, (gap * gap).sum(1)])
+                more = np.concatenate([self.places[x] for x in order[i:j].tolist()])
+                at = np.maximum(self.square[more] + own - 2 * (self.p[more] @ pq), 0)
+                wait, wait_at = np.concatenate([wait, more]), np.concatenate([wait_at, at])
                 i, step = j, 2 * step
             reached = far[i] if i < len(order) else np.inf  # all points nearer than this have been seen
             inside = wait_at <= min(reached, self.stop * kth)
             now = wait[inside]
             wait, wait_at = wait[~inside], wait_at[~inside]
             if len(now):
-                d = 2 * self.space.norm ** 2 - 2 * scale * (self.v[now] @ q)
-                rows, near = np.concatenate([rows, now]), np.concatenate([near, d])
+                d = 2 - 2 * (self.unit[now] @ unit)  # single precision, so a margin is kept
+                close = d <= kth + MARGIN
+                rows, near = np.concatenate([rows, now[close]]), np.concatenate([near, d[close]])
                 kth = min(kth, self._kth(rows, near, k))
-                keep = near <= kth + 1e-9 * self.space.norm ** 2
+                keep = near <= kth + MARGIN
                 rows, near = rows[keep], near[keep]
             if reached > self.stop * kth or i >= len(order):
                 # what waits is farther than the test allows, or than ``reached``
@@ -180,7 +188,7 @@ class Tree:
         return [x for _, x in found], [-s for s, _ in found]
 
     def _kth(self, rows: np.ndarray, near: np.ndarray, k: int) -> float:
-        """The squared distance of the k-th id among the verified points."""
+        """The squared distance of the k-th id among the verified points, in units of the norm."""
         if self.single:
             return float(np.partition(near, k - 1)[k - 1]) if len(near) >= k else math.inf
         if len(near) > k:  # a point has an id at least
