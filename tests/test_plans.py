@@ -27,8 +27,10 @@ def test_row_numbering_is_range_partitioned_not_a_single_window(spark):
 
 
 def test_sorted_rows_are_numbered_by_their_outputs(spark):
+    """No checkpoint; the only single-partition step is the running sum over one row per output."""
     p = plan(E.queries()["global_sort"](spark, SF))
-    assert "ExistingRDD" not in p and "Window" not in p and "row_index" in p
+    assert "ExistingRDD" not in p and "row_index" in p and p.count("Exchange SinglePartition") == 1
+    assert "functions=[count(1)]" in p[p.index("Exchange SinglePartition"):]
 
 
 def test_the_diamond_scans_once(spark):
