@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from quarry.session import scratch_path
-from quarry.streaming.files import drain, read_staged, stage
+from quarry.streaming.files import drain, keyed, read_staged, stage
 from quarry.streaming.timers import DELAY, PatientProcessor, latest_ms
 from quarry.streaming.votes import close
 
@@ -85,8 +85,7 @@ class Ending(PatientProcessor):
 
 
 def process(spark, src: str, out: str, ck: str, patience_ms: int) -> None:
-    res = read_staged(spark, src, IN_SCHEMA).withWatermark("ts", DELAY).groupBy("video") \
-        .transformWithStateInPandas(Ending(patience_ms), OUT, "append", "eventTime")
+    res = keyed(read_staged(spark, src, IN_SCHEMA).withWatermark("ts", DELAY), "video", Ending(patience_ms), OUT, "eventTime")
     drain(res, ck, out)
 
 

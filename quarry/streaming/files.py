@@ -10,6 +10,7 @@ unnoticed.
 from __future__ import annotations
 
 import math
+import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,20 @@ def heartbeat(spark: SparkSession, schema, ts: str, at) -> DataFrame:
     return one.select(*[(F.lit(at) if c == ts else F.lit(None)).cast(schema[c].dataType).alias(c) for c in names])
 
 
+def keyed(stream: DataFrame, key: str, processor, out: str, time_mode: str) -> DataFrame:
+    """``transformWithStateInPandas`` by one key. The processor travels by value: Spark also starts it
+    in a Python process of the driver, which does not have the files that executors are sent."""
+    from pyspark import cloudpickle
+    modules = [sys.modules[c.__module__] for c in type(processor).__mro__ if c.__module__.startswith("quarry.")]
+    for m in modules:
+        cloudpickle.register_pickle_by_value(m)
+    try:
+        return stream.groupBy(key).transformWithStateInPandas(processor, out, "append", time_mode)
+    finally:
+        for m in dict.fromkeys(modules):
+            cloudpickle.unregister_pickle_by_value(m)
+
+
 def drain(stream: DataFrame, checkpoint: str, out: str | None = None, each_batch=None) -> list:
     """Process all that the checkpoint has not seen, stop, and return the progress reports. What is
     processed goes to Parquet files in ``out`` (exactly once) or to ``each_batch(df, epoch)``."""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.session import scratch_path
-from quarry.streaming.files import drain, read_staged, stage
+from quarry.streaming.files import drain, keyed, read_staged, stage
 
 IN_SCHEMA = "video long, frame long, dx double, dy double, da double, is_end boolean"
 SMOOTH_OUT = "video long, frame long, smooth_dx double, smooth_dy double, smooth_da double"
@@ -155,8 +155,8 @@ def stream_input(tf: DataFrame) -> DataFrame:
 def process(spark, src: str, out: str, ck: str, radius: int, mode: str = "smooth") -> None:
     """Process everything in ``src`` not yet seen by checkpoint ``ck`` and stop; state and
     progress live in ``ck``, so a later call resumes where this one ended."""
-    res = read_staged(spark, src, IN_SCHEMA).groupBy("video").transformWithStateInPandas(
-        Smoother(radius, mode), SMOOTH_OUT if mode == "smooth" else RUNNING_OUT, "append", "none")
+    res = keyed(read_staged(spark, src, IN_SCHEMA), "video", Smoother(radius, mode),
+                SMOOTH_OUT if mode == "smooth" else RUNNING_OUT, "none")
     drain(res, ck, out)
 
 

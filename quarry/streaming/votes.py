@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessorHandle
 
 from quarry.operators.voting import INITIAL, MAX_RUN
 from quarry.session import scratch_path
-from quarry.streaming.files import drain, heartbeat, read_staged, stage
+from quarry.streaming.files import drain, heartbeat, keyed, read_staged, stage
 from quarry.streaming.timers import DELAY, PatientProcessor, latest_ms
 
 IN_SCHEMA = "item long, k long, label string, ts timestamp"
@@ -87,8 +87,7 @@ class Voting(PatientProcessor):
 
 def process(spark, src: str, out: str, ck: str, patience_ms: int) -> None:
     """Judge the votes in ``src`` that checkpoint ``ck`` has not seen; results go to ``out``."""
-    res = read_staged(spark, src, IN_SCHEMA).withWatermark("ts", DELAY).groupBy("item") \
-        .transformWithStateInPandas(Voting(patience_ms), OUT, "append", "eventTime")
+    res = keyed(read_staged(spark, src, IN_SCHEMA).withWatermark("ts", DELAY), "item", Voting(patience_ms), OUT, "eventTime")
     drain(res, ck, out)
 
 
