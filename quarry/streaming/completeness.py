@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from quarry.session import scratch_path
-from quarry.streaming.files import drain, keyed, read_staged, stage
+from quarry.streaming.files import drain, keyed, read_staged, sized_stores, stage
 from quarry.streaming.timers import DELAY, PatientProcessor, latest_ms
 from quarry.streaming.votes import close
 
@@ -96,9 +96,10 @@ def run_stream(deliveries: DataFrame, patience_ms: int = 30 * 86_400_000) -> Dat
     out, ck = (scratch_path(spark, n) for n in ("ending-out", "ending-ckpt"))
     deliveries = deliveries.select("video", "frame", "is_end", F.col("ts").cast("timestamp").alias("ts"))
     src = stage(deliveries, ["ts", "video", "frame"])
-    process(spark, src, out, ck, patience_ms)
-    close(spark, src, deliveries, patience_ms)
-    process(spark, src, out, ck, patience_ms)
+    with sized_stores(spark, src):
+        process(spark, src, out, ck, patience_ms)
+        close(spark, src, deliveries, patience_ms)
+        process(spark, src, out, ck, patience_ms)
     return spark.read.schema(OUT).parquet(out)
 
 

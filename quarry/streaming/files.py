@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from quarry.session import scratch_path
 
 #: Rows of a staged file; files of a trigger at most; triggers that a short stream is spread over.
 FILE_ROWS, TRIGGER_FILES, TRIGGERS = 1_000_000, 64, 4
+#: Staged bytes per state store.
+STORE_BYTES = 8 << 20
 
 #: State stores of the keyed operators: typed state variables need RocksDB; changelogs make a
 #: commit write what changed.
@@ -70,6 +73,21 @@ def heartbeat(spark: SparkSession, schema, ts: str, at) -> DataFrame:
     return one.select(*[(F.lit(at) if c == ts else F.lit(None)).cast(schema[c].dataType).alias(c) for c in names])
 
 
+@contextmanager
+def sized_stores(spark: SparkSession, folder: str):
+    """For an input that is all staged: a state store per ``STORE_BYTES`` of it, eight at least and
+    ``spark.sql.shuffle.partitions`` at most. A checkpoint keeps the number it began with, so streams
+    that go on growing take the session's setting."""
+    name = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(name)
+    size = sum(f.getLen() for f in data_files(spark, folder))
+    spark.conf.set(name, str(min(int(old), max(8, math.ceil(size / STORE_BYTES)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def keyed(stream: DataFrame, key: str, processor, out: str, time_mode: str) -> DataFrame:
     """``transformWithStateInPandas`` by one key. The processor travels by value: Spark also starts it
     in a Python process of the driver, which does not have the files that executors are sent."""

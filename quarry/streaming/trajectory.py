@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.session import scratch_path
-from quarry.streaming.files import drain, keyed, read_staged, stage
+from quarry.streaming.files import drain, keyed, read_staged, sized_stores, stage
 
 IN_SCHEMA = "video long, frame long, dx double, dy double, da double, is_end boolean"
 SMOOTH_OUT = "video long, frame long, smooth_dx double, smooth_dy double, smooth_da double"
@@ -165,5 +165,7 @@ def run_stream(tf: DataFrame, radius: int, mode: str = "smooth") -> DataFrame:
     the sink received."""
     spark = tf.sparkSession
     out, ck = (scratch_path(spark, n) for n in ("stream-out", "stream-ckpt"))
-    process(spark, stage(stream_input(tf), ["frame", "video"]), out, ck, radius, mode)
+    src = stage(stream_input(tf), ["frame", "video"])
+    with sized_stores(spark, src):
+        process(spark, src, out, ck, radius, mode)
     return spark.read.schema(SMOOTH_OUT if mode == "smooth" else RUNNING_OUT).parquet(out)

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessorHandle
 
 from quarry.operators.voting import INITIAL, MAX_RUN
 from quarry.session import scratch_path
-from quarry.streaming.files import drain, heartbeat, keyed, read_staged, stage
+from quarry.streaming.files import drain, heartbeat, keyed, read_staged, sized_stores, stage
 from quarry.streaming.timers import DELAY, PatientProcessor, latest_ms
 
 IN_SCHEMA = "item long, k long, label string, ts timestamp"
@@ -98,9 +98,10 @@ def run_stream(votes: DataFrame, patience_ms: int = 30 * 86_400_000) -> DataFram
     out, ck = (scratch_path(spark, n) for n in ("vote-out", "vote-ckpt"))
     votes = votes.select("item", "k", "label", F.col("ts").cast("timestamp").alias("ts"))
     src = stage(votes, ["ts", "item"])
-    process(spark, src, out, ck, patience_ms)
-    close(spark, src, votes, patience_ms)
-    process(spark, src, out, ck, patience_ms)
+    with sized_stores(spark, src):
+        process(spark, src, out, ck, patience_ms)
+        close(spark, src, votes, patience_ms)
+        process(spark, src, out, ck, patience_ms)
     return spark.read.schema(OUT).parquet(out)
 
 
