@@ -87,10 +87,12 @@ def aggregate(df: DataFrame, keys: list[str], value: str, agg: Aggregate) -> Dat
     names = [f.name for f in key_fields]
     rows = rows.toDF(*names, "_value")
 
-    def frame(states: dict) -> pd.DataFrame:
-        out = pd.DataFrame(list(states), columns=names, dtype=object) if states else pd.DataFrame(columns=names, dtype=object)
-        out["_state"] = [s.tolist() for s in states.values()]
-        return out
+    def frames(states: dict) -> Iterator[pd.DataFrame]:
+        """Nothing for no states: an empty column of lists has no type that Arrow could take."""
+        if states:
+            out = pd.DataFrame(list(states), columns=names, dtype=object)
+            out["_state"] = [s.tolist() for s in states.values()]
+            yield out
 
     def put(states: dict, key, new: np.ndarray) -> None:
         key = tuple(None if pd.isna(x) else x for x in (key if isinstance(key, tuple) else (key,)))
@@ -103,9 +105,9 @@ def aggregate(df: DataFrame, keys: list[str], value: str, agg: Aggregate) -> Dat
             for key, x in b.groupby(names, dropna=False, sort=False)["_value"]:
                 put(states, key, agg.partial(x.to_numpy()))
             if len(states) >= HELD_KEYS:
-                yield frame(states)
+                yield from frames(states)
                 states = {}
-        yield frame(states)
+        yield from frames(states)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by key: a key is complete when the next one begins."""
@@ -116,14 +118,14 @@ def aggregate(df: DataFrame, keys: list[str], value: str, agg: Aggregate) -> Dat
             if len(states) > 1:
                 last = list(states)[-1]
                 held = {last: states.pop(last)}
-                yield frame(states)
+                yield from frames(states)
                 states = held
-        yield frame(states)
+        yield from frames(states)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.strip().split(" ", 1)[0] for c in agg.result.split(", ")]
         for b in merge(batches):
-            done = pd.DataFrame([agg.finish(np.array(s)) for s in b["_state"]], columns=columns) if len(b) else pd.DataFrame(columns=columns)
+            done = pd.DataFrame([agg.finish(np.array(s)) for s in b["_state"]], columns=columns)
             yield pd.concat([b[names].reset_index(drop=True), done], axis=1)
 
     part = rows.mapInPandas(partial, state).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))

@@ -104,6 +104,19 @@ def test_own_aggregates_by_key(spark):
     assert aggregate(df.limit(0), ["k"], "v", Moments()).count() == 0
 
 
+def test_own_aggregates_over_tasks_without_a_row(spark):
+    """Tasks that no row of the input, or no key, is dealt to."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        df = spark.range(0, 2, 1, 8).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"))
+        assert sorted(tuple(r) for r in aggregate(df, ["k"], "v", Moments()).collect()) == [(0, 1, 0.0, 0.0, None), (1, 1, 1.0, 0.0, None)]
+        assert sorted(tuple(r) for r in aggregate(df, ["k"], "v", Histogram(0, 2, 2)).collect()) == [(0, 1, [1, 0], 0), (1, 1, [0, 1], 1)]
+    finally:
+        spark.conf.set(name, old)
+
+
 # -- table function ----------------------------------------------------------------------
 
 def test_rising_runs(spark):
