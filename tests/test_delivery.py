@@ -133,6 +133,31 @@ def test_broken_order_is_reported(spark):
     assert O.order_report(spark, path, ["k"], df.schema).first()["broken_inside"] == 99
 
 
+def test_large_outputs_are_several_files_in_order(spark, monkeypatch):
+    """What a task sorts is bounded by rows, not by the number of outputs."""
+    monkeypatch.setattr(O, "PART_ROWS", 100)
+    rnd = random.Random(5)
+    rows = [(None if i % 70 == 0 else rnd.randint(0, 40), i) for i in range(1900)]
+    df = spark.createDataFrame(rows, "k long, i long")
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    path = O.write_ordered(df, ["k", "i"], 3)
+    files = O.parts(spark, path).orderBy("part").collect()
+    assert len(files) == 21 and max(f.n_rows for f in files) <= 250
+    assert [(tuple(f.lo), tuple(f.hi)) for f in files] == [(want[f.rows_before], want[f.rows_before + f.n_rows - 1]) for f in files]
+    m = O.manifest(spark, path).orderBy("output").collect()
+    assert [len(r.files) for r in m] == [7, 7, 7] and [r.rows_before for r in m] == [sum(x.n_rows for x in m[:i]) for i in range(3)]
+    assert [(r.k, r.i) for r in O.read_ordered(spark, path, df.schema).orderBy("pos").collect()] == want
+    assert [(r.k, r.i) for r in O.one_output(spark, path, 1, df.schema).collect()] == want[m[1].rows_before: m[2].rows_before]
+    assert [(r.k, r.i) for r in O.numbered(df, ["k", "i"], 3).orderBy("pos").collect()] == want
+    assert tuple(O.order_report(spark, path, ["k", "i"], df.schema).first()) == (3, 1900, 0, 0)
+    # files of one output, and of two, that overlap
+    wrong = scratch_path(spark, "wrong")
+    O._write(df, ["k", "i"], 3, wrong)
+    O.parts(spark, path).withColumn("lo", F.when(F.col("part").isin(2, 5, 7), F.struct(F.lit(None).cast("long").alias("k"), F.lit(-1).cast("long").alias("i")))
+                                    .otherwise(F.col("lo"))).coalesce(1).write.parquet(f"{wrong}/manifest")
+    assert tuple(O.order_report(spark, wrong, ["k", "i"], df.schema).first())[2:] == (2, 1)
+
+
 def test_ordered_outputs_of_an_empty_table(spark):
     df = spark.createDataFrame([], "k long")
     path = O.write_ordered(df, ["k"], 3)
