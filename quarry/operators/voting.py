@@ -15,13 +15,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.plans.nullsafe import join_keys
-from quarry.functions.scalars import lcg
+from quarry.functions.scalars import lcg, stable_round
 
 INITIAL = 3
 MAX_RUN = 11
 
-#: Models that a step picks from.
-POOL = 7
+# The model pool and the seconds one inference takes on each.
+MODEL_POOL = (
+    ("Resnet18", 0.007),
+    ("Resnet50", 0.007),
+    ("Resnet101", 0.011),
+    ("BEiT", 0.018),
+    ("ConvNeXT", 0.006),
+    ("ViT384", 0.059),
+    ("MIT_B0", 0.016),
+)
 
 
 def counted(votes: DataFrame) -> DataFrame:
@@ -62,11 +70,24 @@ def vote_tally(votes: DataFrame, result: DataFrame) -> DataFrame:
 
 
 def model_pick(votes: DataFrame) -> DataFrame:
-    """Reproducible pseudo-random model number for step k of item: LCG(item * 1000 + k) mod 7."""
-    return votes.select("item", "k", "label", F.pmod(lcg(F.col("item") * 1000 + F.col("k")), F.lit(POOL)).alias("model"))
-
-
-def vote_summary(result: DataFrame) -> DataFrame:
-    """Totals: items, models run, items stopped at 3, and items with a winner."""
-    return result.agg(F.count(F.lit(1)).alias("n_items"), F.sum("models_run").alias("total_models_run"),
-                      F.count_if("stopped_early").alias("n_stopped_at_3"), F.count("winner").alias("n_decided"))
+    """Reproducible pseudo-random model for step k of item: LCG(item * 1000 + k) mod 7."""
+    idx = F.pmod(lcg(F.col("item") * 1000 + F.col("k")), F.lit(len(MODEL_POOL))) + 1
+    names = F.array(*[F.lit(n) for n, _ in MODEL_POOL])
+    secs = F.array(*[F.lit(s) for _, s in MODEL_POOL])
+    return votes.select("item", "k", "label", F.element_at(names, idx.cast("int")).alias("model"),
+                        F.element_at(secs, idx.cast("int")).alias("service_s"))
+
+
+def vote_summary(votes: DataFrame, result: DataFrame) -> DataFrame:
+    """Serving totals: items, models run, items stopped at 3, the per-item latency (sum of
+    service times of the votes run; only positive latencies count), and items with a winner."""
+    per = (model_pick(votes_run(votes, result).select("item", "k", "label"))
+           .groupBy("item").agg(F.sum("service_s").alias("latency_s")))
+    j = join_keys(result, per, ["item"], "left")
+    pos = F.when(F.col("latency_s") > 0, F.col("latency_s"))
+    return j.agg(F.count(F.lit(1)).alias("n_items"),
+                 F.sum("models_run").alias("total_models_run"),
+                 F.count_if("stopped_early").alias("n_stopped_at_3"),
+                 stable_round(F.sum(pos), 6).alias("total_latency_s"),
+                 stable_round(F.avg(pos), 6).alias("mean_latency_s"),
+                 stable_round(F.max(pos), 6).alias("max_latency_s"), F.count("winner").alias("n_decided"))

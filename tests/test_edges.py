@@ -207,3 +207,15 @@ def test_pivot_keeps_unlisted_schemes(spark):
                               "series string, scheme string, working_set long, runtime double")
     r = RS.result_pivot(t, "s", ["F", "O"]).collect()[0]
     assert (r.F, r.O, r.other) == (2.0, 0.0, 5.0)
+
+
+def test_vote_summary_sums_the_service_times_of_the_models_that_ran(spark):
+    votes = [(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (1, 4, "a"), (2, 1, "a"), (2, 2, "b"), (2, 3, "c"), (2, 4, "a"), (2, 5, "a"), (3, 1, "x")]
+    df = spark.createDataFrame(votes, "item long, k long, label string")
+    lcg = lambda x: (x * 1103515245 + 12345) % 2 ** 31
+    picked = {(r.item, r.k): (r.model, r.service_s) for r in V.model_pick(df).collect()}
+    assert picked == {(i, k): V.MODEL_POOL[lcg(i * 1000 + k) % 7] for i, k, _ in votes}
+    times = [sum(picked[i, k][1] for k in range(1, n + 1)) for i, n in ((1, 3), (2, 5), (3, 1))]
+    got = V.vote_summary(df, V.majority_vote(df)).first()
+    assert tuple(got)[:3] == (3, 9, 1) and got.n_decided == 2
+    assert (got.total_latency_s, got.mean_latency_s, got.max_latency_s) == pytest.approx((sum(times), sum(times) / 3, max(times)), abs=2e-6)
