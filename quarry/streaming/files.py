@@ -12,8 +12,11 @@ from __future__ import annotations
 import math
 import sys
 import time
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ FILE_ROWS, TRIGGER_FILES, TRIGGERS = 1_000_000, 64, 4
 #: Staged bytes per state store.
 STORE_BYTES = 8 << 20
 
+#: Buckets that keys are dealt into. A call costs far more than a key's own work, so one call takes all
+#: new rows of a bucket's keys. A checkpoint goes with this number.
+BUCKETS = 1024
+
 #: State stores of the keyed operators: typed state variables need RocksDB; changelogs make a
 #: commit write what changed.
 STATE_CONF = {
@@ -92,7 +99,7 @@ def keyed(stream: DataFrame, key: str, processor, out: str, time_mode: str) -> D
     """``transformWithStateInPandas`` by one key. The processor travels by value: Spark also starts it
     in a Python process of the driver, which does not have the files that executors are sent."""
     from pyspark import cloudpickle
-    modules = [sys.modules[c.__module__] for c in type(processor).__mro__ if c.__module__.startswith("quarry.")]
+    modules = [sys.modules[c.__module__] for c in type(processor).__mro__ if c.__module__.startswith("quarry.")] + [sys.modules[__name__]]
     for m in modules:
         cloudpickle.register_pickle_by_value(m)
     try:
@@ -102,6 +109,34 @@ def keyed(stream: DataFrame, key: str, processor, out: str, time_mode: str) -> D
             cloudpickle.unregister_pickle_by_value(m)
 
 
+def bucketed(stream: DataFrame, key: str, processor, out: str, time_mode: str) -> DataFrame:
+    """``keyed`` by the bucket of ``key``: the processor is called with many keys at once."""
+    return keyed(stream.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")), "bucket", processor, out, time_mode)
+
+
+def by_key(pdf: pd.DataFrame, key: str, order: str) -> Iterator[tuple]:
+    """(key, its rows in the order of ``order``) of a frame; a missing key is None, and comes first."""
+    keys, places = pdf[key], pdf[order].to_numpy(np.int64)
+    null = keys.isna().to_numpy()
+    ids = keys.where(~null, 0).to_numpy(np.int64)
+    at = np.lexsort((places, ids, ~null))
+    cuts = np.flatnonzero(np.diff(ids[at]) | np.diff(null[at])) + 1
+    for rows in np.split(at, cuts) if len(at) else ():
+        yield None if null[rows[0]] else int(ids[rows[0]]), rows
+
+
+def lots(rows: Iterator[pd.DataFrame], size: int = 200_000) -> Iterator[pd.DataFrame]:
+    """The frames of a call in lots of about ``size`` rows."""
+    held, n = [], 0
+    for pdf in rows:
+        held, n = [*held, pdf], n + len(pdf)
+        if n >= size:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def drain(stream: DataFrame, checkpoint: str, out: str | None = None, each_batch=None) -> list:
     """Process all that the checkpoint has not seen, stop, and return the progress reports. What is
     processed goes to Parquet files in ``out`` (exactly once) or to ``each_batch(df, epoch)``."""

@@ -1,9 +1,11 @@
 """Keyed, stateful trajectory smoothing on a stream.
 
-Per video three typed state variables: a value (next expected frame, emitted frames, frame count
-once known, running sums, first trajectory value), a list (trajectory and transform of the last
-frames that later windows need, at most 2r + 1) and a map (frames that arrived early). A call
-reads and writes O(new rows + r) of them. Repeated frames (replays after a restart) are ignored;
+Per video a value (next expected frame, emitted frames, frame count once known, running sums, first
+trajectory value), a list (trajectory and transform of the last frames that later windows need, at
+most 2r + 1) and a map (frames that arrived early). A stream deals its videos into buckets, and a call
+takes a bucket's new rows (``Smoothers``): what its running videos hold is one list, read and written
+once a call, and what grows (early frames, ended videos) is in maps, of which a call touches
+what it needs. Repeated frames (replays after a restart) are ignored;
 early frames wait until the gap closes. Frame f is emitted once frame f + r has arrived, or when
 the video's end marker says no more frames follow (then the last value is replicated). Afterwards
 only the value stays, so replays after the end are ignored too, as are frames beyond the end.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.session import scratch_path
-from quarry.streaming.files import drain, keyed, read_staged, sized_stores, stage
+from quarry.streaming.files import bucketed, by_key, drain, lots, read_staged, sized_stores, stage
 
 IN_SCHEMA = "video long, frame long, dx double, dy double, da double, is_end boolean"
 SMOOTH_OUT = "video long, frame long, smooth_dx double, smooth_dy double, smooth_da double"
@@ -97,10 +99,7 @@ class Smoother(StatefulProcessor):
         for pdf in rows:
             if finished:
                 continue
-            is_end = pdf["is_end"].to_numpy(bool)
-            if is_end.any() and tr.end < 0:
-                tr.end = int(pdf["frame"][is_end].iloc[0])
-            for frames, values in self._arrived(tr, pdf[~is_end]):
+            for frames, values in self._arrived(tr, *_arrays(pdf)):
                 yield self._rows(key, frames, values)
         if not finished:
             if 0 <= tr.end <= tr.next:
@@ -114,9 +113,11 @@ class Smoother(StatefulProcessor):
                 self.hist.clear()
             self.at.update((tr.next, tr.emitted, tr.end, tr.early, tr.cum.tolist(), None if tr.first is None else tr.first.tolist()))
 
-    def _arrived(self, tr: Trajectory, pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        frames, first = np.unique(pdf["frame"].to_numpy(np.int64), return_index=True)
-        v = pdf[["dx", "dy", "da"]].to_numpy(float)[first]
+    def _arrived(self, tr: Trajectory, frames: np.ndarray, v: np.ndarray, is_end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if is_end.any() and tr.end < 0:
+            tr.end = int(frames[is_end][0])
+        frames, first = np.unique(frames[~is_end], return_index=True)
+        v = v[~is_end][first]
         ok = (frames >= tr.next) & ((frames < tr.end) if tr.end >= 0 else True)
         frames, v = frames[ok], v[ok]
         while True:
@@ -144,6 +145,95 @@ class Smoother(StatefulProcessor):
         pass
 
 
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return pdf["frame"].to_numpy(np.int64), pdf[["dx", "dy", "da"]].to_numpy(float), pdf["is_end"].to_numpy(bool)
+
+
+class Early:
+    """A video's early frames while a call runs: those of the state, and those of the call."""
+
+    def __init__(self, state, video, stored: int):
+        self.state, self.video, self.stored, self.new = state, video, stored, {}
+
+    def containsKey(self, key: tuple) -> bool:
+        return key[0] in self.new or (self.stored > 0 and self.state.containsKey((self.video, *key)))
+
+    def getValue(self, key: tuple) -> tuple:
+        return self.new[key[0]] if key[0] in self.new else self.state.getValue((self.video, *key))
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self.new[key[0]] = value
+
+    def removeKey(self, key: tuple) -> None:
+        if self.new.pop(key[0], None) is None:
+            self.state.removeKey((self.video, *key))
+            self.stored -= 1
+
+    def save(self, ended: bool) -> int:
+        """Write what waits, or clear all; the number of frames in the state."""
+        if ended:
+            for k in [k for k in self.state.keys() if k[0] == self.video] if self.stored else ():
+                self.state.removeKey(k)
+            return 0
+        for f, x in self.new.items():
+            self.state.updateValue((self.video, f), x)
+        return self.stored + len(self.new)
+
+
+class Smoothers(Smoother):
+    """All videos of a bucket in one call."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "video long, next long, emitted long, end_n long, early long, cum array<double>, "
+                                                "first array<double>, hist binary")  # hist: trajectories, then transforms
+        self.waiting = handle.getMapState("early", "video long, frame long", "v array<double>")
+        self.ended = handle.getMapState("ended", "video long", "end_n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = {r[0]: r[1:] for r in self.held.get()}
+        running: dict = {}  # what the call has opened; None: ended before
+        for pdf in lots(rows):
+            frames, v, is_end = _arrays(pdf)
+            out = []
+            for video, at in by_key(pdf, "video", "frame"):
+                if video not in running:
+                    running[video] = None if video not in held and self.ended.containsKey((video,)) else self._open(video, held.get(video))
+                if running[video] is None:
+                    continue
+                tr, self.early = running[video]
+                out += [(video, *x) for x in self._arrived(tr, frames[at], v[at], is_end[at])]
+                if 0 <= tr.end <= tr.next:
+                    out += [(video, *x) for x in tr.finish()]
+                    self.early.save(True)
+                    self.ended.updateValue((video,), (tr.end,))
+                    running[video] = None
+                    held.pop(video, None)
+            if out:
+                yield self._all_rows(out)
+        for video, x in running.items():
+            if x is not None:
+                tr, early = x
+                tr.early = early.save(False)
+                held[video] = (tr.next, tr.emitted, tr.end, tr.early, tr.cum.tolist(), None if tr.first is None else tr.first.tolist(),
+                               np.concatenate([tr.t, tr.v]).tobytes())
+        if held:
+            self.held.put([(video, *x) for video, x in held.items()])
+        else:
+            self.held.clear()
+
+    def _open(self, video, row: tuple | None) -> tuple[Trajectory, Early]:
+        if row is None:
+            return Trajectory(self.radius, self.smooth, None, []), Early(self.waiting, video, 0)
+        tr = Trajectory(self.radius, self.smooth, row[:6], [])
+        tr.t, tr.v = np.frombuffer(bytes(row[6])).reshape(2, -1, 3)
+        return tr, Early(self.waiting, video, tr.early)
+
+    def _all_rows(self, out: list) -> pd.DataFrame:
+        sizes = [len(f) for _, f, _ in out]
+        videos = pd.array([x[0] for x in out], dtype="Int64").repeat(sizes)
+        return pd.DataFrame(dict(zip(self.names, (videos, np.concatenate([x[1] for x in out]), *np.concatenate([x[2] for x in out]).T))))
+
+
 def stream_input(tf: DataFrame) -> DataFrame:
     """Transforms plus one end marker per video (frame = frame count)."""
     rows = tf.select("video", "frame", "dx", "dy", "da", F.lit(False).alias("is_end"))
@@ -155,8 +245,8 @@ def stream_input(tf: DataFrame) -> DataFrame:
 def process(spark, src: str, out: str, ck: str, radius: int, mode: str = "smooth") -> None:
     """Process everything in ``src`` not yet seen by checkpoint ``ck`` and stop; state and
     progress live in ``ck``, so a later call resumes where this one ended."""
-    res = keyed(read_staged(spark, src, IN_SCHEMA), "video", Smoother(radius, mode),
-                SMOOTH_OUT if mode == "smooth" else RUNNING_OUT, "none")
+    res = bucketed(read_staged(spark, src, IN_SCHEMA), "video", Smoothers(radius, mode),
+                   SMOOTH_OUT if mode == "smooth" else RUNNING_OUT, "none")
     drain(res, ck, out)
 
 
