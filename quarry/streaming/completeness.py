@@ -5,8 +5,8 @@ before (a frame lost, or no marker at all) is closed as incomplete once the wate
 latest delivery by ``patience``, instead of waiting for ever. Repeated deliveries count once, and
 what comes after the end is ignored. The job is done when every expected video has ended.
 
-Per video the state holds counters, and the numbers of the frames that arrived early, until the
-gap before them closes.
+Per video the state holds counters, and the frames that arrived early as ranges, until the gap before
+them closes. A stream deals its videos into buckets, and a call takes a bucket's new rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from quarry.session import scratch_path
-from quarry.streaming.files import drain, keyed, read_staged, sized_stores, stage
+from quarry.streaming.files import bucketed, by_key, drain, lots, read_staged, sized_stores, stage
 from quarry.streaming.timers import DELAY, PatientProcessor, latest_ms
 from quarry.streaming.votes import close
 
@@ -28,64 +28,117 @@ IN_SCHEMA = "video long, frame long, is_end boolean, ts timestamp"
 OUT = "video long, expected long, delivered long, n_missing long, complete boolean, ended_by string"
 
 
+class Video:
+    """One video's deliveries while a call runs: next frame, latest frame, frame count once known (else
+    -1), when it is closed, and the early frames as disjoint ranges [start, stop) in order."""
+
+    def __init__(self, next_: int = 0, last: int = -1, end: int = -1, due: int | None = None, starts=(), stops=()):
+        self.next, self.last, self.end, self.due = next_, last, end, due
+        self.starts, self.stops = np.array(starts, np.int64), np.array(stops, np.int64)
+
+    def take(self, frames: np.ndarray, is_end: np.ndarray) -> None:
+        """Frames in order, with end markers among them."""
+        if is_end.any() and self.end < 0:
+            self.end = int(frames[is_end][0])
+        f = frames[~is_end]
+        f = f[(f >= self.next) & ((f < self.end) if self.end >= 0 else True)]
+        if not len(f):
+            return
+        self.last = max(self.last, int(f[-1]))
+        cut = np.flatnonzero(np.diff(f) > 1) + 1
+        starts, stops = np.concatenate([self.starts, f[np.r_[0, cut]]]), np.concatenate([self.stops, f[np.r_[cut - 1, len(f) - 1]] + 1])
+        at = np.argsort(starts, kind="stable")
+        starts, reach = starts[at], np.maximum.accumulate(stops[at])
+        first = np.r_[True, starts[1:] > reach[:-1]]
+        self.starts, self.stops = starts[first], reach[np.r_[np.flatnonzero(first)[1:] - 1, len(reach) - 1]]
+        if self.starts[0] <= self.next:
+            self.next, self.starts, self.stops = int(self.stops[0]), self.starts[1:], self.stops[1:]
+
+    @property
+    def whole(self) -> bool:
+        return 0 <= self.end <= self.next
+
+    def row(self) -> tuple:
+        """The result, whole or as it is when the patience is over."""
+        if self.whole:
+            return self.end, self.next, 0, True, "marker"
+        starts, stops = self.starts, self.stops
+        if self.end >= 0:  # early frames beyond the marker are none of the video's
+            starts, stops = np.minimum(starts, self.end), np.minimum(stops, self.end)
+        delivered = self.next + int((stops - starts).sum())
+        expected = self.end if self.end >= 0 else None
+        return expected, delivered, (self.end if self.end >= 0 else self.last + 1) - delivered, False, "timer"
+
+    def state(self) -> tuple:
+        return self.next, self.last, self.end, self.due, self.starts.tolist(), self.stops.tolist()
+
+
 class Ending(PatientProcessor):
+    """All videos of a bucket in one call. What its open videos hold is one list, read and written once
+    a call; one timer stands at the earliest time that one of them is closed."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.at = handle.getValueState("at", "next long, early long, last long, end_n long, done boolean")
-        self.early = handle.getMapState("early", "frame long", "seen boolean")
+        self.open = handle.getListState("open", "video long, next long, last long, end_n long, due long, starts array<long>, stops array<long>")
+        self.ended = handle.getMapState("ended", "video long", "seen boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        next_, early, last, end, done = self.at.get() if self.at.exists() else (0, 0, -1, -1, False)
-        latest = None
-        for pdf in rows:
-            pdf = pdf[pdf["frame"].notna()]  # a heartbeat has no frame
-            if done or not len(pdf):
-                continue
-            latest = max(latest or 0, latest_ms(pdf["ts"]))
-            is_end = pdf["is_end"].to_numpy(bool)
-            if is_end.any() and end < 0:
-                end = int(pdf["frame"][is_end].iloc[0])
-            for f in np.unique(pdf["frame"][~is_end].to_numpy(np.int64)).tolist():
-                if f < next_ or 0 <= end <= f:
+        videos = {r[0]: Video(*r[1:]) for r in self.open.get()}
+        over, changed = set(), False
+        for pdf in lots(rows):
+            pdf = pdf[pdf["frame"].notna()].reset_index(drop=True)  # a heartbeat has no frame
+            frames, is_end, ts, out = pdf["frame"].to_numpy(np.int64), pdf["is_end"].to_numpy(bool), pdf["ts"], []
+            for video, at in by_key(pdf, "video", "frame"):
+                if video in over:
                     continue
-                last = max(last, f)
-                if f > next_:
-                    if not self.early.containsKey((f,)):
-                        self.early.updateValue((f,), (True,))
-                        early += 1
-                    continue
-                next_ += 1
-                while early and self.early.containsKey((next_,)):
-                    self.early.removeKey((next_,))
-                    next_, early = next_ + 1, early - 1
-        if latest is None:
-            return
-        done = 0 <= end <= next_
-        self.at.update((next_, early, last, end, done))
-        if done:
-            self.stop_waiting()
-            self.early.clear()
-            yield self._row(key, end, next_, 0, "marker")
-        else:
-            self.wait_from(latest)
+                if video not in videos:
+                    if self.ended.containsKey((video,)):
+                        over.add(video)
+                        continue
+                    videos[video] = Video()
+                x, changed = videos[video], True
+                x.take(frames[at], is_end[at])
+                x.due = max(x.due or 0, latest_ms(ts.iloc[at]) + self.patience_ms)
+                if x.whole:
+                    out.append((video, *x.row()))
+                    self._close(videos, video)
+                    over.add(video)
+            if out:
+                yield self._rows(out)
+        if changed:
+            self._save(videos)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        next_, early, last, end, _ = self.at.get()
-        if end >= 0:  # early frames beyond the marker are none of the video's
-            early = sum(f[0] < end for f in self.early.keys())
         self.due.clear()
-        self.early.clear()
-        self.at.update((next_, 0, last, end, True))
-        yield self._row(key, end, next_ + early, (end if end >= 0 else last + 1) - next_ - early, "timer")
+        videos = {r[0]: Video(*r[1:]) for r in self.open.get()}
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        out = [(video, *x.row()) for video, x in videos.items() if x.due <= now]
+        for video, *_ in out:
+            self._close(videos, video)
+        self._save(videos)
+        if out:
+            yield self._rows(out)
+
+    def _close(self, videos: dict, video) -> None:
+        del videos[video]
+        self.ended.updateValue((video,), (True,))
+
+    def _save(self, videos: dict) -> None:
+        if videos:
+            self.open.put([(video, *x.state()) for video, x in videos.items()])
+            self.wait_until(min(x.due for x in videos.values()))
+        else:
+            self.open.clear()
+            self.stop_waiting()
 
     @staticmethod
-    def _row(key, end: int, delivered: int, missing: int, by: str) -> pd.DataFrame:
-        return pd.DataFrame({"video": [key[0]], "expected": pd.array([end if end >= 0 else None], dtype="Int64"), "delivered": [delivered],
-                             "n_missing": [missing], "complete": [by == "marker"], "ended_by": [by]})
+    def _rows(out: list) -> pd.DataFrame:
+        rows = pd.DataFrame(out, columns=["video", "expected", "delivered", "n_missing", "complete", "ended_by"], dtype=object)
+        return rows.astype({"video": "Int64", "expected": "Int64", "delivered": "int64", "n_missing": "int64", "complete": bool})
 
 
 def process(spark, src: str, out: str, ck: str, patience_ms: int) -> None:
-    res = keyed(read_staged(spark, src, IN_SCHEMA).withWatermark("ts", DELAY), "video", Ending(patience_ms), OUT, "eventTime")
+    res = bucketed(read_staged(spark, src, IN_SCHEMA).withWatermark("ts", DELAY), "video", Ending(patience_ms), OUT, "eventTime")
     drain(res, ck, out)
 
 

@@ -26,10 +26,19 @@ class PatientProcessor(StatefulProcessor):
         """Move the key's timer to ``patience_ms`` after ``latest_ms``, never back."""
         at = self.due.get()[0] if self.due.exists() else None
         if at is None or latest_ms + self.patience_ms > at:
-            if at is not None:
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(latest_ms + self.patience_ms)
-            self.due.update((latest_ms + self.patience_ms,))
+            self._move(at, latest_ms + self.patience_ms)
+
+    def wait_until(self, due_ms: int) -> None:
+        """Move the key's timer to ``due_ms``."""
+        at = self.due.get()[0] if self.due.exists() else None
+        if at != due_ms:
+            self._move(at, due_ms)
+
+    def _move(self, at: int | None, due_ms: int) -> None:
+        if at is not None:
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(due_ms)
+        self.due.update((due_ms,))
 
     def stop_waiting(self) -> None:
         """The key ended otherwise."""

@@ -150,6 +150,55 @@ def test_long_video_through_spark(spark):
     assert tuple(got) == (n, n, n - 1)
 
 
+class _Map:
+    """Counts the calls of a map state."""
+
+    def __init__(self):
+        self.d, self.calls = {}, 0
+
+    def containsKey(self, k):
+        self.calls += 1
+        return k in self.d
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self.d[k] = v
+
+
+def test_many_videos_of_a_bucket_take_one_call_and_few_state_calls():
+    """A call for all videos; per video the state is asked once, and written once when it has ended."""
+    n, p = 300, ST.Smoothers(3, "smooth")
+    p.held, p.waiting, p.ended = _State(), _Map(), _Map()
+    videos, parts = np.arange(n), (range(0, 7), range(7, 20))
+    got = []
+    for k, frames in enumerate(parts):
+        f = np.random.default_rng(k).permutation(np.repeat(list(frames) + [20] * k, n))
+        pdf = pd.DataFrame({"video": np.tile(videos, len(f) // n), "frame": np.sort(f), "dx": 1.0, "dy": 2.0, "da": 0.5})
+        pdf["is_end"] = pdf["frame"] == 20
+        pdf = pdf.sample(frac=1, random_state=k)
+        got += list(p.handleInputRows((5,), iter(np.array_split(pdf, 3)), None))
+    assert len(got) == 2 and p.held.value is None and p.waiting.calls == 0 and p.ended.calls <= 3 * n
+    all_ = pd.concat(got)
+    assert sorted(zip(all_.video, all_.frame)) == [(v, f) for v in range(n) for f in range(20)]
+
+
+def test_early_frames_as_ranges():
+    rnd = random.Random(9)
+    for _ in range(300):
+        n, x, seen = rnd.randint(1, 40), SC.Video(), set()
+        for _ in range(rnd.randint(1, 6)):
+            f = np.sort([rnd.randrange(n) for _ in range(rnd.randint(1, 15))])
+            x = SC.Video(*x.state())
+            x.take(f, np.zeros(len(f), bool))
+            seen |= set(f.tolist())
+            gap = next(i for i in range(n + 1) if i not in seen)
+            held = [i for a, b in zip(x.starts, x.stops) for i in range(a, b)]
+            assert x.next == gap and held == sorted(i for i in seen if i > gap) and x.last == max(seen)
+        assert x.row() == (None, len(seen), max(seen) + 1 - len(seen), False, "timer")
+        x.take(np.array([n]), np.array([True]))
+        assert x.row() == ((n, n, 0, True, "marker") if len(seen) == n else (n, len(seen), n - len(seen), False, "timer"))
+
+
 # -- votes ---------------------------------------------------------------------------
 
 def _at(day):
